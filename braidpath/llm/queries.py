@@ -56,9 +56,9 @@ w AS (
          CASE place WHEN 0 THEN 15e-1 WHEN 1 THEN 5e-1 ELSE 1e0 END AS a,
          CASE place WHEN 0 THEN 5e-1 WHEN 1 THEN 15e-1 ELSE 1e0 END AS b
   FROM s),
--- the level that spends the budget: the least of those at which all sources below it are at their cap
+-- the level that spends the budget: that of the first source, in order of cap by weight, which is not capped at it
 l AS (
-  SELECT min(x.level) AS level FROM (
+  SELECT arg_min(x.level, x.ratio) AS level FROM (
     SELECT y.source, y.cap / y.weight AS ratio,
            ((SELECT 15e-1 * sum(source_size) FROM w) - coalesce((SELECT sum(z.cap) FROM w z WHERE z.cap / z.weight < y.cap / y.weight), 0))
            / (SELECT sum(z.weight) FROM w z WHERE z.cap / z.weight >= y.cap / y.weight) AS level
