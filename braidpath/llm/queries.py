@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidpath.llm import bpe, exact_dedup, mixing, quality_rules, simhash
+from braidpath.llm import bpe, chat, exact_dedup, mixing, quality_rules, rule_ensemble, secret_scan, simhash, toxicity, url_filter
 from braidpath.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.rank_file(), with_ids=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -23,22 +32,46 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.classify(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("first_position", 6).alias("first_position"))
 
 
+#: The longest rule that fits a url decides.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+#: Sites that are blocked where no rule fits.
+BLOCKED_SITES = [f"{name}.example.{tld}/" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for tld in ("com", "net", "org")]
+
+
+def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_SITES)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup_batch(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_rule_ensemble": op6_rule_ensemble,
     "op7_curriculum_mix": op7_curriculum_mix,
+    "op8_bloom_cascade": op8_bloom_cascade,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_guess_cost": op10_guess_cost,
 }
 
 SQL = {
@@ -76,6 +109,24 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(t1 + t2 AS BI
        CASE WHEN t1 > 0 THEN round(CASE WHEN c0 = 0 THEN 0.0 WHEN a = b THEN c0 / target
          ELSE least(1.0, (sqrt(greatest(0.0, a * a + (b - a) * (a + b) * c0 / target)) - a) / (b - a)) END, 6) END AS first_position
 FROM g""",
+    "op8_bloom_cascade": r"""
+WITH u AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(rule_host, rule_path, action) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+b AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
+  FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id),
+s AS (
+  SELECT page_id, regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$')
+         AND starts_with(path, '/') AS listed
+  FROM u)
+SELECT u.page_id, host, path, rule, coalesce(action, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN b USING (page_id) LEFT JOIN s USING (page_id)""",
     "op9_exact_dedup": """
 WITH h AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
