@@ -1,0 +1,24 @@
+import numpy as np
+
+from braidpath.functions import chen
+from braidpath.streaming.signature import running_signatures
+
+
+def test_running_signatures_equal_those_of_the_whole_path(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    points = {s: rng.normal(size=(9, 2)) for s in (1, 2)}
+    schema = "series bigint, ts int, a double, b double"
+    for part, (lo, hi) in enumerate(((0, 1), (1, 4), (4, 9))):
+        rows = [(s, t, *map(float, points[s][t])) for s in points for t in range(lo, hi)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{part}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    query = running_signatures(stream, ["a", "b"], 3).writeStream.format("memory").queryName("running").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    query.stop()
+    last = {}
+    for r in spark.table("running").collect():
+        if r["n_points"] >= last.get(r["series"], (0,))[0]:
+            last[r["series"]] = (r["n_points"], r["signature"])
+    for s, x in points.items():
+        assert last[s][0] == 9
+        np.testing.assert_allclose(last[s][1], chen.signatures(np.diff(x, axis=0)[None], 3)[0], atol=1e-9)
