@@ -28,8 +28,8 @@ from braidpath.llm.common import each_text, hot_lookup, map_arrow, stage
 from braidpath.llm.graph import components
 
 BITS = 64
-#: Fingerprints of one trie node that a task takes; a node with more is opened by STEP bits.
-NODE_ROWS, STEP = 16_384, 2
+#: Fingerprints that a trie node should have when it becomes a task, and the bits by which a node of over HEAVY is opened.
+NODE_ROWS, HEAVY, STEP = 4_096, 16_384, 2
 #: Leaf pairs with at most so many pairs of fingerprints are compared directly.
 LEAF_PAIRS = 96
 #: Hashes whose bits are counted at once.
@@ -145,7 +145,7 @@ def _node_pairs(fps: DataFrame, budget: int) -> list[tuple[int, DataFrame]]:
             pairs = above.join(left, "pp").join(others.withColumn("qq", F.shiftrightunsigned("q", step)), "qq")
         differing = F.bit_count(F.col("p").bitwiseXOR(F.col("q")))
         pairs = stage(pairs.filter((F.col("p") <= F.col("q")) & (differing <= budget)).select("p", "q", "n", "m"), "trie-pairs")
-        heavy = F.greatest("n", "m") > (NODE_ROWS if depth < BITS else 2**62)
+        heavy = F.greatest("n", "m") > (HEAVY if depth < BITS else 2**62)
         tasks.append((depth, pairs.filter(~heavy).select("p", "q")))
         open_ = pairs.filter(heavy)
         if open_.isEmpty():
@@ -155,29 +155,35 @@ def _node_pairs(fps: DataFrame, budget: int) -> list[tuple[int, DataFrame]]:
 
 
 def near_links(fps: DataFrame, budget: int = 2) -> DataFrame:
-    """From distinct (fp, rep) the edges (u, v) between reps, enough to connect all within ``budget`` bits."""
+    """From distinct (fp, rep) the edges (u, v) between reps, enough to connect all within ``budget`` bits.
+
+    A task has one node and the later nodes that it is paired with, so a fingerprint goes to its own node's task and
+    to about half the nodes near it.
+    """
     dealt = None
     for depth, tasks in _node_pairs(fps, budget):
         own = fps.withColumn("prefix", F.shiftrightunsigned("fp", BITS - depth))
-        sides = tasks.select("p", "q", F.col("p").alias("prefix")).unionByName(tasks.filter("p <> q").select("p", "q", F.col("q").alias("prefix")))
-        part = own.join(sides, "prefix").select(F.lit(depth).alias("depth"), "p", "q", "fp", "rep")
+        sides = tasks.select("p", F.col("q").alias("prefix")).unionByName(tasks.select("p", F.col("p").alias("prefix"))).distinct()
+        part = own.join(sides, "prefix").select(F.lit(depth).alias("depth"), "p", "fp", "rep")
         dealt = part if dealt is None else dealt.unionByName(part)
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        depth, p, q = (int(group[c].iloc[0]) for c in ("depth", "p", "q"))
+        depth, p = int(group["depth"].iloc[0]), int(group["p"].iloc[0])
         keys, rep = group["fp"].to_numpy(np.int64).view(np.uint64), group["rep"].to_numpy(np.int64)
-        side = (keys >> np.uint64(BITS - depth)) != np.uint64(p)
-        order = np.lexsort((keys, side))
+        order = np.argsort(keys)
         keys, rep = keys[order], rep[order]
-        cut = len(keys) - int(side.sum())
+        nodes, begin = np.unique(keys >> np.uint64(BITS - depth), return_index=True)
+        spans = dict(zip(nodes.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(keys)])))
+        low, high = spans.get(p, (0, 0))
         root = np.arange(len(keys))
-        right = None if p == q else keys[cut:]
-        for a, b in trie_links(keys[:cut], right, depth, (p ^ q).bit_count(), budget):
-            root = _forest(len(keys), a, b if right is None else b + cut, root)
+        for q, (start, end) in spans.items():
+            right, differing = None if q == p else keys[start:end], (p ^ q).bit_count()
+            for a, b in trie_links(keys[low:high], right, depth, differing, budget):
+                root = _forest(len(keys), a + low, b + start, root)
         moved = np.flatnonzero(root != np.arange(len(keys)))
         return pd.DataFrame({"u": rep[moved], "v": rep[root[moved]]})
 
-    return dealt.groupBy("depth", "p", "q").applyInPandas(join, "u bigint, v bigint")
+    return dealt.groupBy("depth", "p").applyInPandas(join, "u bigint, v bigint")
 
 
 def near_components(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
