@@ -28,8 +28,8 @@ from braidpath.llm.text_stats import labelled_sample
 
 #: The bounds on labelled rows to learn from and on the vocabulary.
 SAMPLE_ROWS, VOCABULARY = 20_000, 2_048
-#: A word is considered from so many sample documents on.
-MIN_DOCS = 5
+#: A word is considered from so many sample documents on, and if its log-odds are so many standard errors from 0.
+MIN_DOCS, MIN_Z = 5, 3.0
 GRADES = 4
 TOXIC_FROM = 0.5
 
@@ -59,7 +59,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.array(self.thresholds)[None, :] - margins[:, None]))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int, grades: np.ndarray, n_grades: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int, grades: np.ndarray, n_grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model from sparse features, by full-batch Adam.
 
     Thresholds are a first value and positive gaps, so they stay ascending.
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n_rows - n_toxic - F.col("clean") + 0.5))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = _word_counts(sample).withColumn("odds", odds).withColumn("z", F.col("odds") / error)
-    chosen = best.orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()
+    chosen = best.filter(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()
     names = [r["word"] for r in chosen]
     marked = np.array([r["odds"] > 3 and r["z"] > 4 for r in chosen])
     found = sorted(_sparse_rows(sample, names).collect(), key=lambda r: (r["doc_id"], r["label"], r["cols"]))

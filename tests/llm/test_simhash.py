@@ -1,0 +1,100 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from braidpath.llm import graph, simhash
+from tests.llm.conftest import ROWS
+
+
+def brute_fingerprint(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(fps, budget):
+    root = list(range(len(fps)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= budget:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(a) for a in range(len(fps))]
+
+
+@pytest.mark.parametrize("text", [t for _, t, *_ in ROWS] + ["one", "one two", "a b c", "a b c d"])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text or "") == brute_fingerprint(text)
+
+
+def clustered(n, seed):
+    rnd = random.Random(seed)
+    seeds = [rnd.getrandbits(64) for _ in range(n // 6)] + [0]
+    out = []
+    for _ in range(n):
+        f = rnd.choice(seeds)
+        for _ in range(rnd.choice([0, 1, 2, 3, 5])):
+            f ^= 1 << rnd.randrange(64)
+        out.append(f)
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2, 3])
+def test_trie_finds_each_link_once(budget, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF_PAIRS", 6)
+    keys = np.array(clustered(400, 1), np.uint64)
+    got = [(int(a), int(b)) for x, y in simhash.trie_links(keys, None, 0, 0, budget) for a, b in zip(x, y)]
+    want = {(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys)) if (int(keys[a]) ^ int(keys[b])).bit_count() <= budget}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_links_across_tasks(spark, monkeypatch):
+    """Small nodes, so that the walk above the tasks opens several levels."""
+    monkeypatch.setattr(simhash, "NODE_ROWS", 30)
+    monkeypatch.setattr(simhash, "HEAVY", 40)
+    fps = clustered(600, 2)
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    df = spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp bigint, rep bigint")
+    found = {r["id"]: r["component"] for r in graph.components(simhash.near_links(df)).collect()}
+    assert [found.get(k, k) for k in range(len(fps))] == brute_components(fps, 2)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, 70), (70, 90), (5, 5)]
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {k: 0 for k in range(1, 61)} | {90: 70, 100: 70}
+    assert graph.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_documents(docs, no_docs, make_docs):
+    got = simhash.near_components(docs).collect()
+    assert len(got) == len(ROWS)
+    fps = [brute_fingerprint(t) for _, t, *_ in ROWS]
+    groups = defaultdict(list)
+    for (i, *_), c in zip(ROWS, brute_components(fps, 2)):
+        groups[c].append(i)
+    want = {}
+    for ids in groups.values():
+        want |= {i: min((x for x in ids if x is not None), default=None) for i in ids}
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert simhash.near_components(no_docs).count() == 0
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    stays = sorted(i for i, c in want.items() if i is not None and i == c)
+    assert sorted({r["doc_id"] for r in kept.collect()} - {None}) == stays
+    nameless = simhash.near_components(make_docs([(None, "some words that stand alone", None, None, None)] * 2)).collect()
+    assert [r["component_id"] for r in nameless] == [None, None]
