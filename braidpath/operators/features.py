@@ -4,27 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ("series", "window_idx", "end_date")
 
 
+def flat_columns(channels: int, steps: int, prefix: str = "f_") -> list[Column]:
+    """Aggregates of a window: one column a step and channel, steps outermost."""
+    return [F.max(F.when(F.col("step") == s, F.col(f"r_{c}"))).alias(f"{prefix}{s * channels + c}") for s in range(steps) for c in range(1, channels + 1)]
+
+
+def covariance_columns(channels: int, prefix: str = "f_") -> list[Column]:
+    """Aggregates of a window: the upper triangle of its sample covariance, row by row."""
+    pairs = [(i, j) for i in range(1, channels + 1) for j in range(i, channels + 1)]
+    return [F.covar_samp(f"r_{i}", f"r_{j}").alias(f"{prefix}{n}") for n, (i, j) in enumerate(pairs, 1)]
+
+
+def volatility_columns(channels: int, year: int = 252, prefix: str = "f_") -> list[Column]:
+    """Aggregates of a window: annualised sample deviations."""
+    return [(F.stddev_samp(f"r_{c}") * year**0.5).alias(f"{prefix}{c}") for c in range(1, channels + 1)]
+
+
 def flat_returns(windows: DataFrame, channels: int, steps: int) -> DataFrame:
-    """One column a step and channel, steps outermost: f_1..f_n."""
-    cells = [F.max(F.when(F.col("step") == s, F.col(f"r_{c}"))).alias(f"f_{s * channels + c}") for s in range(steps) for c in range(1, channels + 1)]
-    return windows.groupBy(*KEYS).agg(*cells)
+    return windows.groupBy(*KEYS).agg(*flat_columns(channels, steps))
 
 
 def covariance_features(windows: DataFrame, channels: int) -> DataFrame:
-    """The upper triangle of each window's sample covariance, row by row: f_1..f_n."""
-    pairs = [(i, j) for i in range(1, channels + 1) for j in range(i, channels + 1)]
-    return windows.groupBy(*KEYS).agg(*[F.covar_samp(f"r_{i}", f"r_{j}").alias(f"f_{n}") for n, (i, j) in enumerate(pairs, 1)])
+    return windows.groupBy(*KEYS).agg(*covariance_columns(channels))
 
 
-def volatility_features(windows: DataFrame, channels: int, year: int = 252) -> DataFrame:
-    """Each window's annualised sample deviations: f_1..f_d."""
-    return windows.groupBy(*KEYS).agg(*[(F.stddev_samp(f"r_{c}") * year**0.5).alias(f"f_{c}") for c in range(1, channels + 1)])
+def volatility_features(windows: DataFrame, channels: int) -> DataFrame:
+    return windows.groupBy(*KEYS).agg(*volatility_columns(channels))
 
 
 def spread(df: DataFrame, column: str, n: int, prefix: str = "f_") -> DataFrame:

@@ -6,7 +6,7 @@ means first. Windows are partitioned by ``series`` and ordered by ``window_idx``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +24,25 @@ def standardise(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.withColumns({c: (F.col(c) - F.col(f"__a_{c}")) / safe(F.col(f"__s_{c}")) for c in columns}).drop(*stats.columns[1:])
 
 
+def trailing_scores(features: DataFrame, groups: Mapping[str, Sequence[str]], lookback: int = LOOKBACK, consecutive: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(series, window_idx, end_date, one score a group of columns), all from one ordering of the windows.
+
+    A score is the distance to the mean of the ``lookback`` windows before, null for the first ones; those of
+    ``consecutive`` are distances to the window before, null for the first.
+    """
+    order = Window.partitionBy("series").orderBy("window_idx")
+    spec = order.rowsBetween(-lookback, -1)
+    means = {f"__t_{c}": F.avg(c).over(spec) for g in groups.values() for c in g}
+    before = {f"__b_{c}": F.lag(c).over(order) for g in (consecutive or {}).values() for c in g}
+    x = features.withColumns(means | before | {"__full": F.count("*").over(spec) == lookback})
+    scores = [F.when(F.col("__full"), norm([F.col(c) - F.col(f"__t_{c}") for c in g])).alias(n) for n, g in groups.items()]
+    scores += [norm([F.col(c) - F.col(f"__b_{c}") for c in g]).alias(n) for n, g in (consecutive or {}).items()]
+    return x.select("series", "window_idx", "end_date", *scores)
+
+
 def trailing_score(features: DataFrame, columns: Sequence[str], name: str = "score", lookback: int = LOOKBACK) -> DataFrame:
-    """(series, window_idx, end_date, name): distance to the mean of the ``lookback`` windows before; null for the first ones."""
-    spec = Window.partitionBy("series").orderBy("window_idx").rowsBetween(-lookback, -1)
-    full = F.count("*").over(spec) == lookback
-    means = features.withColumns({f"__t_{c}": F.avg(c).over(spec) for c in columns} | {"__full": full})
-    return means.select("series", "window_idx", "end_date", F.when(F.col("__full"), norm([F.col(c) - F.col(f"__t_{c}") for c in columns])).alias(name))
+    """The one score of all ``columns``."""
+    return trailing_scores(features, {name: columns}, lookback)
 
 
 def require_scored(features: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
@@ -40,9 +53,7 @@ def require_scored(features: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
 
 def consecutive_distance(features: DataFrame, columns: Sequence[str], name: str = "distance") -> DataFrame:
     """(series, window_idx, end_date, name): distance to the window before, null for the first."""
-    spec = Window.partitionBy("series").orderBy("window_idx")
-    before = features.withColumns({f"__b_{c}": F.lag(c).over(spec) for c in columns})
-    return before.select("series", "window_idx", "end_date", norm([F.col(c) - F.col(f"__b_{c}") for c in columns]).alias(name))
+    return trailing_scores(features, {}, consecutive={name: columns})
 
 
 def score_table(tables: Sequence[DataFrame]) -> DataFrame:

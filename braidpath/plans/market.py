@@ -40,18 +40,20 @@ def scores_of(table: DataFrame, name: str, lookback: int = scoring.LOOKBACK) ->
 
 
 def score_table(returns: DataFrame, channels: int, window: int = panel.WINDOW, lookback: int = scoring.LOOKBACK) -> DataFrame:
-    """Trailing scores of the signature and three baselines, and the signature's consecutive distance, by window."""
+    """Trailing scores of the signature and three baselines, and the signature's consecutive distance, by window.
+
+    The baselines come from one aggregation of the windows; they meet the signatures in one join, and all features
+    are standardised and scored in one ordering.
+    """
     own = signature_features(returns, channels, window=window)
-    rows = panel.windows(returns, channels, window)
-    columns = columns_of(own)
-    tables = [
-        scores_of(own, "signature_trailing_score", lookback),
-        scoring.consecutive_distance(scoring.standardise(own, columns), columns, "signature_consecutive_distance"),
-        scores_of(features.flat_returns(rows, channels, window), "returns_trailing_score", lookback),
-        scores_of(features.covariance_features(rows, channels), "covariance_trailing_score", lookback),
-        scores_of(features.volatility_features(rows, channels), "volatility_trailing_score", lookback),
-    ]
-    return scoring.score_table(tables)
+    base = panel.windows(returns, channels, window).groupBy(*features.KEYS).agg(
+        *features.flat_columns(channels, window, "ret_"), *features.covariance_columns(channels, "cov_"), *features.volatility_columns(channels, prefix="vol_")
+    )
+    both = own.join(base.drop("end_date"), ["series", "window_idx"])
+    of = lambda prefix: [c for c in both.columns if c.startswith(prefix)]
+    groups = {"signature_trailing_score": of("f_"), "returns_trailing_score": of("ret_"), "covariance_trailing_score": of("cov_"), "volatility_trailing_score": of("vol_")}
+    z = scoring.standardise(both, [c for g in groups.values() for c in g])
+    return scoring.trailing_scores(z, groups, lookback, {"signature_consecutive_distance": groups["signature_trailing_score"]})
 
 
 TRAILING = ("signature_trailing_score", "returns_trailing_score", "covariance_trailing_score", "volatility_trailing_score")
