@@ -3,7 +3,8 @@
 Texts are equal when identical after lower-casing A-Z only; null counts as empty. A text's digest is the SHA-256
 of that form in UTF-8. The index is a table of one row a digest, written in buckets of the digest and sorted within
 them, so a new batch meets it in a sort-merge anti-join without moving the index, and the digests that are new are
-appended in the same layout.
+appended in the same layout. Decisions are written before the append: a batch that fails after it is finished from
+them, not by asking the index again.
 
 Of equal rows of one batch the one with the largest doc_id stays (a null id is smaller than any other); of rows that
 share even the id, one stays. A digest that the index held before stays with the row it came with, so all rows of the
@@ -43,6 +44,13 @@ class DigestIndex:
             self.buckets = int(made["Num Buckets"])
         self.path = path or f"{shared_dir(spark)}/{self.name}"
 
+    @classmethod
+    def attach(cls, spark: SparkSession, name: str, path: str, buckets: int, id_type: str = "bigint") -> DigestIndex:
+        """An index that an earlier application wrote to ``path``, under a name in this one's catalog."""
+        if not spark.catalog.tableExists(name):
+            spark.sql(f"CREATE TABLE `{name}` (digest BINARY, keep_id {id_type}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return cls(spark, name, path)
+
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 

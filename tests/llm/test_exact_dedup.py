@@ -45,6 +45,10 @@ def test_batches_meet_the_index(spark, make_docs):
     assert second[8]["kept"] and not second[7]["kept"]
     assert exact_dedup.DigestIndex(spark, index.name).buckets == 4
     assert index.read().count() == index.read().select("digest").distinct().count() == 3
+    again = exact_dedup.DigestIndex.attach(spark, f"{index.name}_again", index.path, 4)
+    assert again.buckets == 4 and again.read().count() == 3
+    third = exact_dedup.dedup_batch(make_docs([row(20, "Three"), row(21, "four")]), again).collect()
+    assert {(r["doc_id"], r["kept"], r["keep_id"]) for r in third} == {(20, False, 8), (21, True, 21)}
     plan = make_docs([row(1, "a")]).select(exact_dedup.digest(exact_dedup.F.col("text")).alias("digest")).join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
 
