@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidpath.operators import distance, simulate
+from braidpath.operators import distance, moments, simulate
 from braidpath.operators.simulate import Process
 
 
@@ -17,6 +17,7 @@ class Experiment:
     """The tables of one run, each lazy."""
 
     configuration: DataFrame
+    moments: DataFrame
     summary: DataFrame
     expected: DataFrame
     statistical: DataFrame
@@ -29,6 +30,8 @@ def compare(spark: SparkSession, processes: Sequence[Process], pairs: Sequence[t
     """Simulate, summarise and compare. Signatures and moments come from the same paths, as streams depend on blocks alone."""
     d = processes[0].channels
     channels = d + time_augmented
+    rows = simulate.simulate(spark, processes, n_paths, steps, dt, seed, batch)
+    channel_moments = moments.sample_moments(rows, [f"dx_{k}" for k in range(1, d + 1)])
     summary = simulate.simulated_summary(spark, processes, n_paths, steps, dt, seed, batch)
     expected = simulate.simulated_signatures(spark, processes, depth, n_paths, steps, dt, seed, time_augmented, batch)
     known = {p.name for p in processes}
@@ -39,6 +42,7 @@ def compare(spark: SparkSession, processes: Sequence[Process], pairs: Sequence[t
     named = lambda df: df.select(F.lit(name).alias("config_name"), *df.columns)
     return Experiment(
         configuration,
+        named(channel_moments),
         named(summary),
         named(expected),
         named(distance.statistical_distances(summary, pairs)),

@@ -317,5 +317,5 @@ for _name, _make in (
     ("high_dimensional", partial(experiments.high_dimensional, n_paths=1_000)),
     ("advanced", partial(experiments.advanced, n_paths=1_000)),
 ):
-    for _table in ("configuration", "summary", "statistical", "signature", "levelwise", "cumulative"):
+    for _table in ("configuration", "moments", "summary", "statistical", "signature", "levelwise", "cumulative"):
         QUERIES[f"{_name}_{_table}"] = partial(_rounded_experiment, _make, _table)
