@@ -1,9 +1,10 @@
 """Truncated signatures of batches of piecewise-linear paths, vectorised over paths and time.
 
-By Chen's identity the level k signature is the sum over steps t of C(k-1, t) (x) dx(t), where C gathers the levels
-before step t with the powers of dx(t) over factorials. All C of one level are known at once from running sums over
-time of the level below, so there is no loop over steps, and the last level, which holds most of the coordinates, is
-one matrix product for each path.
+By Chen's identity the level k signature is the sum over steps t of C(t) (x) dx(t), where C gathers the levels before
+step t with the powers of dx(t) over factorials. All C of one level are known at once from running sums over time of
+the level below, so there is no loop over steps. The last level, which holds most of the coordinates, is never
+summed step by step: its last two letters are either both in one step or in two, so it is a matrix product of
+levels two below it with pairs of increments, and running sums stop two levels short of the depth.
 """
 
 from __future__ import annotations
@@ -13,6 +14,21 @@ import numpy as np
 from braidpath.functions.vectors import signature_length
 
 
+def _times(c: np.ndarray, dx: np.ndarray) -> np.ndarray:
+    """The tensor product at each step, flattened."""
+    n, steps, _ = dx.shape
+    return (c[..., None] * dx[:, :, None, :]).reshape(n, steps, -1)
+
+
+def _gathered(before: list[np.ndarray], dx: np.ndarray, level: int, letters: int) -> np.ndarray:
+    """S_(letters) + (S_(letters-1) + (... + dx / level) ...) dx / (level - letters + 1), from the inside out."""
+    c = np.ones((*dx.shape[:2], 1))
+    for j in range(1, letters + 1):
+        c = _times(c, dx / (level - j + 1))
+        c += before[j - 1]
+    return c
+
+
 def signatures(increments: np.ndarray, depth: int) -> np.ndarray:
     """From increments (paths, steps, channels) the signatures (paths, coordinates)."""
     dx = np.ascontiguousarray(increments, np.float64)
@@ -22,29 +38,33 @@ def signatures(increments: np.ndarray, depth: int) -> np.ndarray:
     out = np.zeros((n, signature_length(d, depth)))
     if not steps:
         return out
+    out[:, :d] = dx.sum(axis=1)
+    if depth == 1:
+        return out
     before: list[np.ndarray] = []  # before[k - 1]: level k ahead of each step, (n, steps, d ** k)
     at = 0
-    for level in range(1, depth + 1):
-        # C = S_(k-1) + (S_(k-2) + (... + dx / k) dx / 3) dx / 2, from the inside out
-        c = None
-        for j in range(level):
-            factor = dx / (level - j + 1) if j else None
-            c = np.ones((n, steps, 1)) if c is None else (c[..., None] * factor[:, :, None, :]).reshape(n, steps, -1) + before[j - 1]
+    for level in range(1, depth):
         size = d**level
-        if level == depth:
-            out[:, at : at + size] = np.matmul(c.transpose(0, 2, 1), dx).reshape(n, size)
-        else:
-            run = np.cumsum((c[..., None] * dx[:, :, None, :]).reshape(n, steps, size), axis=1)
+        c = _gathered(before, dx, level, level - 1)
+        if level < depth - 1:
+            run = np.zeros((n, steps + 1, size))
+            np.cumsum(_times(c, dx), axis=1, out=run[:, 1:])
             out[:, at : at + size] = run[:, -1]
-            run[:, 1:] = run[:, :-1].copy()
-            run[:, 0] = 0.0
-            before.append(run)
+            before.append(run[:, :-1])
+        elif level > 1:
+            out[:, at : at + size] = np.matmul(c.transpose(0, 2, 1), dx).reshape(n, size)
         at += size
+    # the last level: its last letter in a later step than the one before it, or in the same
+    later = dx.sum(axis=1, keepdims=True) - np.cumsum(dx, axis=1)
+    same = _gathered(before, dx, depth, depth - 2)
+    left = np.concatenate([c, same], axis=1)
+    right = np.concatenate([_times(dx, later), _times(dx, dx / 2)], axis=1)
+    out[:, at:] = np.matmul(left.transpose(0, 2, 1), right).reshape(n, -1)
     return out
 
 
-def safe_batch(requested: int, steps: int, channels: int, depth: int, budget_bytes: int = 2**28) -> int:
-    """Paths in a batch so that signatures and running sums stay within a budget; at least one."""
-    below = signature_length(channels, depth - 1) if depth > 1 else 0
-    one = 8 * (signature_length(channels, depth) + 3 * steps * (below + channels))
+def safe_batch(requested: int, steps: int, channels: int, depth: int, budget_bytes: int = 2**25) -> int:
+    """Paths in a batch so that signatures and what is summed on the way stay within a budget, small enough for caches; at least one."""
+    sums = signature_length(channels, depth - 2) if depth > 2 else 0
+    one = 8 * (signature_length(channels, depth) + steps * (4 * sums + 2 * channels**2 + 4 * channels))
     return max(1, min(requested, budget_bytes // one))
