@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from braidpath.llm.common import each_text, map_arrow
 
 #: Distinct pieces that a Python worker remembers between batches, and the longest such piece in characters.
-KNOWN_PIECES, KNOWN_LENGTH = 800_000, 64
+KNOWN_PIECES, KNOWN_LENGTH = 400_000, 64
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 

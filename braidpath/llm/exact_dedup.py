@@ -97,8 +97,8 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
-    # the id and the digest name a row up to repeats, and both joins below share one dealing out by them
-    stay = dedup_batch(docs, DigestIndex(docs.sparkSession), id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    rows = docs.withColumn("__own", digest(F.col(text_col)))
-    rows = rows.join(stay, rows[id_col].eqNullSafe(stay["__id"]) & (rows["__own"] == stay["__digest"]), "left_semi")
-    return rows.dropDuplicates([id_col, "__own"]).select(docs.columns)
+    # the digest and the id name a row up to repeats; as one key, so that both steps share one dealing out of the texts
+    name = lambda own, id_: F.concat(own, F.coalesce(id_.cast("string").cast("binary"), F.lit(b"")))
+    stay = dedup_batch(docs, DigestIndex(docs.sparkSession), id_col, text_col).filter("kept").select(name(F.col("digest"), F.col("doc_id")).alias("__row"))
+    rows = docs.withColumn("__row", name(digest(F.col(text_col)), F.col(id_col)))
+    return rows.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)

@@ -121,7 +121,7 @@ def build_cascades(urls: DataFrame, lists: Mapping[str, Iterable[str]], url_col:
     forms = shapes([k for keys in lists.values() for k in keys])
     universe = urls.select(F.explode(candidate_keys(host(F.col(url_col)), path(F.col(url_col)), forms)).alias("key"))
     n = universe.agg(F.approx_count_distinct("key")).first()[0]
-    table = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    table = lambda keys: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(list(keys))), "array<string>")).alias("key"))
     return {name: build_cascade(table(keys), universe, n) for name, keys in lists.items()}, forms
 
 

@@ -70,9 +70,7 @@ def windows(returns: DataFrame, channels: int, window: int = WINDOW) -> DataFram
     """
     if window < 1:
         raise ValueError("a window has at least one row")
-    rows = numbered(returns)
-    size = rows.groupBy("series").agg(F.count("*").alias("n"))
-    rows = rows.join(size, "series")
+    rows = numbered(returns).withColumn("n", F.count("*").over(Window.partitionBy("series")))
     first, last = F.greatest(F.col("idx") - (window - 1), F.lit(0)), F.least(F.col("idx"), F.col("n") - window)
     rows = rows.filter(first <= last).withColumn("window_idx", F.explode(F.sequence(first, last)))
     step = (F.col("idx") - F.col("window_idx")).cast("int")

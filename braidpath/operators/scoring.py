@@ -18,10 +18,14 @@ LOOKBACK, QUANTILE, TOP = 60, 0.95, 15
 
 
 def standardise(features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each feature minus its mean over the series, divided by its population deviation, or by 1 where it is constant."""
-    stats = features.groupBy("series").agg(*[F.avg(c).alias(f"__a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
-    out = features.join(stats, "series")
-    return out.withColumns({c: (F.col(c) - F.col(f"__a_{c}")) / safe(F.col(f"__s_{c}")) for c in columns}).drop(*stats.columns[1:])
+    """Each feature minus its mean over the series, divided by its population deviation, or by 1 where it is constant.
+
+    Means and deviations are taken over the same dealing out by series that scoring needs, so features are made once.
+    """
+    whole = Window.partitionBy("series")
+    stats = features.withColumns({f"__a_{c}": F.avg(c).over(whole) for c in columns} | {f"__s_{c}": F.stddev_pop(c).over(whole) for c in columns})
+    keep = [c for c in features.columns if c not in set(columns)]
+    return stats.select(*keep, *[((F.col(c) - F.col(f"__a_{c}")) / safe(F.col(f"__s_{c}"))).alias(c) for c in columns])
 
 
 def trailing_scores(features: DataFrame, groups: Mapping[str, Sequence[str]], lookback: int = LOOKBACK, consecutive: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -71,7 +75,8 @@ def thresholds(scores: DataFrame, score: str, quantile: float = QUANTILE) -> Dat
 
 def episodes(scores: DataFrame, score: str, quantile: float = QUANTILE) -> DataFrame:
     """Runs of adjacent windows at or above the threshold, the first peak on ties, highest first."""
-    high = scores.join(thresholds(scores, score, quantile), "series").filter(F.col(score) >= F.col("threshold"))
+    limit = F.percentile(score, quantile).over(Window.partitionBy("series"))
+    high = scores.withColumn("threshold", limit).filter(F.col(score) >= F.col("threshold"))
     run = F.col("window_idx") - F.row_number().over(Window.partitionBy("series").orderBy("window_idx"))
     peak = F.max(F.struct(F.col(score).alias("s"), (-F.col("window_idx")).alias("i"), F.col("end_date").alias("d")))
     rows = high.withColumn("run", run).groupBy("series", "run").agg(F.min("end_date").alias("episode_start"), F.max("end_date").alias("episode_end"), peak.alias("peak"), F.count("*").alias("duration_windows"), F.first("threshold").alias("threshold"))
@@ -85,8 +90,8 @@ def period_summary(scores: DataFrame, score: str, periods: Sequence[tuple[str, s
     """
     table = scores.sparkSession.createDataFrame(list(periods), "period string, start string, end string")
     table = F.broadcast(table.select("period", F.to_date("start").alias("start_date"), F.to_date("end").alias("end_date_")))
-    all_ = scores.groupBy("series").agg(F.percentile(score, 0.5).alias("global_median_score"))
-    inside = scores.join(table, F.col("end_date").between(F.col("start_date"), F.col("end_date_"))).join(all_, "series")
+    with_median = scores.withColumn("global_median_score", F.percentile(score, 0.5).over(Window.partitionBy("series")))
+    inside = with_median.join(table, F.col("end_date").between(F.col("start_date"), F.col("end_date_")))
     out = inside.groupBy("series", "period", "start_date", F.col("end_date_").alias("end_date")).agg(
         F.count("*").alias("window_count"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"), F.percentile(score, 0.5).alias("median_score"), F.first("global_median_score").alias("global_median_score")
     )

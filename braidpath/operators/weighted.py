@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 
 from braidpath.functions.vectors import norm, safe
 from braidpath.operators import scoring
-from braidpath.operators.signature import signed_area
 
 ALPHAS = (0.0, 0.15, 0.35, 0.70, 1.20)
 CLOCKS = ("linear", "movement")
@@ -22,20 +21,25 @@ KEYS = ("series", "window_idx", "end_date")
 STATISTICS = ("total_length", "mean_length", "std_length", "min_length", "max_length", "displacement_norm", "straightness", "mean_squared_length", "mean_length_change")
 
 
-def clocked(windows: DataFrame, channels: int, kind: str) -> DataFrame:
-    """``windows`` with the clock at the begin (clock) and end (clock_end) of each step."""
-    if kind not in CLOCKS:
-        raise ValueError(f"a clock is one of {CLOCKS}")
+def with_clocks(windows: DataFrame, channels: int, kinds: Sequence[str]) -> DataFrame:
+    """``windows`` with clocks, a map from a kind to the clock at the begin and the end of each step."""
+    if unknown := set(kinds) - set(CLOCKS):
+        raise ValueError(f"a clock is one of {CLOCKS}, not {unknown}")
     window = Window.partitionBy("series", "window_idx")
-    if kind == "linear":
-        n = F.count("*").over(window)
-        return windows.withColumns({"clock": F.col("step") / n, "clock_end": (F.col("step") + 1) / n})
-    length = norm([F.col(f"r_{c}") for c in range(1, channels + 1)])
+    n = F.count("*").over(window)
     ordered = window.orderBy("step")
-    x = windows.withColumn("__length", length)
+    length = norm([F.col(f"r_{c}") for c in range(1, channels + 1)])
     moved = lambda to: F.coalesce(F.sum("__length").over(ordered.rowsBetween(Window.unboundedPreceding, to)), F.lit(0.0))
     whole = safe(F.sum("__length").over(window))
-    return x.withColumns({"clock": moved(-1) / whole, "clock_end": moved(0) / whole}).drop("__length")
+    ends = {"linear": (F.col("step") / n, (F.col("step") + 1) / n), "movement": (moved(-1) / whole, moved(0) / whole)}
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), ends[k][0].alias("clock"), ends[k][1].alias("clock_end")) for k in kinds])
+    return windows.withColumn("__length", length).withColumn("clocks", pairs).drop("__length")
+
+
+def clocked(windows: DataFrame, channels: int, kind: str) -> DataFrame:
+    """``windows`` with the clock at the begin (clock) and end (clock_end) of each step."""
+    timed = with_clocks(windows, channels, [kind])
+    return timed.select(*windows.columns, F.col("clocks")[0]["clock"].alias("clock"), F.col("clocks")[0]["clock_end"].alias("clock_end"))
 
 
 def weighted_increments(clocked_windows: DataFrame, channels: int, alpha: float | Column) -> DataFrame:
@@ -47,11 +51,14 @@ def weighted_increments(clocked_windows: DataFrame, channels: int, alpha: float
     return x.select(*KEYS, "step", *[(F.col("__weight") * v).alias(f"w_{k}") for k, v in enumerate(own, 1)])
 
 
-def path_statistics(weighted: DataFrame, n: int) -> DataFrame:
-    """(keys, w_1..w_n summed, STATISTICS) of weighted increments."""
+def _statistics(weighted: DataFrame, n: int, areas: bool) -> DataFrame:
+    """One aggregation a window: summed increments, STATISTICS, and if asked for the signed areas."""
     columns = [f"w_{k}" for k in range(1, n + 1)]
+    ordered = Window.partitionBy("series", "window_idx").orderBy("step")
+    ahead = ordered.rowsBetween(Window.unboundedPreceding, -1)
     x = weighted.withColumn("l", norm([F.col(c) for c in columns]))
-    x = x.withColumn("change", F.abs(F.col("l") - F.lag("l").over(Window.partitionBy("series", "window_idx").orderBy("step"))))
+    x = x.withColumns({"change": F.abs(F.col("l") - F.lag("l").over(ordered))} | ({f"__p{k}": F.coalesce(F.sum(c).over(ahead), F.lit(0.0)) for k, c in enumerate(columns, 1)} if areas else {}))
+    pairs = [(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1)] if areas else []
     out = x.groupBy(*KEYS).agg(
         *[F.sum(c).alias(f"d_{k}") for k, c in enumerate(columns, 1)],
         F.sum("l").alias("total_length"),
@@ -61,17 +68,21 @@ def path_statistics(weighted: DataFrame, n: int) -> DataFrame:
         F.max("l").alias("max_length"),
         F.avg(F.col("l") * F.col("l")).alias("mean_squared_length"),
         F.coalesce(F.avg("change"), F.lit(0.0)).alias("mean_length_change"),
+        *[(F.sum(F.col(f"__p{i}") * F.col(f"w_{j}") - F.col(f"__p{j}") * F.col(f"w_{i}")) / 2).alias(f"area_{i}_{j}") for i, j in pairs],
     )
     out = out.withColumn("displacement_norm", norm([F.col(f"d_{k}") for k in range(1, n + 1)]))
-    return out.withColumn("straightness", F.col("displacement_norm") / safe(F.col("total_length"))).select(*KEYS, *[f"d_{k}" for k in range(1, n + 1)], *STATISTICS)
+    return out.withColumn("straightness", F.col("displacement_norm") / safe(F.col("total_length")))
+
+
+def path_statistics(weighted: DataFrame, n: int) -> DataFrame:
+    """(keys, w_1..w_n summed, STATISTICS) of weighted increments."""
+    return _statistics(weighted, n, False).select(*KEYS, *[f"d_{k}" for k in range(1, n + 1)], *STATISTICS)
 
 
 def features_of(weighted: DataFrame, n: int) -> DataFrame:
     """(keys, f_1..f_m) of weighted increments of n channels: displacement, signed areas, statistics, in that order."""
-    areas = signed_area(weighted, [f"w_{k}" for k in range(1, n + 1)], KEYS)
-    both = path_statistics(weighted, n).join(areas.drop("end_date"), ["series", "window_idx"])
-    names = [f"d_{k}" for k in range(1, n + 1)] + [c for c in areas.columns if c.startswith("area_")] + list(STATISTICS)
-    return both.select(*KEYS, *[F.col(c).alias(f"f_{k}") for k, c in enumerate(names, 1)])
+    names = [f"d_{k}" for k in range(1, n + 1)] + [f"area_{i}_{j}" for i in range(1, n + 1) for j in range(i + 1, n + 1)] + list(STATISTICS)
+    return _statistics(weighted, n, True).select(*KEYS, *[F.col(c).alias(f"f_{k}") for k, c in enumerate(names, 1)])
 
 
 def weighted_features(windows: DataFrame, channels: int, alpha: float, kind: str) -> DataFrame:
@@ -96,20 +107,20 @@ def grid_search(windows: DataFrame, channels: int, periods: Sequence[tuple[str,
     all copies. ``focus`` names the period whose ratio breaks ties and is reported.
     """
     focus = focus or periods[0][0]
-    timed = None
-    for kind in clocks:
-        one = clocked(windows, channels, kind).withColumn("kind", F.lit(kind))
-        timed = one if timed is None else timed.unionByName(one)
-    timed = timed.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    timed = timed.withColumn("series", F.concat_ws("|", "series", F.col("alpha").cast("string"), "kind"))
+    weightings = F.explode(F.flatten(F.transform("clocks", lambda c: F.array(*[F.struct(c.alias("clock"), F.lit(float(a)).alias("alpha")) for a in alphas]))))
+    timed = with_clocks(windows, channels, clocks).withColumn("w", weightings)
+    timed = timed.withColumns({"series": F.concat_ws("|", "series", F.col("w.alpha").cast("string"), "w.clock.kind"), "alpha": F.col("w.alpha"), "clock": F.col("w.clock.clock"), "clock_end": F.col("w.clock.clock_end")})
     columns = [f"f_{k}" for k in range(1, feature_count(channels) + 1)]
     scored = scoring.trailing_score(scoring.standardise(features_of(weighted_increments(timed, channels, F.col("alpha")), channels + 1), columns), columns)
-    ratios = scoring.period_summary(scored, "score", periods)
-    means = ratios.groupBy("series").agg(F.avg("mean_vs_global_median_ratio").alias("mean_stress_ratio"), F.max(F.when(F.col("period") == focus, F.col("mean_vs_global_median_ratio"))).alias("focus_ratio"))
+    # the periods are few and literal: each is a conditional mean of the one aggregation
+    means = {f"__m{k}": F.avg(F.when(F.col("end_date").between(F.to_date(F.lit(a)), F.to_date(F.lit(b))), F.col("score"))) for k, (_, a, b) in enumerate(periods)}
     peak = F.max(F.struct(F.col("score").alias("s"), (-F.col("window_idx")).alias("i"), F.col("end_date").alias("d")))
-    tops = scored.groupBy("series").agg(F.percentile("score", 0.5).alias("global_median_score"), peak.alias("peak"))
+    tops = scored.groupBy("series").agg(F.percentile("score", 0.5).alias("global_median_score"), peak.alias("peak"), *[m.alias(n) for n, m in means.items()])
+    ratios = F.filter(F.array(*[F.try_divide(n, "global_median_score") for n in means]), lambda r: r.isNotNull())
+    tops = tops.withColumn("mean_stress_ratio", F.try_divide(F.aggregate(ratios, F.lit(0.0), lambda s, r: s + r), F.size(ratios)))
+    focus_ratio = F.try_divide(f"__m{[p for p, _, _ in periods].index(focus)}", "global_median_score")
     part = F.split("series", r"\|")
-    return tops.join(means, "series").select(
+    return tops.select(
         part[0].alias("series"), part[1].cast("double").alias("alpha"), part[2].alias("clock_type"), F.lit(feature_count(channels)).alias("feature_dim"), "global_median_score",
-        "mean_stress_ratio", "focus_ratio", F.col("mean_stress_ratio").alias("objective_score"), F.col("peak.d").alias("top_episode_peak_date"), F.col("peak.s").alias("top_episode_peak_score"),
+        "mean_stress_ratio", focus_ratio.alias("focus_ratio"), F.col("mean_stress_ratio").alias("objective_score"), F.col("peak.d").alias("top_episode_peak_date"), F.col("peak.s").alias("top_episode_peak_score"),
     ).orderBy(F.desc("objective_score"), F.desc("focus_ratio"))
