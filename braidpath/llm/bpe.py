@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import os
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +30,9 @@ from pyspark.sql import DataFrame
 from braidpath.llm.common import each_text, map_arrow
 
 #: Distinct pieces that a Python worker remembers between batches, and the longest such piece in characters.
-KNOWN_PIECES, KNOWN_LENGTH = 400_000, 64
+KNOWN_PIECES, KNOWN_LENGTH = 200_000, 64
+#: Characters of text whose new pieces share one replay, but for the last text, which comes whole.
+BLOCK_CHARS = 1_000_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
@@ -201,26 +204,32 @@ class Encoder:
     """Encodes the texts of a batch; keeps a bounded number of encoded pieces for the next one."""
 
     def __init__(self, ranks: Ranks):
-        self.ranks, self.known = ranks, {}
+        self.ranks, self.known, self.older = ranks, {}, {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text the ids, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        return list(self.encode_each(texts))
+
+    def encode_each(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Of each text the ids, as little-endian unsigned 32-bit integers; texts are taken a block at a time."""
         part: list[list[str]] = []
         held = 0
         for text in texts:
             part.append(split_pieces(text))
             held += len(text)
-            if held > 4_000_000:
-                out += self._part(part)
+            if held > BLOCK_CHARS:
+                yield from self._part(part)
                 part, held = [], 0
-        return out + self._part(part)
+        yield from self._part(part)
 
     def _part(self, texts: list[list[str]]) -> list[bytes]:
-        if len(self.known) > KNOWN_PIECES:
-            self.known = {}
-        known = self.known
-        new = list({piece for pieces in texts for piece in pieces if piece not in known})
+        if len(self.known) > KNOWN_PIECES // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {piece for pieces in texts for piece in pieces if piece not in known}
+        # what is met again stays; the rest of the older half goes when the newer is full
+        again = new & older.keys()
+        known.update((piece, older[piece]) for piece in again)
+        new = list(new - again)
         here = dict(zip(new, (array("I", ids).tobytes() for ids in self.ranks.replay([p.encode("utf-8", "surrogatepass") for p in new]))))
         known.update(here)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
@@ -257,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder(path)
         counts, ids_hex, text_hex, ids_out = [], [], [], []
-        for ids in own.encode(list(each_text(batch.column(1)))):
+        for ids in own.encode_each(each_text(batch.column(1))):
             own_ids = np.frombuffer(ids, "<u4")
             counts.append(len(own_ids))
             ids_hex.append(hashlib.sha256(ids).hexdigest())
