@@ -11,6 +11,8 @@ Offsets are code points, the end exclusive. Null and empty texts have no spans.
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 import math
 import re
@@ -18,6 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from braidpath.llm.bpe import rank_file
 from braidpath.llm.common import each_text, map_arrow
 
 #: log10 of the guesses from which a value counts as a secret, and the charge for each segment after the first.
@@ -27,8 +30,19 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-#: Words that announce a credential, what stands between, and the value up to white space or a quote.
-CONTEXT = re.compile(rb"""(?i:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|login)["']?\x20*(?::=|=>|[:=]|\x20is\x20|\x20)\x20*["']?([^\s"'<>,;|]{6,})""")
+#: Words that announce a credential, what stands between, and the scheme of an authorization. Only the value's begin is
+#: found: matches don't take the value in, so a word within it announces its own. With ``:`` or ``=`` long words may end a
+#: name (mypassword=); short ones, and all before mere white space, are words of their own or humps (userPass).
+_LONG = rb"pass(?:word|wd|phrase|code|key)|secret|credentials?|authorization|api[_-]?key|access[_-]?key|private[_-]?key|token|bearer"
+_OWN = rb"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+_SCHEME = rb"""(?:(?i:basic|bearer|digest|token|negotiate|ntlm|hawk|api-?key)\s+["']?)?"""
+CONTEXT = re.compile(
+    rb"(?:(?i:" + _LONG + rb")|" + _OWN + rb"""(?i:pass|pwd|auth|login))["']?\s*(?::=|=>|[:=])\s*["']?""" + _SCHEME
+    + rb"|" + _OWN + rb"(?i:" + _LONG + rb"""|pass|pwd|auth|login)["']?\s+(?:is\s+)?["']?""" + _SCHEME
+)
+#: A value goes up to white space or a quote.
+VALUE = re.compile(rb"""[^\s"'<>,;|]*""")
+LEAST_VALUE = 6
 ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"auth", b"bearer", b"key", b"login")
 
@@ -42,8 +56,18 @@ COMMON_WORDS = (
     "coffee banana flower sunshine princess iloveyou freedom whatever starwars batman matrix love hello world your here none null true false "
     "insert value string replace placeholder redacted hidden"
 ).split()
-RANKS = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
-LONGEST_WORD = max(map(len, COMMON_WORDS))
+#: Letters of the words that are taken from a tokenizer's rank file, which has the frequent words of running text in order.
+LEAST_WORD, LONGEST_WORD = 4, 24
+
+
+@functools.cache
+def word_ranks() -> dict[str, int]:
+    """The rank of each known word: COMMON_WORDS, then the words of the rank file."""
+    with open(rank_file(), "rb") as f:
+        tokens = (base64.b64decode(line.split()[0]) for line in f if line.strip())
+        words = [t.strip().lower().decode() for t in tokens if re.fullmatch(rb" ?[A-Za-z]{%d,%d}" % (LEAST_WORD, LONGEST_WORD), t)]
+    return {w: k for k, w in enumerate(dict.fromkeys([*COMMON_WORDS, *words]), 1)}
+
 
 #: Rows of a keyboard and sequences; a walk moves to a neighbour in one of them, either way.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789", "qaz", "wsx", "edc", "rfv", "tgb", "yhn", "ujm")
@@ -72,10 +96,10 @@ def _capitals(word: str) -> float:
 
 def segments(value: str) -> list[tuple[int, int, float, str]]:
     """(start, end, log10 guesses, kind) of all segments but single brute-force characters."""
-    low, out, each = value.lower(), [], char_cost(value)
+    low, out, each, ranks = value.lower(), [], char_cost(value), word_ranks()
     for a in range(len(low)):
         for b in range(a + 3, min(len(low), a + LONGEST_WORD) + 1):
-            if (rank := RANKS.get(low[a:b])) is not None:
+            if (rank := ranks.get(low[a:b])) is not None:
                 out.append((a, b, math.log10(rank) + _capitals(value[a:b]), "word"))
     for at in range(len(value)):
         if m := DATE.match(value, at):
@@ -124,6 +148,27 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return cost, cut[::-1]
 
 
+def context_values(raw: bytes) -> set[tuple[int, int]]:
+    """Where the values lie that follow a credential context.
+
+    Contexts within one run of characters share its end. There the first value is taken to the end, each later one up to
+    the context after it, so that all are read twice at most. A value that is just the next context gives way to it.
+    """
+    out, runs = set(), {}
+    end = 0
+    for m in CONTEXT.finditer(raw):
+        if m.end() >= end:
+            end = VALUE.match(raw, m.end()).end()
+        runs.setdefault(end, []).append((m.start(), m.end()))
+    for end, found in runs.items():
+        nexts = [*(a for a, _ in found[1:]), end]
+        led = [k for k, ((_, b), after) in enumerate(zip(found, nexts)) if b < after]
+        if led:
+            out.add((found[led[0]][1], end))
+            out |= {(found[k][1], nexts[k]) for k in led[1:]}
+    return {(a, b) for a, b in out if b - a >= LEAST_VALUE}
+
+
 def scan(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The spans of the fixed patterns, and those with the method's added, as (kind, start, end) in order."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -137,7 +182,7 @@ def scan(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[str, int,
                 base.append(("assign", m.start(), m.end()))
                 values.add(m.span(2))
     if any(h in low for h in CONTEXT_HINTS):
-        values |= {m.span(1) for m in CONTEXT.finditer(raw)}
+        values |= context_values(raw)
     more = [("guess", a, b) for a, b in values if guess_cost(raw[a:b].decode("utf-8", "surrogatepass"))[0] >= threshold]
     if len(raw) != len(text):
         # bytes to code points, going once through the text

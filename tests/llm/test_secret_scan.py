@@ -83,3 +83,28 @@ def test_documents(spark, docs, no_docs):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
     assert scan.scan_documents(no_docs).count() == 0
+
+
+@pytest.mark.parametrize(
+    "before, value",
+    [
+        ("Authorization: Bearer ", "eyJhbGciOiJIUzI1NiJ9.x7Kq"), ("Authorization: Basic ", "dXNlcjpzM2NyI3QhWHk5"), ("login password: ", "s3cr#t!Xy9&zz"),
+        ("password:\t", "s3cr#t!Xy9&zz"), ("pwd=\n", "s3cr#t!Xy9&zz"), ("secret=token=", "s3cr#t!Xy9&zz"), ("token is\t", "s3cr#t!Xy9&zz"), ("mypassword=", "s3cr#t!Xy9&zz"), ("userPass=", "s3cr#t!Xy9&zz"),
+    ],
+)
+def test_contexts(before, value):
+    text = f"say {before}{value} end"
+    at = text.index(value)
+    assert ("guess", at, at + len(value)) in scan.scan(text)[1]
+
+
+@pytest.mark.parametrize("text", ["the secret ingredient of it", "a token contribution to", "a compass x9$Kq2!vLm#8", "the secret\nnegotiations went", "password requirements are"])
+def test_prose_has_no_values(text):
+    assert not scan.scan(text)[1]
+
+
+def test_values_within_values():
+    text = "u?password=s3cr#t!Xy9zz&token=Kq2!vLm#8x9$"
+    assert [text[a:b] for k, a, b in scan.scan(text)[1] if k == "guess"] == ["s3cr#t!Xy9zz&token=Kq2!vLm#8x9$", "Kq2!vLm#8x9$"]
+    chain = "password=x&" * 5_000
+    assert sum(b - a for a, b in scan.context_values(chain.encode())) <= 2 * len(chain)
