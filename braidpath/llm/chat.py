@@ -3,7 +3,7 @@
 A line that begins with one or more ``>`` is quoted, at as deep a level as it has marks; consecutive lines of one level are
 a passage. A passage is normalised (marks stripped, lower case, white space runs to one space) and hashed, as a whole and
 line by line. The same is done to what each message says itself. Joining the hashes within a conversation finds, for
-each passage, the earliest message that said it; a message replies to the latest such source, before itself, of its
+each passage, the earliest message that said it, or for passages of under 8 characters the nearest one before; a message replies to the latest such source, before itself, of its
 shallowest linked passages, a whole passage counting before a line. Replies form trees; following them by doubling gives each
 message its root and depth, and (conv_id, root_turn, depth, turn) is the reply order: every message comes after the
 one it answers, and messages that answer nothing come in their turns.
@@ -20,14 +20,14 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidpath.llm.common import each_text, map_arrow, stage
 
 QUOTED = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$", re.S)
 SPACE = re.compile(r"\s+")
-#: Hashes of shorter normalised passages would link by chance; they are quotes all the same.
+#: Shorter normalised passages would link by chance to what is far away: they link to the nearest earlier turn that said them.
 MIN_CHARS = 8
 
 
@@ -53,19 +53,19 @@ def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
     return ("\n".join(own).strip() if passages else text), passages
 
 
-def hashes(lines: list[str]) -> list[tuple[int, str]]:
-    """(0, hash of the whole) and (1, hash of a line) of a passage, once each, where long enough to tell."""
+def hashes(lines: list[str]) -> list[tuple[int, str, bool]]:
+    """(0, hash of the whole, whether it is short) and (1, of a line) of a passage, once each; empty ones tell nothing."""
     whole = normalise(" ".join(lines))
     parts = [(0, whole)] + [(1, n) for n in map(normalise, lines)]
-    return list(dict.fromkeys((k, xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass"))) for k, t in parts if len(t) >= MIN_CHARS))
+    return list(dict.fromkeys((k, xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass")), len(t) < MIN_CHARS) for k, t in parts if t))
 
 
 SAID = pa.list_(pa.string())
-QUOTES = pa.list_(pa.struct([("level", pa.int32()), ("part", pa.int32()), ("hash", pa.string())]))
+QUOTES = pa.list_(pa.struct([("level", pa.int32()), ("part", pa.int32()), ("hash", pa.string()), ("short", pa.bool_())]))
 
 
 def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, own text, number of quoted passages, hashes said, (level, part, hash) quoted."""
+    """conv_id, turn, role, own text, number of quoted passages, hashes said, (level, part, hash, short) quoted."""
     kinds = {c: messages.schema[c].dataType.simpleString() for c in ("conv_id", "turn", "role")}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -74,12 +74,12 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
             body, passages = parse(text)
             own.append(body)
             n.append(len(passages))
-            said.append(sorted({h for _, h in hashes(body.split("\n"))}))
-            quotes.append([{"level": lv, "part": part, "hash": h} for lv, lines in passages for part, h in hashes(lines)])
+            said.append(sorted({h for _, h, _ in hashes(body.split("\n"))}))
+            quotes.append([{"level": lv, "part": part, "hash": h, "short": s} for lv, lines in passages for part, h, s in hashes(lines)])
         columns = [*batch.columns[:3], pa.array(own, pa.string()), pa.array(n, pa.int32()), pa.array(said, SAID), pa.array(quotes, QUOTES)]
         return pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "text", "n_quotes", "said", "quotes"])
 
-    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", text string, n_quotes int, said array<string>, quotes array<struct<level: int, part: int, hash: string>>"
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", text string, n_quotes int, said array<string>, quotes array<struct<level: int, part: int, hash: string, short: boolean>>"
     return map_arrow(messages.select("conv_id", "turn", "role", text_col), run, schema)
 
 
@@ -88,15 +88,39 @@ def reply_links(rows: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quotes = rows.filter("n_quotes > 0").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
     # only hashes that someone quotes in the conversation are worth a row
-    wanted = quotes.select("conv_id", "hash").distinct()
-    said = rows.select("conv_id", "turn", F.explode("said").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
-    linked = quotes.join(said.join(wanted, ["conv_id", "hash"], "left_semi"), ["conv_id", "hash"]).filter("source < turn")
+    wanted = quotes.select("conv_id", "hash", "short").distinct()
+    turns = rows.select("conv_id", "turn", F.explode("said").alias("hash")).join(wanted, ["conv_id", "hash"]).distinct()
+    said = turns.filter("not short").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+    linked = quotes.filter("not short").join(said, ["conv_id", "hash"]).filter("source < turn")
+    near = nearest_said(quotes.filter("short"), turns.filter("short"))
+    linked = linked.unionByName(near)
     # the least (level, part) first, of its sources the latest
     best = F.min(F.struct("level", "part", (-F.col("source")).alias("back")))
     linked = linked.groupBy("conv_id", "turn").agg(best.alias("best"), F.count_distinct("hash").alias("n_linked"))
     return linked.select("conv_id", "turn", (-F.col("best.back")).alias("reply_to"), "n_linked")
 
 
+def nearest_said(quotes: DataFrame, turns: DataFrame) -> DataFrame:
+    """``quotes`` with ``source``, the latest earlier turn in ``turns`` that said the hash; without one they go.
+
+    A short passage may be said and quoted in every turn of a large conversation, so turns aren't joined with turns and no
+    window gathers a hash: in order of (conversation, hash, turn), partitions take in the last turn said before them.
+    """
+    keys = ["conv_id", "hash"]
+    events = turns.select(*keys, "turn", F.lit(1).alias("says"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("part"))
+    events = stage(events.unionByName(quotes.select(*keys, "turn", F.lit(0).alias("says"), "level", "part")), "chat-short")
+    # a message doesn't answer itself: at a turn, quotes come before what is said
+    order = [*keys, "turn", "says"]
+    dealt = stage(events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("bucket", F.spark_partition_id()), "chat-short-dealt")
+    said = F.when(F.col("says") == 1, F.col("turn"))
+    last = dealt.groupBy(*keys, "bucket").agg(F.max(said).alias("last"))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("before", F.max("last").over(before)).drop("last")
+    within = Window.partitionBy(*keys, "bucket").orderBy("turn", "says").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = dealt.withColumn("own", F.max(said).over(within)).filter("says = 0").join(last, [*keys, "bucket"])
+    return found.withColumn("source", F.coalesce("own", "before")).filter("source is not null").select(*keys, "turn", "level", "part", F.lit(True).alias("short"), "source")
+
+
 def roots(links: DataFrame) -> DataFrame:
     """``links`` with root_turn and depth: pointers are doubled until all have reached a message without a link."""
     at = stage(links.select("conv_id", "turn", F.col("reply_to").alias("root_turn"), F.lit(1).alias("depth")), "chat-roots")

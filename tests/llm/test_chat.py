@@ -59,3 +59,14 @@ def test_no_messages_and_no_quotes(messages):
     assert chat.reply_order(messages.filter("conv_id = -1")).count() == 0
     plain = chat.reply_order(messages.filter("conv_id = 3")).collect()
     assert [(r["turn"], r["root_turn"], r["depth"], r["text"]) for r in plain] == [(0, 0, 0, ""), (1, 1, 0, ""), (1, 1, 0, "")]
+
+
+def test_short_quotes(spark):
+    texts = ["Yes.", "No, 42\nand more of it", "Yes.", "> Yes.\nGood.", "> no, 42\nWhy?", "> Yes.\nYes.", "> Yes.\nhm", "> 7\nnever said", ">\nempty"]
+    rows = [(1, k, "u", t) for k, t in enumerate(texts)]
+    rows += [(2, k, "u", "> ok\nok") for k in range(400)]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.reply_order(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(5)).collect()}
+    assert [got[1, k]["reply_to"] for k in range(9)] == [None, None, None, 2, 1, 2, 5, None, None]
+    assert [got[1, k]["n_linked"] for k in range(9)] == [0, 0, 0, 1, 1, 1, 1, 0, 0]
+    assert [got[2, k]["reply_to"] for k in range(400)] == [None, *range(399)]
+    assert got[2, 399]["root_turn"] == 0 and got[2, 399]["depth"] == 399
