@@ -1,6 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features are the words (runs of letters, lower case) of a selected vocabulary, valued log(1 + count). The vocabulary
+Features are the words (runs of letters, lower case) and the parts of words (four characters, ends marked) of a selected
+vocabulary, valued log(1 + count); parts tell rare forms by what they share with others. The vocabulary
 comes from document frequencies by class over the labelled sample, counted with a shuffle that gets one row a word
 and task. One weight vector serves all thresholds: P(grade >= k) = sigmoid(x w - theta_k) with theta ascending, so
 the probabilities of higher grades never exceed those of lower ones, and the expected severity is their sum.
@@ -20,18 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidpath.llm.common import each_text, map_arrow, stage
 from braidpath.llm.text_stats import labelled_sample
 
-#: The bounds on labelled rows to learn from and on the vocabulary.
+#: The bounds on labelled rows to learn from and on the vocabulary, of words and as many parts.
 SAMPLE_ROWS, VOCABULARY = 20_000, 2_048
 #: A word is considered from so many sample documents on, and if its log-odds are so many standard errors from 0.
 MIN_DOCS, MIN_Z = 5, 3.0
 GRADES = 4
 TOXIC_FROM = 0.5
+#: Characters of a part of a word, and words whose features a task remembers.
+PART, MEMO = 4, 100_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -40,6 +44,26 @@ def words(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
+def parts(word: str) -> set[str]:
+    """The runs of PART characters of a word between marked ends; no word begins with a #."""
+    marked = f"^{word}$"
+    return {f"#{marked[k : k + PART]}" for k in range(max(1, len(marked) - PART + 1))}
+
+
+def counted(text: str, known, memo: dict) -> dict[str, int]:
+    """How often the words and parts in ``known`` are in the text; ``memo`` keeps those of the words seen last."""
+    out: dict[str, int] = {}
+    for word, n in Counter(words(text)).items():
+        found = memo.get(word)
+        if found is None:
+            if len(memo) >= MEMO:
+                memo.clear()
+            found = memo[word] = tuple(f for f in (word, *parts(word)) if f in known)
+        for f in found:
+            out[f] = out.get(f, 0) + n
+    return out
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
     """Weights by word, and the ascending thresholds between grades."""
@@ -47,10 +71,10 @@ class OrdinalModel:
     weights: dict[str, float]
     thresholds: tuple[float, ...]
 
-    def margins(self, texts) -> np.ndarray:
-        known, out = self.weights, []
+    def margins(self, texts, memo: dict | None = None) -> np.ndarray:
+        known, out, memo = self.weights, [], {} if memo is None else memo
         for text in texts:
-            found = Counter([w for w in words(text) if w in known])
+            found = counted(text, known, memo)
             out.append(sum(known[w] * np.log1p(n) for w, n in found.items()))
         return np.array(out, float)
 
@@ -95,23 +119,24 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         toxic, clean = Counter(), Counter()
         for text, label in zip(each_text(batch.column(0)), batch.column(1).to_pylist()):
-            (toxic if label else clean).update(set(words(text)))
+            (toxic if label else clean).update({f for w in set(words(text)) for f in (w, *parts(w))})
         names = list(toxic | clean)
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[w] for w in names], pa.int64()), pa.array([clean[w] for w in names], pa.int64())], names=["word", "toxic", "clean"])
 
-    parts = map_arrow(sample.select("text", "label"), run, "word string, toxic bigint, clean bigint")
-    return parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") + F.col("clean") >= MIN_DOCS)
+    found = map_arrow(sample.select("text", "label"), run, "word string, toxic bigint, clean bigint")
+    return found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") + F.col("clean") >= MIN_DOCS)
 
 
 def _sparse_rows(sample: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(doc_id, label, cols, counts) over the vocabulary: small rows, whatever the texts' lengths."""
-    place = {w: k for k, w in enumerate(vocabulary)}
+    place: dict[str, int] = {w: k for k, w in enumerate(vocabulary)}
+    memo: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols, counts = [], []
         for text in each_text(batch.column(1)):
-            found = Counter([place[w] for w in words(text) if w in place])
-            cols.append(list(found))
+            found = counted(text, place, memo)
+            cols.append([place[f] for f in found])
             counts.append(list(found.values()))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "cols", "counts", "label"])
 
@@ -129,14 +154,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n_rows - n_toxic - F.col("clean") + 0.5))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = _word_counts(sample).withColumn("odds", odds).withColumn("z", F.col("odds") / error)
-    chosen = best.filter(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()
+    best = stage(best.filter(F.abs("z") >= MIN_Z), "toxicity-words")
+    is_part = F.col("word").startswith("#")
+    chosen = [r for kind in (~is_part, is_part) for r in best.filter(kind).orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()]
     names = [r["word"] for r in chosen]
-    marked = np.array([r["odds"] > 3 and r["z"] > 4 for r in chosen])
-    found = sorted(_sparse_rows(sample, names).collect(), key=lambda r: (r["doc_id"], r["label"], r["cols"]))
-    toxic = np.array([r["label"] > 0 for r in found])
-    rows = np.repeat(np.arange(len(found)), [len(r["cols"]) for r in found])
-    cols = np.array([c for r in found for c in r["cols"]], np.int64)
-    counts = np.array([c for r in found for c in r["counts"]], np.float64)
+    marked = np.array([r["odds"] > 3 and r["z"] > 4 and not r["word"].startswith("#") for r in chosen], bool)
+    # columns, not row objects: parts make many entries a row
+    found = _sparse_rows(sample, names).toArrow()
+    found = found.take(pc.sort_indices(found, [("doc_id", "ascending"), ("label", "ascending")]))
+    toxic = found["label"].to_numpy() > 0
+    rows = np.repeat(np.arange(len(found)), pc.list_value_length(found["cols"]).to_numpy())
+    cols = pc.list_flatten(found["cols"]).to_numpy().astype(np.int64)
+    counts = pc.list_flatten(found["counts"]).to_numpy().astype(np.float64)
     hits = np.bincount(rows, counts * marked[cols] if len(cols) else None, len(found))
     cuts = np.unique(np.quantile(hits[toxic], np.linspace(0, 1, n_grades)[1:-1]))
     grades = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0)
@@ -147,9 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, severity (the expected grade), grade (the likeliest), p_toxic, toxic."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    memo: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = model.at_least(model.margins(each_text(batch.column(1))))
+        p = model.at_least(model.margins(each_text(batch.column(1)), memo))
         cdf = np.hstack([np.ones((len(p), 1)), p, np.zeros((len(p), 1))])
         grade = np.argmax(cdf[:, :-1] - cdf[:, 1:], axis=1).astype(np.int32)
         columns = [batch.column(0), pa.array(p.sum(1)), pa.array(grade), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC_FROM)]

@@ -40,3 +40,14 @@ def test_edges(spark, docs, no_docs):
     assert all(r["severity"] < 1e-6 and not r["toxic"] for r in toxicity.score(docs, alone).collect())
     assert toxicity.score(no_docs, model).count() == 0
     assert toxicity.fit(no_docs, labels).weights == {}
+
+
+def test_rare_forms_are_known_by_their_parts(spark):
+    """No form of the word comes twice, so none is in the vocabulary; those scored were not learned from."""
+    form = lambda k: "grumbl" + "".join(chr(97 + int(c)) for c in str(1000 + k))
+    rows = [(k, f"plain words of the day number and {form(k) if k % 4 == 0 else ''} else") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    new = spark.createDataFrame([(1, f"words of the day and {form(901)} else"), (2, "words of the day and else")], docs.schema)
+    assert {r["doc_id"]: r["toxic"] for r in toxicity.score(new, model).collect()} == {1: True, 2: False}
