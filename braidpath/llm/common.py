@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Used only where the session names no checkpoint folder (tests, a laptop).
+#: Used only in local mode, where the session names no checkpoint folder (tests, a laptop).
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 #: ASCII white space; words are maximal runs of anything else.
@@ -21,21 +22,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fallback where it is unset."""
-    if at := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only local mode may leave it unset."""
+    if at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return at.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(FALLBACK_CHECKPOINT_DIR)
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return FALLBACK_CHECKPOINT_DIR
 
 
+def staged_dir(spark: SparkSession) -> str:
+    """Where this application's staged tables lie."""
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Remove the application's staged tables; results that are still lazy read from them, so write these before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``frames`` is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """Apply ``fn`` to each Arrow batch of ``df`` inside its own task; no shuffle."""
 
@@ -52,18 +72,48 @@ def each_text(column: pa.Array) -> Iterator[str]:
         yield value.as_py() or ""
 
 
-def hot_lookup(rows: DataFrame, facts: DataFrame, key: str, n_rows: str, hot_share: int = 1000) -> DataFrame:
+def hot_lookup(rows: DataFrame, facts: DataFrame, key: str, n_rows: str, total: int | None = None, hot_share: int = 1000) -> DataFrame:
     """Inner-join ``rows`` with ``facts`` (one row a key; column ``n_rows`` holds how many rows the key has).
 
     A key with over 1/hot_share of all rows is hot. There can be at most ``hot_share`` such keys, so that
     part of ``facts`` may be broadcast and the rows of hot keys are never gathered; the others join by a
-    plain shuffle, where no key holds more than 1/hot_share of the rows.
+    plain shuffle, where no key holds more than 1/hot_share of the rows. ``total`` is the number of rows, if known.
     """
-    total = facts.agg(F.sum(n_rows)).first()[0] or 0
+    if total is None:
+        total = facts.agg(F.sum(n_rows)).first()[0] or 0
     is_hot = F.col(n_rows) > max(1, total // hot_share)
     hot = F.broadcast(facts.filter(is_hot))
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(facts.filter(is_hot).select(key)), key, "left_anti").join(facts.filter(~is_hot), key))
 
 
+def one_row_each(rows: DataFrame, key: Column, stay: DataFrame, n_rows: str, hot_share: int = 1000) -> DataFrame:
+    """One of the rows of each key that is in ``stay`` (one row a key: ``key``, and ``n_rows``, how many rows have it).
+
+    The rows of keys with over 1/hot_share of all rows, at most ``hot_share`` keys, are reduced to one in each task
+    before they move; no other key holds more than 1/hot_share of the rows.
+    """
+    total = stay.agg(F.sum(n_rows)).first()[0] or 0
+    is_hot, name = F.col(n_rows) > max(1, total // hot_share), fresh("__row", rows)
+    keyed, keys = rows.withColumn(name, key), stay.withColumnRenamed("key", name)
+    parts = [keyed.join(side, name, "left_semi").dropDuplicates([name]) for side in (keys.filter(~is_hot), F.broadcast(keys.filter(is_hot)))]
+    return parts[0].unionByName(parts[1]).select(rows.columns)
+
+
+def sums_before(rows: DataFrame, order: Sequence[str], sums: Mapping[str, Column], name: str) -> DataFrame:
+    """``rows`` with, for each of ``sums``, the sum over all rows that come before in ``order`` (which tells all rows apart).
+
+    No task gets all rows: they are range-sorted and written, and each partition adds the totals of those before it,
+    of which there are as many as partitions.
+    """
+    dealt = rows.withColumns(dict(sums)).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = stage(dealt.withColumn("__bucket", F.spark_partition_id()), name)
+    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("__bucket").agg(*[F.sum(c).alias(c) for c in sums])
+    whole = whole.select("__bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__to_{c}") for c in sums])
+    inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumns({c: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).join(F.broadcast(whole), "__bucket")
+    return out.withColumns({c: F.col(c) + F.col(f"__to_{c}") for c in sums}).drop("__bucket", *[f"__to_{c}" for c in sums])
+
+
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))

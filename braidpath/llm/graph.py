@@ -5,30 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidpath.llm.common import stage
+from braidpath.llm.common import hot_lookup, stage
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Every neighbour of u that is larger than u is linked to the least of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return _distinct(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    links = hot_lookup(both.filter("v > u"), least, "u", "n", 2 * n_edges)
+    return _distinct(links.select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    links = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    links = hot_lookup(down, least, "u", "n", n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _distinct(links.unionByName(least.select("u", F.col("m").alias("v"))))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """From edges (u, v) the rows (id, component): every node of an edge that isn't the least of its component."""
+    """From edges (u, v) the rows (id, component): every node of an edge that isn't the least of its component.
+
+    A node with a large part of all edges, as the least of a giant component comes to be, meets them by broadcast.
+    """
     edges = stage(_distinct(edges.select("u", "v")), name)
     seen = None
     while True:
@@ -36,4 +40,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if now == seen or not now[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = now
-        edges = stage(_small_star(_large_star(edges)), name)
+        edges = stage(_small_star(_large_star(edges, now[0]), now[0]), name)

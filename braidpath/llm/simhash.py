@@ -1,35 +1,40 @@
 """SimHash near-dedup: fingerprints, and a self-join of the binary trie that they span.
 
 The trie join walks pairs of nodes from the root. A pair carries the number of bits in which its two prefixes
-differ; a child pair whose number exceeds the error budget is cut off with all that is below it. The top of the walk
-is a few DataFrame steps over node counts: pairs of heavy nodes are opened further, others become tasks, so no task
-gets more than a bounded number of fingerprints however they cluster. A task goes on with its pair in numpy down to
-small leaves, which are compared directly, and returns a spanning forest of the links it found.
-
-Fingerprints are distinct before the join: copies of a text count once. A text without words has fingerprint zero
-and is linked like any other. Null texts count as empty; a null id is kept as a row and never names a component
-unless all ids of it are null.
+differ; a child pair whose number exceeds the error budget is cut off with all that is below it. Two fingerprints
+within a budget of k bits agree in at least one of k + 1 blocks of bits, so the join is made over k + 1 rotations of
+the fingerprints, each with another block on top, and in each begins at the pairs of a node with itself at the foot of
+that block: a fingerprint is dealt to k + 1 nodes, however many fingerprints there are, and nodes with one fingerprint
+are left out. Many small nodes share a task. A node that is too large for a task is opened in DataFrame steps over
+node counts, each pair of its descendants within the budget becoming a task or being opened further, so no task gets
+more than a bounded number of fingerprints however they cluster. A task walks on in numpy down to small leaves, which
+are compared directly, and returns a spanning forest of the links it found.
+
+Fingerprints are distinct before the join, and name the nodes of the link graph: copies of a text count once, and
+ids, of any type, are looked at only when components are done. What is defined for odd input:
+
+* null and empty texts, and texts without words, have fingerprint zero and are linked like any other;
+* a null id keeps its row, and names a component only if all ids of it are null; negative and string ids are ordinary;
+* repeated ids and repeated rows each keep their row; what shares an id isn't linked by that;
+* a very long text is read whole, its hashes counted in blocks; an empty table gives an empty result;
+* other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-
-import itertools
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidpath.llm.common import each_text, hot_lookup, map_arrow, stage
+from braidpath.llm.common import each_text, hot_lookup, map_arrow, one_row_each, stage
 from braidpath.llm.graph import components
 
 BITS = 64
-#: Fingerprints that a trie node should have when it becomes a task, and the bits by which a node of over HEAVY is opened.
-NODE_ROWS, HEAVY, STEP = 4_096, 16_384, 2
+#: Fingerprints that a task should have, and the bits by which a node of over HEAVY is opened.
+TASK_ROWS, HEAVY, STEP = 16_384, 16_384, 2
 #: Leaf pairs with at most so many pairs of fingerprints are compared directly.
 LEAF_PAIRS = 96
 #: Hashes whose bits are counted at once.
@@ -54,15 +59,20 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text, as a signed 64-bit integer."""
+    """(doc_id, fp, text_hash): the fingerprint of each row's whole text, as a signed 64-bit integer."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = np.array([fingerprint(t, width, seed) for t in each_text(batch.column(1))], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), run, f"doc_id {id_type}, fp bigint")
+    return map_arrow(docs.select(id_col, text_col, text_hash(F.col(text_col))), run, f"doc_id {id_type}, fp bigint, text_hash bigint")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -85,13 +95,19 @@ def _starts(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.nd
 
 
 def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, differing: int, budget: int):
-    """Pairs of positions in two sorted arrays of fingerprints, of one trie node each, within ``budget`` bits.
+    """Pairs of positions in two sorted arrays of fingerprints within ``budget`` bits.
 
-    ``right`` None: pairs within ``left``, each once. Yields blocks (positions in left, positions in right).
+    Each array holds one trie node of so many bits' depth, the two prefixes ``differing`` in so many. ``right`` None: ``left``
+    may hold many nodes, and each is joined with itself, each pair once. Yields blocks (positions in left, positions in right).
     """
     own = right is None
     keys = left if own else right
-    pairs = np.array([[0, len(left), 0, len(keys), differing]], np.int64)
+    if own and depth:
+        begin = np.flatnonzero(np.diff(left >> np.uint64(BITS - depth), prepend=~left[:1] >> np.uint64(BITS - depth)))
+        end = np.append(begin[1:], len(left))
+        pairs = np.stack([begin, end, begin, end, np.zeros_like(begin)], 1)
+    else:
+        pairs = np.array([[0, len(left), 0, len(keys), differing]], np.int64)
     for bit in range(BITS - 1 - depth, -1, -1):
         small = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= LEAF_PAIRS
         yield from _leaves(left, keys, pairs[small], budget, own)
@@ -122,87 +138,110 @@ def _leaves(left: np.ndarray, keys: np.ndarray, pairs: np.ndarray, budget: int,
         yield a[near], b[near]
 
 
-def _node_pairs(fps: DataFrame, budget: int) -> list[tuple[int, DataFrame]]:
-    """The tasks of the join: depths, and for each the pairs (p, q) of prefixes of so many bits, p <= q.
+def rotated(fp: Column, by: int) -> Column:
+    """A signed 64-bit column with its bits moved up by ``by``, those on top coming in below."""
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by)) if by else fp
+
 
-    The walk begins at the depth at which evenly spread fingerprints fill NODE_ROWS a node; a node there meets those
-    whose prefixes differ in at most ``budget`` bits, all other pairs having been cut off on the way. Pairs with a
-    heavier node are opened by STEP bits, again and again.
+def _opened(heavy: DataFrame, width: int, budget: int) -> list[tuple[int, DataFrame]]:
+    """The tasks of nodes too large for one: depths, and for each (turn, p, q), pairs of prefixes of so many bits, p <= q.
+
+    ``heavy`` has the rows (turn, key) of these nodes, of ``width`` bits. Pairs with a node of over HEAVY rows are opened
+    by STEP bits, again and again, and descendants that differ in more than ``budget`` bits cut off.
     """
-    depth = max(1, math.ceil(math.log2(max(1, fps.count()) / NODE_ROWS)))
-    masks = [sum(1 << b for b in bits) for n in range(budget + 1) for bits in itertools.combinations(range(depth), n)]
-    tasks: list[tuple[int, DataFrame]] = []
-    open_ = None
+    depth, tasks = width, []
+    open_ = heavy.select("turn", F.shiftrightunsigned("key", BITS - depth).alias("p")).distinct().withColumn("q", F.col("p"))
     while True:
-        nodes = fps.groupBy(F.shiftrightunsigned("fp", BITS - depth).alias("p")).agg(F.count("*").alias("n"))
-        others = nodes.select(F.col("p").alias("q"), F.col("n").alias("m"))
-        if open_ is None:
-            mask = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks]))
-            pairs = nodes.withColumn("mask", mask).withColumn("q", F.col("p").bitwiseXOR(F.col("mask"))).join(others, "q")
-        else:
-            above = open_.select(F.col("p").alias("pp"), F.col("q").alias("qq"))
-            left = nodes.withColumn("pp", F.shiftrightunsigned("p", step))
-            pairs = above.join(left, "pp").join(others.withColumn("qq", F.shiftrightunsigned("q", step)), "qq")
+        step = min(STEP, BITS - depth)
+        depth += step
+        nodes = heavy.groupBy("turn", F.shiftrightunsigned("key", BITS - depth).alias("p")).agg(F.count("*").alias("n"))
+        above = open_.select("turn", F.col("p").alias("pp"), F.col("q").alias("qq"))
+        others = nodes.select("turn", F.col("p").alias("q"), F.col("n").alias("m"), F.shiftrightunsigned("p", step).alias("qq"))
+        pairs = above.join(nodes.withColumn("pp", F.shiftrightunsigned("p", step)), ["turn", "pp"]).join(others, ["turn", "qq"])
         differing = F.bit_count(F.col("p").bitwiseXOR(F.col("q")))
-        pairs = stage(pairs.filter((F.col("p") <= F.col("q")) & (differing <= budget)).select("p", "q", "n", "m"), "trie-pairs")
-        heavy = F.greatest("n", "m") > (HEAVY if depth < BITS else 2**62)
-        tasks.append((depth, pairs.filter(~heavy).select("p", "q")))
-        open_ = pairs.filter(heavy)
+        pairs = stage(pairs.filter((F.col("p") <= F.col("q")) & (differing <= budget)).select("turn", "p", "q", "n", "m"), "trie-pairs")
+        still = F.greatest("n", "m") > (HEAVY if depth < BITS else 2**62)
+        tasks.append((depth, pairs.filter(~still).select("turn", "p", "q")))
+        open_ = pairs.filter(still)
         if open_.isEmpty():
             return tasks
-        step = min(STEP, BITS - depth)
-        depth += step
 
 
 def near_links(fps: DataFrame, budget: int = 2) -> DataFrame:
-    """From distinct (fp, rep) the edges (u, v) between reps, enough to connect all within ``budget`` bits.
+    """From distinct (fp) the edges (u, v) between fingerprints, enough to connect all within ``budget`` bits.
 
-    A task has one node and the later nodes that it is paired with, so a fingerprint goes to its own node's task and
-    to about half the nodes near it.
+    A light node goes to a task with others, as a whole. Of an opened one, a task has one descendant and the later ones that
+    it is paired with.
     """
-    dealt = None
-    for depth, tasks in _node_pairs(fps, budget):
-        own = fps.withColumn("prefix", F.shiftrightunsigned("fp", BITS - depth))
-        sides = tasks.select("p", F.col("q").alias("prefix")).unionByName(tasks.select("p", F.col("p").alias("prefix"))).distinct()
-        part = own.join(sides, "prefix").select(F.lit(depth).alias("depth"), "p", "fp", "rep")
-        dealt = part if dealt is None else dealt.unionByName(part)
+    width = min(BITS - 1, BITS // (budget + 1))
+    node = F.shiftrightunsigned("key", BITS - width)
+    turns = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), rotated(F.col("fp"), t * width).alias("key")) for t in range(budget + 1)]))
+    rows = fps.select(turns.alias("x")).select("x.*").withColumn("node", F.struct("turn", node.alias("p")))
+    counts = stage(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "trie-nodes")
+    n_dealt, most = counts.agg(F.sum("n"), F.max("n")).first()
+    n_dealt = n_dealt or 0
+    tasks = max(1, n_dealt // TASK_ROWS)
+    light = hot_lookup(rows, counts.filter(F.col("n") <= HEAVY), "node", "n", n_dealt)
+    task = F.pmod(F.xxhash64("node"), F.lit(tasks))
+    dealt = light.select("turn", F.lit(width).alias("depth"), F.lit(None).cast("bigint").alias("p"), task.alias("task"), "key")
+    if (most or 0) > HEAVY:
+        heavy = stage(hot_lookup(rows, counts.filter(F.col("n") > HEAVY), "node", "n", n_dealt).select("turn", "key"), "trie-heavy")
+        for depth, pairs in _opened(heavy, width, budget):
+            sides = pairs.select("turn", "p", F.col("q").alias("prefix")).unionByName(pairs.select("turn", "p", F.col("p").alias("prefix"))).distinct()
+            part = heavy.withColumn("prefix", F.shiftrightunsigned("key", BITS - depth)).join(sides, ["turn", "prefix"])
+            dealt = dealt.unionByName(part.select("turn", F.lit(depth).alias("depth"), "p", F.col("p").alias("task"), "key"))
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        depth, p = int(group["depth"].iloc[0]), int(group["p"].iloc[0])
-        keys, rep = group["fp"].to_numpy(np.int64).view(np.uint64), group["rep"].to_numpy(np.int64)
-        order = np.argsort(keys)
-        keys, rep = keys[order], rep[order]
-        nodes, begin = np.unique(keys >> np.uint64(BITS - depth), return_index=True)
-        spans = dict(zip(nodes.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(keys)])))
-        low, high = spans.get(p, (0, 0))
+        turn, depth, p = int(group["turn"].iloc[0]), int(group["depth"].iloc[0]), group["p"].iloc[0]
+        keys = np.sort(group["key"].to_numpy(np.int64).view(np.uint64))
         root = np.arange(len(keys))
-        for q, (start, end) in spans.items():
-            right, differing = None if q == p else keys[start:end], (p ^ q).bit_count()
-            for a, b in trie_links(keys[low:high], right, depth, differing, budget):
-                root = _forest(len(keys), a + low, b + start, root)
+        if pd.isna(p):
+            for a, b in trie_links(keys, None, depth, 0, budget):
+                root = _forest(len(keys), a, b, root)
+        else:
+            p = int(p)
+            nodes, begin = np.unique(keys >> np.uint64(BITS - depth), return_index=True)
+            spans = dict(zip(nodes.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(keys)])))
+            low, high = spans[p]
+            for q, (start, end) in spans.items():
+                right, differing = None if q == p else keys[start:end], (p ^ q).bit_count()
+                for a, b in trie_links(keys[low:high], right, depth, differing, budget):
+                    root = _forest(len(keys), a + low, b + start, root)
+        by = np.uint64(turn * width)
+        back = keys if not by else keys >> by | keys << np.uint64(BITS) - by
         moved = np.flatnonzero(root != np.arange(len(keys)))
-        return pd.DataFrame({"u": rep[moved], "v": rep[root[moved]]})
+        return pd.DataFrame({"u": back[moved].view(np.int64), "v": back[root[moved]].view(np.int64)})
 
-    return dealt.groupBy("depth", "p").applyInPandas(join, "u bigint, v bigint")
+    return dealt.groupBy("turn", "depth", "p", "task").applyInPandas(join, "u bigint, v bigint")
+
+
+def labelled(own: DataFrame, budget: int) -> DataFrame:
+    """From ``fingerprints`` one row a fingerprint: fp, n_rows, first, component (a fingerprint).
+
+    ``first`` is the least (whether the id is null, id, text_hash) of the rows.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    groups = stage(own.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n_rows")), "fingerprint-groups")
+    found = components(near_links(groups.select("fp"), budget), "near-components")
+    return groups.join(found, groups["fp"] == found["id"], "left").select("fp", "n_rows", "first", F.coalesce("component", "fp").alias("component"))
 
 
 def near_components(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """One row for each of ``docs``: doc_id, fp, component_id (the least doc_id that links lead to)."""
     own = stage(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    groups = stage(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "fingerprint-groups")
-    # a fingerprint whose ids are all null still links others; it goes by an id below all real ones, mapped back at the end
-    nameless = F.lit(None).cast("bigint")
-    known = groups.withColumn("rep", F.coalesce(F.col("rep").cast("bigint"), -F.abs(F.xxhash64("fp")) - 1))
-    found = components(near_links(known.select("fp", "rep"), budget), "near-components")
-    labelled = known.join(found, known["rep"] == found["id"], "left").select("fp", "n_rows", "rep", F.coalesce("component", "rep").alias("component"))
-    if not groups.filter("rep is null").isEmpty():
-        best = labelled.groupBy("component").agg(F.min(F.when(F.col("rep") >= 0, F.col("rep"))).alias("least"))
-        labelled = labelled.join(best, "component").withColumn("component", F.coalesce("least", nameless))
-    labelled = stage(labelled.select("fp", "n_rows", F.col("component").alias("component_id")), "fingerprint-components")
-    return hot_lookup(own, labelled, "fp", "n_rows").select("doc_id", "fp", "component_id")
+    fps = labelled(own, budget)
+    least = fps.groupBy("component").agg(F.min("first")["doc_id"].alias("component_id"), F.count("*").alias("n_fps"))
+    fps = hot_lookup(fps, stage(least, "component-ids"), "component", "n_fps")
+    fps = stage(fps.select("fp", "n_rows", "component_id"), "fingerprint-components")
+    return hot_lookup(own, fps, "fp", "n_rows").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, the one with the least id; all columns kept."""
-    stay = near_components(docs, budget, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
+    """``docs`` with one row of each component, all columns kept: of the rows with the least id that of the least text hash.
+
+    A row is known by its id and its text, so repeated and null ids drag nothing along; of rows that share both one stays.
+    """
+    own = stage(fingerprints(docs, id_col, text_col), "fingerprints")
+    firsts = labelled(own, budget).groupBy("component").agg(F.min_by(F.struct("first", "n_rows"), "first").alias("x"))
+    stay = firsts.select(F.struct("x.first.doc_id", "x.first.text_hash").alias("key"), F.col("x.n_rows").alias("n_rows"))
+    return one_row_each(docs, F.struct(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash")), stage(stay, "near-stay"), "n_rows")

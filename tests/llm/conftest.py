@@ -1,7 +1,7 @@
 import pytest
 
 #: Every column that an operator makes for itself, to clash with; and one that it doesn't know.
-EXTRA = "digest string, fp string, size string, key string, bucket string, copies string, n_rows string, label string, other string"
+EXTRA = "digest string, fp string, size string, key string, bucket string, copies string, n_rows string, label string, __row string, __id string, __position string, __bucket string, text_hash string, other string"
 
 LONG = "word " * 3000 + "tail " * 50 + "end"
 

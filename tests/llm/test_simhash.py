@@ -53,6 +53,13 @@ def clustered(n, seed):
     return sorted(set(out))
 
 
+def test_nodes_joined_each_with_itself():
+    keys = np.array(clustered(400, 3), np.uint64)
+    got = {(int(a), int(b)) for x, y in simhash.trie_links(keys, None, 5, 0, 2) for a, b in zip(x, y)}
+    near = lambda a, b: int(keys[a]) >> 59 == int(keys[b]) >> 59 and (int(keys[a]) ^ int(keys[b])).bit_count() <= 2
+    assert got == {(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys)) if near(a, b)}
+
+
 @pytest.mark.parametrize("budget", [0, 1, 2, 3])
 def test_trie_finds_each_link_once(budget, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF_PAIRS", 6)
@@ -62,15 +69,18 @@ def test_trie_finds_each_link_once(budget, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_links_across_tasks(spark, monkeypatch):
+@pytest.mark.parametrize("budget, heavy", [(0, 40), (1, 8), (2, 5), (2, 40), (3, 10)])
+def test_links_across_tasks(spark, monkeypatch, budget, heavy):
     """Small nodes, so that the walk above the tasks opens several levels."""
-    monkeypatch.setattr(simhash, "NODE_ROWS", 30)
-    monkeypatch.setattr(simhash, "HEAVY", 40)
+    monkeypatch.setattr(simhash, "TASK_ROWS", 30)
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
     fps = clustered(600, 2)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    df = spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp bigint, rep bigint")
-    found = {r["id"]: r["component"] for r in graph.components(simhash.near_links(df)).collect()}
-    assert [found.get(k, k) for k in range(len(fps))] == brute_components(fps, 2)
+    df = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    found = {r["id"]: r["component"] for r in graph.components(simhash.near_links(df, budget)).collect()}
+    want = brute_components(fps, budget)
+    got = [found.get(f, f) for f in signed]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
 def test_components_of_a_long_chain(spark):
@@ -80,21 +90,54 @@ def test_components_of_a_long_chain(spark):
     assert graph.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-def test_documents(docs, no_docs, make_docs):
-    got = simhash.near_components(docs).collect()
-    assert len(got) == len(ROWS)
-    fps = [brute_fingerprint(t) for _, t, *_ in ROWS]
+def expected(rows, budget=2):
+    """(id, text) to the component's least id, and the number of components."""
+    roots = brute_components([brute_fingerprint(t) for _, t in rows], budget)
     groups = defaultdict(list)
-    for (i, *_), c in zip(ROWS, brute_components(fps, 2)):
+    for (i, _), c in zip(rows, roots):
         groups[c].append(i)
-    want = {}
-    for ids in groups.values():
-        want |= {i: min((x for x in ids if x is not None), default=None) for i in ids}
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    least = {c: min((x for x in ids if x is not None), default=None) for c, ids in groups.items()}
+    return sorted(((i, least[c]) for (i, _), c in zip(rows, roots)), key=repr), len(groups)
+
+
+BASE = " ".join(f"w{k % 37} x{k}" for k in range(200))
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_ids_of_any_kind(spark, kind):
+    """Repeated, negative, null and string ids; near texts (one word changed late in a long text) under them."""
+    near = BASE.replace("x199", "y199")
+    other = "something else entirely that is not like the rest " * 3
+    rows = [(5, BASE), (5, other), (3, near), (4, other.upper()), (-5, "alone with a negative id here"), (None, "no id and no copy at all"), (None, near), (7, "nul id first"), (7, "nul id first"), (9, None), (8, "")]
+    if kind == "string":
+        rows = [(None if i is None else f"id{i}", t) for i, t in rows]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_components(df).collect()), key=repr)
+    want, n = expected(rows)
+    assert got == want
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(df).collect()]
+    assert len(kept) == n
+    least = {c for _, c in want}
+    assert {i for i, _ in kept} == least
+    assert len({brute_fingerprint(t) for _, t in kept}) == n
+
+
+def test_documents(docs, no_docs, make_docs):
+    got = simhash.near_components(docs).collect()
+    want, n = expected([r[:2] for r in ROWS])
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == want
     assert simhash.near_components(no_docs).count() == 0
     kept = simhash.drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    stays = sorted(i for i, c in want.items() if i is not None and i == c)
-    assert sorted({r["doc_id"] for r in kept.collect()} - {None}) == stays
-    nameless = simhash.near_components(make_docs([(None, "some words that stand alone", None, None, None)] * 2)).collect()
-    assert [r["component_id"] for r in nameless] == [None, None]
+    assert kept.columns == docs.columns and kept.count() == n
+    assert simhash.drop_near_copies(no_docs).count() == 0
+    nameless = make_docs([(None, "some words that stand alone", None, None, None)] * 2)
+    assert [r["component_id"] for r in simhash.near_components(nameless).collect()] == [None, None]
+    assert simhash.drop_near_copies(nameless).count() == 1
+
+
+def test_many_copies_of_one_row(spark):
+    rows = [(1, "the same text under the same id again")] * 3000 + [(k, f"number {k} stands alone with its own words {k * k}") for k in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want, n = expected([rows[0], *rows[3000:]])
+    assert simhash.drop_near_copies(df).count() == n
+    assert sum(r["component_id"] == 1 for r in simhash.near_components(df).collect()) >= 3000
