@@ -2,13 +2,18 @@
 
 Texts are equal when identical after lower-casing A-Z only; null counts as empty. A text's digest is the SHA-256
 of that form in UTF-8. The index is a table of one row a digest, written in buckets of the digest and sorted within
-them, so a new batch meets it in a sort-merge anti-join without moving the index, and the digests that are new are
-appended in the same layout. Decisions are written before the append: a batch that fails after it is finished from
-them, not by asking the index again.
-
-Of equal rows of one batch the one with the largest doc_id stays (a null id is smaller than any other); of rows that
-share even the id, one stays. A digest that the index held before stays with the row it came with, so all rows of the
-batch that have it go. Columns other than the id and the text are not looked at.
+them. Every batch meets it in a sort-merge anti-join that doesn't move the index, and the digests that are new are
+appended in the same layout; an index begins empty, so the first batch takes the same way. A batch may enter in slices
+of falling id: a later slice finds the digests of the earlier ones in the index, and all decisions are read from there.
+
+What is defined:
+
+* of equal rows of one batch the one with the largest id stays (a null id is smaller than any other; ids may be of any
+  type with an order); of rows that share id and text, one stays;
+* a digest that an earlier batch brought stays with the row it came with, so all rows of the batch that have it go;
+* a batch is known by its name: one that fails after its digests are in the index is decided alike when run again;
+* null and empty texts are equal; very long texts are digested whole; an empty table adds nothing and gives no rows;
+* other columns are not looked at, and may have any names.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidpath.llm.common import hot_lookup, shared_dir, stage
+from braidpath.llm.common import hot_lookup, one_row_each, shared_dir, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,71 +39,95 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A catalog table (digest, keep_id) in buckets of the digest, at a place in the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
-        self.spark, self.buckets = spark, buckets
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        if buckets is None and self.exists():
-            made = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED `{self.name}`").collect()}
-            self.buckets = int(made["Num Buckets"])
-        self.path = path or f"{shared_dir(spark)}/{self.name}"
-
-    @classmethod
-    def attach(cls, spark: SparkSession, name: str, path: str, buckets: int, id_type: str = "bigint") -> DigestIndex:
-        """An index that an earlier application wrote to ``path``, under a name in this one's catalog."""
-        if not spark.catalog.tableExists(name):
-            spark.sql(f"CREATE TABLE `{name}` (digest BINARY, keep_id {id_type}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
-        return cls(spark, name, path)
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    """A catalog table (digest, keep_id, batch) in buckets of the digest, at a place in the shared folder.
+
+    The number of buckets holds for the life of the table; a name that the catalog has is attached as it is.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 32, id_type: str = "bigint"):
+        self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
+        if not spark.catalog.tableExists(self.name):
+            at = path or f"{shared_dir(spark)}/{self.name}"
+            spark.sql(f"CREATE TABLE `{self.name}` (digest BINARY, keep_id {id_type}, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{at}'")
+        made = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED `{self.name}`").collect()}
+        self.buckets, self.path = int(made["Num Buckets"]), made["Location"]
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def new(self, groups: DataFrame) -> DataFrame:
+        """The rows of ``groups`` (one a digest) whose digest the index lacks; only they are dealt out, by the bucketing hash."""
+        return groups.repartition(self.buckets, "digest").hint("merge").join(self.read(), "digest", "left_anti")
+
     def append(self, new: DataFrame) -> None:
-        """One file a bucket and call: the rows are dealt by the bucketing hash before they are written.
+        """One file a bucket and call: ``new`` is already dealt out by bucket."""
+        new.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).mode("append").saveAsTable(self.name)
+
+
+def bucket_count(n_rows: int) -> int:
+    """Buckets for an index that begins with so many rows: half a million each, and some to spare for growth."""
+    return max(8, min(20_000, n_rows // 250_000))
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(digest, doc_id, copies), written: rows that share id and text become one with a count."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"))
+    return stage(rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
+
+
+def _slices(rows: DataFrame, n: int) -> list[DataFrame]:
+    """``rows`` cut into n by falling id, null ids last; the cuts are places in the sorted ids of 1,000 rows of least hash."""
+    if n == 1:
+        return [rows]
+    seen = sorted(r["doc_id"] for r in rows.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(1_000).select("doc_id").collect())
+    cuts = [seen[len(seen) * k // n] for k in range(n - 1, 0, -1)] if seen else []
+    at = F.col("doc_id")
+    # a cut of the ids' own type: the greater ones first
+    below = [F.lit(True), *[F.coalesce(at < F.lit(c), F.lit(True)) for c in cuts]]
+    above = [*[F.coalesce(at >= F.lit(c), F.lit(False)) for c in cuts], F.lit(True)]
+    return [rows.filter(b & a) for b, a in zip(below, above)]
+
+
+def admit(rows: DataFrame, index: DigestIndex, batch: str, slices: int = 1) -> None:
+    """Let the digests of ``rows`` (as from ``digests``) that the index lacks into it."""
+    for part in _slices(rows, slices):
+        groups = part.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        index.append(index.new(groups).select("digest", "keep_id", F.lit(batch).alias("batch")))
 
-        The number of buckets holds for the life of the table; if not given, it follows from the first batch.
-        """
-        self.buckets = self.buckets or max(8, min(20_000, new.count() // 500_000))
-        rows = new.select("digest", "keep_id").repartition(self.buckets, "digest")
-        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).mode("append").saveAsTable(self.name)
 
+def decisions(rows: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """(digest, keep_id, own, group_size, n_rows): one row a digest of ``rows``; own: this batch brought it."""
+    groups = rows.groupBy("digest").agg(F.sum("copies").alias("group_size"), F.count("*").alias("n_rows"))
+    held = index.read().select("digest", "keep_id", (F.col("batch") == batch).alias("own"))
+    return stage(groups.repartition(index.buckets, "digest").hint("merge").join(held, "digest"), "digest-groups")
 
-def dedup_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Decide on each row of ``docs`` and append its new digests to ``index``.
+
+def dedup_batch(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None, slices: int = 1) -> DataFrame:
+    """Decide on each row of ``docs`` and append its new digests to ``index`` (None: one of its own).
 
     Returns one row for each of ``docs``: doc_id, digest, keep_id (of the row that stays, maybe from an earlier
     batch), group_size (equal rows in this batch), kept.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"))
-    # rows that share id and text become one with a count, so no later step meets them singly
-    rows = stage(rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count("*").alias("n_rows"))
-    if index.exists():
-        # the first row of a digest stays for good
-        old = index.read().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("known"))
-        groups = groups.join(old.hint("merge"), "digest", "left").withColumn("keep_id", F.when(F.col("known"), F.col("old_id")).otherwise(F.col("keep_id"))).drop("old_id")
-    else:
-        groups = groups.withColumn("known", F.lit(False))
-    groups = stage(groups.withColumn("known", F.coalesce("known", F.lit(False))), "digest-groups")
-    if index.exists():
-        new = groups.drop("known").join(index.read().hint("merge"), "digest", "left_anti")
-    else:
-        new = groups
-    index.append(new)
-    found = hot_lookup(rows, groups, "digest", "n_rows")
+    rows, batch = digests(docs, id_col, text_col), batch or uuid.uuid4().hex
+    index = index or _own_index(rows)
+    admit(rows, index, batch, slices)
+    found = hot_lookup(rows, decisions(rows, index, batch), "digest", "n_rows")
     found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    kept = ~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    kept = F.col("own") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return found.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
-    # the digest and the id name a row up to repeats; as one key, so that both steps share one dealing out of the texts
-    name = lambda own, id_: F.concat(own, F.coalesce(id_.cast("string").cast("binary"), F.lit(b"")))
-    stay = dedup_batch(docs, DigestIndex(docs.sparkSession), id_col, text_col).filter("kept").select(name(F.col("digest"), F.col("doc_id")).alias("__row"))
-    rows = docs.withColumn("__row", name(digest(F.col(text_col)), F.col(id_col)))
-    return rows.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
+def _own_index(rows: DataFrame) -> DigestIndex:
+    return DigestIndex(rows.sparkSession, buckets=bucket_count(rows.count()), id_type=rows.schema["doc_id"].dataType.simpleString())
+
+
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None, slices: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of equal texts that no earlier batch of ``index`` had, all columns kept."""
+    rows, batch = digests(docs, id_col, text_col), batch or uuid.uuid4().hex
+    index = index or _own_index(rows)
+    admit(rows, index, batch, slices)
+    own = index.read().filter(F.col("batch") == batch).select("digest", F.col("keep_id").alias("doc_id"))
+    # the row that stays is known by digest and id, up to repeats of both
+    of = rows.withColumn("key", F.struct("digest", "doc_id"))
+    stay = stage(of.join(own.select(F.struct("digest", "doc_id").alias("key")), "key", "left_semi").select("key", F.col("copies").alias("n_rows")), "exact-stay")
+    return one_row_each(docs, F.struct(digest(F.col(text_col)).alias("digest"), F.col(id_col).alias("doc_id")), stay, "n_rows")

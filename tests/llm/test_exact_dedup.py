@@ -1,7 +1,11 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from braidpath.llm import exact_dedup
+from braidpath.llm.queries import QUERIES
+from tests.conftest import DATA
 from tests.llm.conftest import ROWS
 
 
@@ -9,8 +13,9 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def test_decisions(spark, docs):
-    got = exact_dedup.dedup_batch(docs, exact_dedup.DigestIndex(spark, buckets=4)).collect()
+@pytest.mark.parametrize("slices", [1, 2, 5])
+def test_decisions(spark, docs, slices):
+    got = exact_dedup.dedup_batch(docs, exact_dedup.DigestIndex(spark, buckets=4), slices=slices).collect()
     groups = defaultdict(list)
     for i, t, *_ in ROWS:
         groups[lower(t)].append(i)
@@ -45,12 +50,43 @@ def test_batches_meet_the_index(spark, make_docs):
     assert second[8]["kept"] and not second[7]["kept"]
     assert exact_dedup.DigestIndex(spark, index.name).buckets == 4
     assert index.read().count() == index.read().select("digest").distinct().count() == 3
-    again = exact_dedup.DigestIndex.attach(spark, f"{index.name}_again", index.path, 4)
+    # an index of an earlier application, under a new name
+    again = exact_dedup.DigestIndex(spark, f"{index.name}_again", index.path, 4)
     assert again.buckets == 4 and again.read().count() == 3
-    third = exact_dedup.dedup_batch(make_docs([row(20, "Three"), row(21, "four")]), again).collect()
-    assert {(r["doc_id"], r["kept"], r["keep_id"]) for r in third} == {(20, False, 8), (21, True, 21)}
-    plan = make_docs([row(1, "a")]).select(exact_dedup.digest(exact_dedup.F.col("text")).alias("digest")).join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan
+    batch = make_docs([row(20, "Three"), row(21, "four")])
+    for _ in range(2):  # a batch that is run again is decided alike
+        third = exact_dedup.dedup_batch(batch, again, batch="third").collect()
+        assert {(r["doc_id"], r["kept"], r["keep_id"]) for r in third} == {(20, False, 8), (21, True, 21)}
+    assert exact_dedup.drop_copies(batch, again, batch="fourth").count() == 0
+    assert [r["doc_id"] for r in exact_dedup.drop_copies(make_docs([row(1, "FOUR"), row(2, "five")]), again, batch="fifth").collect()] == [2]
+
+
+@pytest.mark.parametrize("ids", [[-3, -2, None, 4, 4], ["b", "a", None, "z", "z"]])
+def test_ids_of_any_kind(spark, ids):
+    kind = "string" if "a" in ids else "bigint"
+    df = spark.createDataFrame([(i, t) for i in ids for t in ("One", "one", f"own {i}")], f"doc_id {kind}, text string")
+    got = exact_dedup.dedup_batch(df, slices=3).collect()
+    assert len(got) == 15 and {r["keep_id"] for r in got if r["group_size"] == 10} == {max(i for i in ids if i is not None)}
+    assert sum(r["kept"] for r in got) == 1 + len(set(ids)) == exact_dedup.drop_copies(df).count()
+
+
+@pytest.mark.parametrize("run", [lambda spark: QUERIES["op9_exact_dedup"](spark, DATA).count(), lambda spark: exact_dedup.drop_copies(spark.read.parquet(f"{DATA}/documents.parquet")).count()])
+def test_query_and_stage_meet_the_index(spark, monkeypatch, run):
+    """Each slice is anti-joined with the index by sort-merge, without moving the index, and what is new is appended."""
+    seen, append = [], exact_dedup.DigestIndex.append
+
+    def spied(self, new):
+        seen.append((new._jdf.queryExecution().executedPlan().toString(), self.read().count()))
+        append(self, new)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", spied)
+    assert run(spark) > 0
+    assert len(seen) == 2 and seen[0][1] == 0 < seen[1][1]
+    for plan, _ in seen:
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan and "SelectedBucketsCount" in plan
+        # the index's side: a bucketed scan without an exchange above it
+        scan = plan[plan.index("FileScan parquet spark_catalog") - 400 : plan.index("FileScan parquet spark_catalog")]
+        assert "Exchange" not in scan
 
 
 def test_hot_group(spark, make_docs):
