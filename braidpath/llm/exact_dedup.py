@@ -91,7 +91,8 @@ def _slices(rows: DataFrame, n: int) -> list[DataFrame]:
 def admit(rows: DataFrame, index: DigestIndex, batch: str, slices: int = 1) -> None:
     """Let the digests of ``rows`` (as from ``digests``) that the index lacks into it."""
     for part in _slices(rows, slices):
-        groups = part.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        # written, as the optimiser would else join before it aggregates and gather the rows of a hot digest
+        groups = stage(part.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "digest-slice")
         index.append(index.new(groups).select("digest", "keep_id", F.lit(batch).alias("batch")))
 
 
