@@ -78,7 +78,7 @@ QUERIES = {
 SQL = {
     "op7_curriculum_mix": r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (
@@ -104,12 +104,15 @@ c AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 g AS (
   SELECT *, greatest(0, least(size, CAST(round(target) AS BIGINT) - c0)) AS t1,
-         greatest(0, least(size, CAST(round(target) AS BIGINT) - c0 - source_size)) AS t2
-  FROM c)
+         greatest(0, least(size, CAST(round(target) AS BIGINT) - c0 - source_size)) AS t2,
+         CASE WHEN c0 = 0 OR target = 0 THEN 0.0 WHEN a = b THEN c0 / target
+           ELSE least(1.0, (sqrt(greatest(0.0, a * a + (b - a) * (a + b) * c0 / target)) - a) / (b - a)) END AS time
+  FROM c),
+-- the demand of all sources together: slope * time + bend * time^2 of everything
+q AS (SELECT sum(target * 2 * a / (a + b)) AS slope, sum(target * (b - a) / (a + b)) AS bend, sum(target) AS everything FROM t)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(t1 + t2 AS BIGINT) AS taken,
-       CASE WHEN t1 > 0 THEN round(CASE WHEN c0 = 0 THEN 0.0 WHEN a = b THEN c0 / target
-         ELSE least(1.0, (sqrt(greatest(0.0, a * a + (b - a) * (a + b) * c0 / target)) - a) / (b - a)) END, 6) END AS first_position
-FROM g""",
+       CASE WHEN t1 > 0 THEN round(time * (slope + time * bend) / everything, 6) END AS first_position
+FROM g CROSS JOIN q""",
     "op8_bloom_cascade": r"""
 WITH u AS (
   SELECT page_id,

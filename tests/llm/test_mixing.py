@@ -70,6 +70,9 @@ def test_documents(docs, no_docs):
     words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in ROWS}
     assert all(r["size"] == words[r["doc_id"]] for r in rows)
     assert mixing.mix(no_docs).count() == 0
+    again = mixing.curriculum(docs)
+    assert again.columns == docs.columns and again.count() == sum(len(r["starts"]) for r in rows)
+    assert mixing.curriculum(no_docs).count() == 0
 
 
 def test_reruns_agree(spark):
@@ -80,6 +83,40 @@ def test_reruns_agree(spark):
     assert sorted(map(key, one)) == sorted(map(key, mixing.mix(df.repartition(7)).collect()))
 
 
+def test_equal_steps_of_position_hold_equal_words(spark):
+    """The position of a visit is the share of all words taken before it, up to a document of each source."""
+    rows = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet")).collect()
+    visits = sorted((p, r["size"]) for r in rows for p in r["starts"])
+    whole, largest, sources = sum(n for _, n in visits), max(n for _, n in visits), len({r["source"] for r in rows})
+    seen = 0
+    for p, n in visits:
+        assert abs(p - seen / whole) <= sources * largest / whole
+        seen += n
+    # and the shares move as scheduled: the first source gives more words at first than later
+    first = min(r["source"] for r in rows)
+    early, late = (sum(r["size"] for r in rows if r["source"] == first for p in r["starts"] if a <= p < a + 0.3) for a in (0.0, 0.7))
+    assert early > 1.5 * late
+    assert [r["first_position"] for r in rows if r["taken"]] == sorted(r["first_position"] for r in rows if r["taken"])
+
+
+def test_copies_of_one_row(spark, monkeypatch):
+    """Rows that share id, source and text, a third of all: each has a stretch, none is lost or doubled."""
+    rows = [(1, "the same words again", "a", k) for k in range(300)] + [(None, f"null id {k}", "a", k) for k in range(300)] + [(k, f"text {k} " * (k % 5), "b", k) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __position bigint").repartition(5)
+    mixed = mixing.mix(df).collect()
+    check(mixed, 900)
+    got = [tuple(r) for r in mixing.curriculum(df, partitions=3).collect()]
+    assert len(got) == sum(len(r["starts"]) for r in mixed) and set(got) <= set(rows)
+    assert max(map(got.count, set(got))) <= 2
+    by = lambda rows_: sum(t == "the same words again" for t in rows_)
+    assert by(r[1] for r in got) == sum(len(r["starts"]) for r in mixed if r["doc_id"] == 1 and r["source"] == "a")
+
+
+def test_many_sources(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 29).cast("int")).alias("text"))
+    check(mixing.mix(df).collect(), 400)
+
+
 def test_curriculum(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     visits = {r["doc_id"]: r["starts"] for r in mixing.mix(df).collect()}
