@@ -1,34 +1,43 @@
 """Chat formatting by quotation linking: conversations in reply order, without the quotes.
 
 A line that begins with one or more ``>`` is quoted, at as deep a level as it has marks; consecutive lines of one level are
-a passage. A passage is normalised (marks stripped, lower case, white space runs to one space) and hashed, as a whole and
-line by line. The same is done to what each message says itself. Joining the hashes within a conversation finds, for
-each passage, the earliest message that said it, or for passages of under 8 characters the nearest one before; a message replies to the latest such source, before itself, of its
-shallowest linked passages, a whole passage counting before a line. Replies form trees; following them by doubling gives each
-message its root and depth, and (conv_id, root_turn, depth, turn) is the reply order: every message comes after the
-one it answers, and messages that answer nothing come in their turns.
-
-Originals are reduced to one row a hash and conversation before the join, and the output is range-sorted, so neither a
-text that everyone quotes nor a conversation with a large part of all rows is gathered in a task. Null texts count as
-empty. Rows with a null conv_id or turn are kept, and quote and answer nothing. Rows that share conv_id and turn are one message when
-links are looked for, and each is returned. Other columns than the four named stay out.
+a passage. A line before a quote that says who wrote it goes with the quote. A passage is normalised (marks stripped, lower
+case, white space runs to one space) and hashed, as a whole and line by line. A message said a passage if a run of
+consecutive lines of its own has the same normalised words, however the lines are broken; runs are looked for at the
+lengths in words that the conversation's quotes have, so the work is linear in the text for each length. Joining the hashes
+within a conversation finds for each passage, of whatever length, the latest message before that said it; a message
+replies to the latest source of its shallowest linked passages, a whole passage counting before a line. Replies form trees;
+following them by doubling gives each message its root and depth, and (conv_id, root_turn, depth, turn) is the reply order:
+every message comes after the one it answers, and messages that answer nothing come in their turns.
+
+No join meets a text that everyone quotes, or a message that everyone answers, in one task: hashes are range-sorted and
+partitions take in what was said before them, and pointers to a message with many answers are followed by broadcast. The
+output is range-sorted, so a conversation with a large part of all rows isn't gathered. Defined are:
+
+* null texts count as empty; empty passages and lines link to nothing; very long texts are read whole;
+* rows with a null conv_id or turn are kept, and quote and answer nothing;
+* rows that share conv_id and turn are one message when links are looked for, and each is returned;
+* ties go as said above, to the latest source; an empty table gives an empty result;
+* other columns than the four named stay out, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidpath.llm.common import each_text, map_arrow, stage
+from braidpath.llm.common import each_text, hot_lookup, map_arrow, stage
 
 QUOTED = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$", re.S)
 SPACE = re.compile(r"\s+")
-#: Shorter normalised passages would link by chance to what is far away: they link to the nearest earlier turn that said them.
-MIN_CHARS = 8
+#: What ends a line that names the author of the quote below it, in some languages; it may be broken after the date.
+ATTRIBUTION = re.compile(r"\b(?:wrote|writes|said|schrieb|a écrit|escribió|ha scritto|escreveu)\s*:\s*$", re.I)
+ATTRIBUTION_BEGIN = re.compile(r"^\s*(?:on|am|le|el|il|em)\s", re.I)
 
 
 def normalise(text: str) -> str:
@@ -48,52 +57,88 @@ def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
         elif level == last:
             passages[-1][1].append(m[2])
         else:
+            if not last:
+                _drop_attribution(own)
             passages.append((level, [m[2]]))
         last = level
     return ("\n".join(own).strip() if passages else text), passages
 
 
-def hashes(lines: list[str]) -> list[tuple[int, str, bool]]:
-    """(0, hash of the whole, whether it is short) and (1, of a line) of a passage, once each; empty ones tell nothing."""
-    whole = normalise(" ".join(lines))
-    parts = [(0, whole)] + [(1, n) for n in map(normalise, lines)]
-    return list(dict.fromkeys((k, xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass")), len(t) < MIN_CHARS) for k, t in parts if t))
+def _drop_attribution(own: list[str]) -> None:
+    """Take the author's line off the end of ``own``, and blank lines behind it."""
+    at = len(own) - 1
+    while at >= 0 and not own[at].strip():
+        at -= 1
+    if at < 0 or not ATTRIBUTION.search(own[at]):
+        return
+    broken = at > 0 and not ATTRIBUTION_BEGIN.match(own[at]) and ATTRIBUTION_BEGIN.match(own[at - 1])
+    del own[at - 1 if broken else at :]
 
 
-SAID = pa.list_(pa.string())
-QUOTES = pa.list_(pa.struct([("level", pa.int32()), ("part", pa.int32()), ("hash", pa.string()), ("short", pa.bool_())]))
+def digest(normalised: str) -> bytes:
+    return xxhash.xxh3_128_digest(normalised.encode("utf-8", "surrogatepass"))
+
+
+def hashes(lines: list[str]) -> list[tuple[int, int, bytes]]:
+    """(0, words, hash) of a passage and (1, words, hash) of its lines, once each; empty ones tell nothing."""
+    parts = [(0, normalise(" ".join(lines)))] + [(1, n) for n in map(normalise, lines)]
+    return list(dict.fromkeys((k, t.count(" ") + 1, digest(t)) for k, t in parts if t))
+
+
+def runs(text: str, lengths: list[int]) -> set[bytes]:
+    """The hashes of all runs of consecutive lines that have one of the lengths in words."""
+    lines = [w for w in (normalise(line).split(" ") for line in text.split("\n")) if w != [""]]
+    words = [w for line in lines for w in line]
+    ends = np.cumsum([len(line) for line in lines], dtype=np.int64)
+    begins = ends - [len(line) for line in lines] if lines else ends
+    out = set()
+    for n in lengths:
+        for at in begins[np.isin(begins + n, ends)]:
+            out.add(digest(" ".join(words[at : at + n])))
+    return out
+
+
+QUOTES = pa.list_(pa.struct([("level", pa.int32()), ("part", pa.int32()), ("n_words", pa.int32()), ("hash", pa.binary())]))
 
 
 def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, own text, number of quoted passages, hashes said, (level, part, hash, short) quoted."""
+    """conv_id, turn, role, own text, number of quoted passages, (level, part, n_words, hash) quoted."""
     kinds = {c: messages.schema[c].dataType.simpleString() for c in ("conv_id", "turn", "role")}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, n, said, quotes = [], [], [], []
+        own, n, quotes = [], [], []
         for text in each_text(batch.column(3)):
             body, passages = parse(text)
             own.append(body)
             n.append(len(passages))
-            said.append(sorted({h for _, h, _ in hashes(body.split("\n"))}))
-            quotes.append([{"level": lv, "part": part, "hash": h, "short": s} for lv, lines in passages for part, h, s in hashes(lines)])
-        columns = [*batch.columns[:3], pa.array(own, pa.string()), pa.array(n, pa.int32()), pa.array(said, SAID), pa.array(quotes, QUOTES)]
-        return pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "text", "n_quotes", "said", "quotes"])
+            quotes.append([{"level": lv, "part": part, "n_words": w, "hash": h} for lv, lines in passages for part, w, h in hashes(lines)])
+        columns = [*batch.columns[:3], pa.array(own, pa.string()), pa.array(n, pa.int32()), pa.array(quotes, QUOTES)]
+        return pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "text", "n_quotes", "quotes"])
 
-    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", text string, n_quotes int, said array<string>, quotes array<struct<level: int, part: int, hash: string, short: boolean>>"
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", text string, n_quotes int, quotes array<struct<level: int, part: int, n_words: int, hash: binary>>"
     return map_arrow(messages.select("conv_id", "turn", "role", text_col), run, schema)
 
 
+def said(rows: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash): what the messages of conversations with quotes said, in runs of lines as long as a quote."""
+    lengths = quotes.groupBy("conv_id").agg(F.collect_set("n_words").alias("lengths"))
+    facts = stage(rows.groupBy("conv_id").agg(F.count("*").alias("n_rows")).join(lengths, "conv_id"), "chat-lengths")
+    own = hot_lookup(rows.select("conv_id", "turn", "text"), facts, "conv_id", "n_rows").select("conv_id", "turn", "text", "lengths")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [list(runs(text, n)) for text, n in zip(each_text(batch.column(2)), (v.as_py() for v in batch.column(3)))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["conv_id", "turn", "hashes"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
+    return map_arrow(own, run, f"{kinds}, hashes array<binary>").select("conv_id", "turn", F.explode("hashes").alias("hash"))
+
+
 def reply_links(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked) for the messages with a linked passage; ``rows`` as from ``parsed``."""
     rows = rows.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quotes = rows.filter("n_quotes > 0").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
-    # only hashes that someone quotes in the conversation are worth a row
-    wanted = quotes.select("conv_id", "hash", "short").distinct()
-    turns = rows.select("conv_id", "turn", F.explode("said").alias("hash")).join(wanted, ["conv_id", "hash"]).distinct()
-    said = turns.filter("not short").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
-    linked = quotes.filter("not short").join(said, ["conv_id", "hash"]).filter("source < turn")
-    near = nearest_said(quotes.filter("short"), turns.filter("short"))
-    linked = linked.unionByName(near)
+    quotes = stage(quotes, "chat-quotes")
+    linked = nearest_said(quotes, said(rows, quotes))
     # the least (level, part) first, of its sources the latest
     best = F.min(F.struct("level", "part", (-F.col("source")).alias("back")))
     linked = linked.groupBy("conv_id", "turn").agg(best.alias("best"), F.count_distinct("hash").alias("n_linked"))
@@ -103,35 +148,39 @@ def reply_links(rows: DataFrame) -> DataFrame:
 def nearest_said(quotes: DataFrame, turns: DataFrame) -> DataFrame:
     """``quotes`` with ``source``, the latest earlier turn in ``turns`` that said the hash; without one they go.
 
-    A short passage may be said and quoted in every turn of a large conversation, so turns aren't joined with turns and no
+    A passage may be said and quoted in every turn of a large conversation, so turns aren't joined with turns and no
     window gathers a hash: in order of (conversation, hash, turn), partitions take in the last turn said before them.
     """
     keys = ["conv_id", "hash"]
     events = turns.select(*keys, "turn", F.lit(1).alias("says"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("part"))
-    events = stage(events.unionByName(quotes.select(*keys, "turn", F.lit(0).alias("says"), "level", "part")), "chat-short")
+    events = stage(events.unionByName(quotes.select(*keys, "turn", F.lit(0).alias("says"), "level", "part")), "chat-events")
     # a message doesn't answer itself: at a turn, quotes come before what is said
     order = [*keys, "turn", "says"]
-    dealt = stage(events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("bucket", F.spark_partition_id()), "chat-short-dealt")
-    said = F.when(F.col("says") == 1, F.col("turn"))
-    last = dealt.groupBy(*keys, "bucket").agg(F.max(said).alias("last"))
+    dealt = stage(events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("bucket", F.spark_partition_id()), "chat-dealt")
+    spoken = F.when(F.col("says") == 1, F.col("turn"))
+    last = dealt.groupBy(*keys, "bucket").agg(F.max(spoken).alias("last"))
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("before", F.max("last").over(before)).drop("last")
     within = Window.partitionBy(*keys, "bucket").orderBy("turn", "says").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = dealt.withColumn("own", F.max(said).over(within)).filter("says = 0").join(last, [*keys, "bucket"])
-    return found.withColumn("source", F.coalesce("own", "before")).filter("source is not null").select(*keys, "turn", "level", "part", F.lit(True).alias("short"), "source")
+    found = dealt.withColumn("own", F.max(spoken).over(within)).filter("says = 0").join(last, [*keys, "bucket"])
+    return found.withColumn("source", F.coalesce("own", "before")).filter("source is not null").select(*keys, "turn", "level", "part", "source")
 
 
 def roots(links: DataFrame) -> DataFrame:
     """``links`` with root_turn and depth: pointers are doubled until all have reached a message without a link."""
-    at = stage(links.select("conv_id", "turn", F.col("reply_to").alias("root_turn"), F.lit(1).alias("depth")), "chat-roots")
+    at = stage(links.select("conv_id", "turn", F.struct("conv_id", F.col("reply_to").alias("turn")).alias("to"), F.lit(1).alias("depth")), "chat-roots")
+    n_rows = at.count()
     while True:
-        up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("more"))
-        step = at.join(up, ["conv_id", "root_turn"], "left")
-        moved = step.select("conv_id", "turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved"))
+        up = at.select(F.struct("conv_id", "turn").alias("to"), F.col("to.turn").alias("above"), F.col("depth").alias("more"))
+        # a row for each message that is pointed at, with or without a pointer of its own
+        facts = at.groupBy("to").agg(F.count("*").alias("n_rows")).join(up, "to", "left")
+        step = hot_lookup(at, facts, "to", "n_rows", n_rows)
+        to = F.struct("conv_id", F.coalesce("above", "to.turn").alias("turn")).alias("to")
+        moved = step.select("conv_id", "turn", to, (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved"))
         moved = stage(moved, "chat-roots")
         at = moved.drop("moved")
         if moved.filter("moved").isEmpty():
-            return links.join(at, ["conv_id", "turn"])
+            return links.join(at.select("conv_id", "turn", F.col("to.turn").alias("root_turn"), "depth"), ["conv_id", "turn"])
 
 
 def reply_order(messages: DataFrame, text_col: str = "text") -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+from collections import defaultdict
+
 import pytest
 
 from braidpath.llm import chat
@@ -70,3 +73,73 @@ def test_short_quotes(spark):
     assert [got[1, k]["n_linked"] for k in range(9)] == [0, 0, 0, 1, 1, 1, 1, 0, 0]
     assert [got[2, k]["reply_to"] for k in range(400)] == [None, *range(399)]
     assert got[2, 399]["root_turn"] == 0 and got[2, 399]["depth"] == 399
+
+
+def test_attribution_goes_with_the_quote():
+    assert chat.parse("Hi.\nOn Mon, Ann wrote:\n> b\nYes.") == ("Hi.\nYes.", [(1, ["b"])])
+    assert chat.parse("Hi.\nOn Mon, 3 Jan, Ann Smith\n<ann@example.org> wrote:\n\n> b") == ("Hi.", [(1, ["b"])])
+    assert chat.parse("Ann wrote:\nno quote here")[0] == "Ann wrote:\nno quote here"
+    assert chat.parse("These are the rules:\n> b")[0] == "These are the rules:"
+
+
+def test_quotes_with_other_line_breaks(spark):
+    own = "alpha beta\ngamma delta\n\nepsilon zeta\neta theta\niota"
+    quotes = ["> gamma delta epsilon\n> zeta", "> gamma\n> delta epsilon zeta eta theta", "> beta gamma delta", "> " + own.replace("\n", " "), "> eta\n> theta iota"]
+    rows = [(1, 0, "u", own)] + [(1, k, "u", f"{q}\nanswer {k}") for k, q in enumerate(quotes, 1)]
+    got = {r["turn"]: r["reply_to"] for r in chat.reply_order(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}
+    # the third begins within a line
+    assert [got[k] for k in range(6)] == [None, 0, 0, None, 0, 0]
+
+
+def plain_links(rows):
+    """The same by comparing every passage with every run of lines of every earlier message."""
+    spoken, wanted = defaultdict(set), defaultdict(set)
+    for conv, turn, _, text in rows:
+        own, passages, last = [], [], 0
+        for line in (text or "").split("\n"):
+            marks = len(line) - len(line.lstrip("> ")) and line[: len(line) - len(line.lstrip("> "))].count(">")
+            if not marks:
+                own.append(" ".join(line.lower().split()))
+            elif marks == last:
+                passages[-1][1].append(" ".join(line.lstrip("> ").lower().split()))
+            else:
+                passages.append((marks, [" ".join(line.lstrip("> ").lower().split())]))
+            last = marks
+        if conv is None or turn is None:
+            continue
+        own = [line for line in own if line]
+        spoken[conv, turn] |= {" ".join(own[a:b]) for a in range(len(own)) for b in range(a + 1, len(own) + 1)}
+        for level, lines in passages:
+            wanted[conv, turn] |= {(level, 0, " ".join(x for x in lines if x))} | {(level, 1, x) for x in lines}
+    reply = {}
+    for (conv, turn), parts in wanted.items():
+        found = []
+        for level, part, words in parts:
+            sources = [t for (c, t), own in spoken.items() if c == conv and t < turn and words and words in own]
+            if sources:
+                found.append((level, part, -max(sources), words))
+        if found:
+            reply[conv, turn] = (-min(found)[2], len({f[3] for f in found}))
+    return reply
+
+
+def test_equals_brute_force(spark):
+    rnd = random.Random(5)
+    words = ["yes", "no", "a longer line of words", "What?", "see  below", "42"]
+    rows = []
+    for conv in (1, 2, 3, 4, 5, None):
+        for turn in range(40):
+            lines = []
+            for _ in range(rnd.randrange(1, 6)):
+                lines.append("> " * rnd.choice([0, 0, 1, 1, 2]) + " ".join(rnd.choices(words, k=rnd.randrange(1, 3))))
+            rows.append((conv, turn if rnd.random() < 0.9 else rnd.randrange(40), "u", rnd.choice(["\n".join(lines), "\n".join(lines), None, ""])))
+    got = chat.reply_order(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(4)).collect()
+    want = plain_links(rows)
+    assert len(got) == len(rows) and len(want) > 30
+    for r in got:
+        reply, n = want.get((r["conv_id"], r["turn"]), (None, 0))
+        assert (r["reply_to"], r["n_linked"]) == (reply, n)
+        root, depth = r["turn"], 0
+        while (r["conv_id"], root) in want:
+            root, depth = want[r["conv_id"], root][0], depth + 1
+        assert (r["root_turn"], r["depth"]) == (root, depth)
