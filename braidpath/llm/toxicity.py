@@ -1,41 +1,53 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features are the words (runs of letters, lower case) and the parts of words (four characters, ends marked) of a selected
-vocabulary, valued log(1 + count); parts tell rare forms by what they share with others. The vocabulary
-comes from document frequencies by class over the labelled sample, counted with a shuffle that gets one row a word
-and task. One weight vector serves all thresholds: P(grade >= k) = sigmoid(x w - theta_k) with theta ascending, so
-the probabilities of higher grades never exceed those of lower ones, and the expected severity is their sum.
+Features are all words (runs of letters, lower case) and all parts of words (four characters, ends marked), hashed to
+2**FEATURE_BITS places; parts tell rare forms by what they share with others. A word that a text has n times adds
+log(1 + n) to its own feature and to those of its parts, so a word has one weight, the sum over its features, and a text's
+margin is one sum over its distinct words. A feature is scaled by the evidence that it has in the sample: its log-odds
+between toxic and clean documents in standard errors, shrunk towards 0, so that the many rare features can't make up for
+the few that tell; all features that a text has count, whatever their number. One weight vector serves all thresholds: P(grade >= k) = sigmoid(x w - theta_k)
+with theta ascending, so the probabilities of higher grades never exceed those of lower ones, and the expected severity is
+their sum.
 
 Where labels only say toxic or not, grades are derived: 0 for clean rows; toxic rows are graded 1 and up by how many
 marked words (those far more frequent in toxic documents) the whole text holds, cut at quantiles of the toxic rows.
 
-Null and empty texts have no features and get the severity of the intercepts. Without labels of both kinds all
-severities are 0. Repeated rows get equal results; rows with a null id are scored too.
+What is defined for odd input:
+
+* null texts, empty ones and those without a letter have no features and get the severity of the thresholds alone;
+* very long texts are read whole; rows are scored one by one, so repeated rows get equal results, and null ids are kept;
+* of equally likely grades the lower one is given; of labels that contradict each other for one id, toxic counts; of
+  several texts under one labelled id each is learned from;
+* without labels of both kinds, or an empty table, all severities are 0;
+* other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from braidpath.llm.common import each_text, map_arrow, stage
+from braidpath.llm.common import each_text, map_arrow
 from braidpath.llm.text_stats import labelled_sample
 
-#: The bounds on labelled rows to learn from and on the vocabulary, of words and as many parts.
-SAMPLE_ROWS, VOCABULARY = 20_000, 2_048
-#: A word is considered from so many sample documents on, and if its log-odds are so many standard errors from 0.
-MIN_DOCS, MIN_Z = 5, 3.0
+#: The bound on labelled rows to learn from, and the places that features are hashed to.
+SAMPLE_ROWS, FEATURE_BITS = 20_000, 18
 GRADES = 4
 TOXIC_FROM = 0.5
-#: Characters of a part of a word, and words whose features a task remembers.
-PART, MEMO = 4, 100_000
+#: Log-odds between toxic and clean documents, and standard errors of these, from which a word counts as marked.
+MARKED_ODDS, MARKED_Z = 3.0, 4.0
+#: Characters of a part of a word, and words whose weights a task remembers.
+PART, MEMO = 4, 200_000
+#: The penalty on squared weights, beside the mean log-likelihood; and the standard errors that a feature's log-odds are
+#: shrunk by before they scale it.
+L2, SHRINK = 1e-4, 2.0
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -44,51 +56,77 @@ def words(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def parts(word: str) -> set[str]:
-    """The runs of PART characters of a word between marked ends; no word begins with a #."""
+def features(word: str) -> list[int]:
+    """The places of a word and of the runs of PART characters of it between marked ends."""
     marked = f"^{word}$"
-    return {f"#{marked[k : k + PART]}" for k in range(max(1, len(marked) - PART + 1))}
-
-
-def counted(text: str, known, memo: dict) -> dict[str, int]:
-    """How often the words and parts in ``known`` are in the text; ``memo`` keeps those of the words seen last."""
-    out: dict[str, int] = {}
-    for word, n in Counter(words(text)).items():
-        found = memo.get(word)
-        if found is None:
-            if len(memo) >= MEMO:
-                memo.clear()
-            found = memo[word] = tuple(f for f in (word, *parts(word)) if f in known)
-        for f in found:
-            out[f] = out.get(f, 0) + n
-    return out
+    names = {word} | {f"#{marked[k : k + PART]}" for k in range(max(1, len(marked) - PART + 1))}
+    return sorted({xxhash.xxh32_intdigest(n.encode("utf-8", "surrogatepass")) >> 32 - FEATURE_BITS for n in names})
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Weights by word, and the ascending thresholds between grades."""
+    """A weight for each place (none: all 0), and the ascending thresholds between grades."""
 
-    weights: dict[str, float]
+    weights: np.ndarray
     thresholds: tuple[float, ...]
+    memo: dict = field(default_factory=dict, repr=False, compare=False)
 
-    def margins(self, texts, memo: dict | None = None) -> np.ndarray:
-        known, out, memo = self.weights, [], {} if memo is None else memo
+    def weight(self, word: str) -> float:
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            found = self.memo[word] = float(self.weights[features(word)].sum())
+        return found
+
+    def margins(self, texts) -> np.ndarray:
+        if not len(self.weights):
+            return np.array([0.0 for _ in texts])
+        out = []
         for text in texts:
-            found = counted(text, known, memo)
-            out.append(sum(known[w] * np.log1p(n) for w, n in found.items()))
+            found = Counter(words(text))
+            known = np.fromiter(map(self.weight, found), float, len(found))
+            out.append(known @ np.log1p(np.fromiter(found.values(), float, len(found))))
         return np.array(out, float)
 
     def at_least(self, margins: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ...: a column for each threshold."""
-        return 1 / (1 + np.exp(np.array(self.thresholds)[None, :] - margins[:, None]))
+        return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - margins[:, None], -700, 700)))
+
+
+class Sparse:
+    """Rows of (column, value), column-compressed as well, for products from both sides."""
+
+    def __init__(self, sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int) -> None:
+        self.rows, self.cols, self.values = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), cols, values
+        self.n_rows, self.n_cols = len(sizes), n_cols
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, w[self.cols] * self.values, self.n_rows)
 
+    def transposed(self, s: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, s[self.rows] * self.values, self.n_cols)
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int, grades: np.ndarray, n_grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative-link model from sparse features, by full-batch Adam.
 
-    Thresholds are a first value and positive gaps, so they stay ascending.
+def likelihood(s: np.ndarray, theta: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood of grades at margins ``s``, and its derivatives by ``s`` and ``theta``."""
+    n, at = len(grades), np.arange(len(grades))
+    below = 1 / (1 + np.exp(np.clip(s[:, None] - theta[None, :], -60, 60)))  # P(grade < j)
+    cdf = np.hstack([np.zeros((n, 1)), below, np.ones((n, 1))])
+    slope = cdf * (1 - cdf)
+    p = np.maximum(cdf[at, grades + 1] - cdf[at, grades], 1e-12)
+    upper, lower = slope[at, grades + 1] / p, slope[at, grades] / p
+    dtheta = np.array([(lower[grades == j].sum() - upper[grades == j - 1].sum()) / n for j in range(1, len(theta) + 1)])
+    return float(-np.log(p).mean()), (upper - lower) / n, dtheta
+
+
+def fit_ordinal(texts: Sparse, spread: Sparse, grades: np.ndarray, n_grades: int, l2: float = L2, steps: int = 200, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the cumulative-link model, by full-batch Adam.
+
+    ``texts`` has the words of each text, ``spread`` the features of each word. Thresholds are a first value and
+    positive gaps, so they stay ascending.
     """
-    n, k = len(grades), n_grades - 1
+    k, n_cols = n_grades - 1, spread.n_cols
     share = np.array([np.clip((grades >= j).mean(), 1e-3, 1 - 1e-3) for j in range(1, n_grades)])
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(k))
     params = np.concatenate([np.zeros(n_cols), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
@@ -96,90 +134,72 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols:
     for step in range(1, steps + 1):
         w, gaps = params[:n_cols], np.exp(params[n_cols + 1 :])
         theta = params[n_cols] + np.concatenate([[0.0], np.cumsum(gaps)])
-        s = np.bincount(rows, w[cols] * values, n)
-        below = 1 / (1 + np.exp(np.clip(s[:, None] - theta[None, :], -60, 60)))  # P(grade < j)
-        cdf = np.hstack([np.zeros((n, 1)), below, np.ones((n, 1))])
-        slope = cdf * (1 - cdf)
-        at = np.arange(n)
-        p = np.maximum(cdf[at, grades + 1] - cdf[at, grades], 1e-12)
-        upper, lower = slope[at, grades + 1] / p, slope[at, grades] / p
-        ds = (upper - lower) / n
-        dtheta = np.array([(lower[grades == j].sum() - upper[grades == j - 1].sum()) / n for j in range(1, n_grades)])
+        _, ds, dtheta = likelihood(texts.times(spread.times(w)), theta, grades)
         tail = np.cumsum(dtheta[::-1])[::-1]
-        grad = np.concatenate([np.bincount(cols, ds[rows] * values, n_cols) + l2 * w, tail[:1], tail[1:] * gaps])
+        grad = np.concatenate([spread.transposed(texts.transposed(ds)) + l2 * w, tail[:1], tail[1:] * gaps])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        params = params - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    theta = params[n_cols] + np.concatenate([[0.0], np.cumsum(np.exp(params[n_cols + 1 :]))])
-    return params[:n_cols], theta
+        slower = rate * min(1.0, 2 * (1 - step / (steps + 1)))
+        params = params - slower * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return params[:n_cols], params[n_cols] + np.concatenate([[0.0], np.cumsum(np.exp(params[n_cols + 1 :]))])
 
 
-def _word_counts(sample: DataFrame) -> DataFrame:
-    """(word, toxic, clean): document frequencies; each batch sends a word once."""
+def _counted(sample: DataFrame) -> pa.Table:
+    """(doc_id, label, names, counts): the distinct words of each text of a bounded sample, in order of the ids."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        toxic, clean = Counter(), Counter()
-        for text, label in zip(each_text(batch.column(0)), batch.column(1).to_pylist()):
-            (toxic if label else clean).update({f for w in set(words(text)) for f in (w, *parts(w))})
-        names = list(toxic | clean)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[w] for w in names], pa.int64()), pa.array([clean[w] for w in names], pa.int64())], names=["word", "toxic", "clean"])
+        found = [Counter(words(text)) for text in each_text(batch.column(1))]
+        columns = [batch.column(0), batch.column(2), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "names", "counts"])
 
-    found = map_arrow(sample.select("text", "label"), run, "word string, toxic bigint, clean bigint")
-    return found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") + F.col("clean") >= MIN_DOCS)
+    id_type = sample.schema["doc_id"].dataType.simpleString()
+    found = map_arrow(sample.select("doc_id", "text", "label"), run, f"doc_id {id_type}, label int, names array<string>, counts array<int>").toArrow()
+    size = pc.list_value_length(found["names"])
+    return found.take(pc.sort_indices(found.append_column("size", size), [("doc_id", "ascending"), ("label", "ascending"), ("size", "ascending")]))
+
+
+def derived_grades(texts: Sparse, toxic: np.ndarray, n_grades: int) -> np.ndarray:
+    """0 for clean rows, 1 and up for toxic ones by how often marked words come in them; rows hold log(1 + count)."""
+    n_toxic = toxic.sum()
+    by = [np.bincount(texts.cols[keep], minlength=texts.n_cols) for keep in (toxic[texts.rows], ~toxic[texts.rows])]
+    odds = np.log((by[0] + 0.5) / (n_toxic - by[0] + 0.5)) - np.log((by[1] + 0.5) / (len(toxic) - n_toxic - by[1] + 0.5))
+    marked = (odds > MARKED_ODDS) & (odds / np.sqrt(1 / (by[0] + 0.5) + 1 / (by[1] + 0.5)) > MARKED_Z)
+    hits = np.round(np.bincount(texts.rows, np.expm1(texts.values) * marked[texts.cols], texts.n_rows))
+    cuts = np.unique(np.quantile(hits[toxic], np.linspace(0, 1, n_grades)[1:-1]))
+    return np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0)
 
 
-def _sparse_rows(sample: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, label, cols, counts) over the vocabulary: small rows, whatever the texts' lengths."""
-    place: dict[str, int] = {w: k for k, w in enumerate(vocabulary)}
-    memo: dict = {}
+def evidence(texts: Sparse, spread: Sparse, toxic: np.ndarray) -> np.ndarray:
+    """The scale of each feature: its shrunk log-odds by documents that a word with it is in, in standard errors."""
+    by = [spread.transposed(np.bincount(texts.cols[keep], minlength=texts.n_cols)) for keep in (toxic[texts.rows], ~toxic[texts.rows])]
+    odds = np.log((by[0] + 0.5) / (toxic.sum() + 1)) - np.log((by[1] + 0.5) / ((~toxic).sum() + 1))
+    z = odds / np.sqrt(1 / (by[0] + 0.5) + 1 / (by[1] + 0.5))
+    return np.sign(z) * np.maximum(np.abs(z) - SHRINK, 0) / 5
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols, counts = [], []
-        for text in each_text(batch.column(1)):
-            found = counted(text, place, memo)
-            cols.append([place[f] for f in found])
-            counts.append(list(found.values()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "cols", "counts", "label"])
 
-    id_type = sample.schema["doc_id"].dataType.simpleString()
-    return map_arrow(sample.select("doc_id", "text", "label"), run, f"doc_id {id_type}, cols array<int>, counts array<int>, label int")
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY, n_grades: int = GRADES) -> OrdinalModel:
-    """Learn from a 0/1 label. The sample's texts are written once to the shared folder; the driver gets counts only."""
-    sample = stage(labelled_sample(docs, labels, label, max_rows), "toxicity-sample")
-    n_toxic, n_rows = sample.agg(F.count_if(F.col("label") > 0), F.count("*")).first()
-    if not n_toxic or n_toxic == n_rows:
-        return OrdinalModel({}, tuple([50.0] * (n_grades - 1)))
-    # words by the size of their smoothed log-odds, weighed down where they are rare
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n_rows - n_toxic - F.col("clean") + 0.5))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = _word_counts(sample).withColumn("odds", odds).withColumn("z", F.col("odds") / error)
-    best = stage(best.filter(F.abs("z") >= MIN_Z), "toxicity-words")
-    is_part = F.col("word").startswith("#")
-    chosen = [r for kind in (~is_part, is_part) for r in best.filter(kind).orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()]
-    names = [r["word"] for r in chosen]
-    marked = np.array([r["odds"] > 3 and r["z"] > 4 and not r["word"].startswith("#") for r in chosen], bool)
-    # columns, not row objects: parts make many entries a row
-    found = _sparse_rows(sample, names).toArrow()
-    found = found.take(pc.sort_indices(found, [("doc_id", "ascending"), ("label", "ascending")]))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = SAMPLE_ROWS, n_grades: int = GRADES) -> OrdinalModel:
+    """Learn from a 0/1 label. The driver gets the word counts of the sample, no texts."""
+    found = _counted(labelled_sample(docs, labels, label, max_rows))
     toxic = found["label"].to_numpy() > 0
-    rows = np.repeat(np.arange(len(found)), pc.list_value_length(found["cols"]).to_numpy())
-    cols = pc.list_flatten(found["cols"]).to_numpy().astype(np.int64)
-    counts = pc.list_flatten(found["counts"]).to_numpy().astype(np.float64)
-    hits = np.bincount(rows, counts * marked[cols] if len(cols) else None, len(found))
-    cuts = np.unique(np.quantile(hits[toxic], np.linspace(0, 1, n_grades)[1:-1]))
-    grades = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0)
-    weights, theta = fit_ordinal(rows, cols, np.log1p(counts), len(names), grades, int(grades.max()) + 1)
-    return OrdinalModel(dict(zip(names, map(float, weights))), tuple(map(float, theta)))
+    if not toxic.any() or toxic.all():
+        return OrdinalModel(np.zeros(0), tuple([50.0] * (n_grades - 1)))
+    coded = pc.list_flatten(found["names"]).combine_chunks().dictionary_encode()
+    own = [features(w) for w in coded.dictionary.to_pylist()]
+    spread = Sparse(np.array(list(map(len, own))), np.fromiter((f for fs in own for f in fs), np.int32), np.ones(sum(map(len, own))), 1 << FEATURE_BITS)
+    counts = pc.list_flatten(found["counts"]).to_numpy()
+    texts = Sparse(pc.list_value_length(found["names"]).to_numpy(), coded.indices.to_numpy(), np.log1p(counts.astype(np.float64)), len(own))
+    grades = derived_grades(texts, toxic, n_grades)
+    scale = evidence(texts, spread, toxic)
+    spread.values = scale[spread.cols]
+    weights, theta = fit_ordinal(texts, spread, grades, int(grades.max()) + 1)
+    return OrdinalModel(weights * scale, tuple(map(float, theta)))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, severity (the expected grade), grade (the likeliest), p_toxic, toxic."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    memo: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = model.at_least(model.margins(each_text(batch.column(1)), memo))
+        p = model.at_least(model.margins(each_text(batch.column(1))))
         cdf = np.hstack([np.ones((len(p), 1)), p, np.zeros((len(p), 1))])
         grade = np.argmax(cdf[:, :-1] - cdf[:, 1:], axis=1).astype(np.int32)
         columns = [batch.column(0), pa.array(p.sum(1)), pa.array(grade), pa.array(p[:, 0]), pa.array(p[:, 0] >= TOXIC_FROM)]

@@ -1,4 +1,5 @@
 import numpy as np
+import xxhash
 
 from braidpath.llm import toxicity
 from tests.conftest import DATA
@@ -8,12 +9,17 @@ from tests.llm.conftest import ROWS
 def test_thresholds_ascend_and_severity_follows_the_grade():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 4, 800)
-    rows = np.repeat(np.arange(800), 2)
     cols = np.tile([0, 1], 800)
     values = np.stack([grades + rng.normal(0, 0.4, 800), rng.normal(size=800)], 1).ravel()
-    w, theta = toxicity.fit_ordinal(rows, cols, values, 2, grades, 4)
+    texts = toxicity.Sparse(np.full(800, 2), cols, values, 2)
+    each = toxicity.Sparse(np.ones(2, int), np.arange(2), np.ones(2), 2)
+    w, theta = toxicity.fit_ordinal(texts, each, grades, 4, steps=1500)
     assert (np.diff(theta) > 0).all() and w[0] > 10 * abs(w[1])
-    model = toxicity.OrdinalModel({}, tuple(theta))
+    # brute force: no step in any direction is better
+    loss = lambda w_, t_: toxicity.likelihood(texts.times(w_), t_, grades)[0] + toxicity.L2 * (w_ @ w_) / 2
+    for move in np.vstack([np.eye(5), -np.eye(5)]) * 0.02:
+        assert loss(w + move[:2], theta + move[2:]) >= loss(w, theta) - 1e-6
+    model = toxicity.OrdinalModel(np.zeros(0), tuple(theta))
     severity = model.at_least(w[0] * np.arange(4.0)).sum(1)
     assert (np.diff(severity) > 0.5).all() and np.abs(severity - np.arange(4)).max() < 0.5
     p = model.at_least(rng.normal(size=50) * 5)
@@ -39,7 +45,45 @@ def test_edges(spark, docs, no_docs):
     alone = toxicity.fit(docs, labels.filter("toxic = 0"))
     assert all(r["severity"] < 1e-6 and not r["toxic"] for r in toxicity.score(docs, alone).collect())
     assert toxicity.score(no_docs, model).count() == 0
-    assert toxicity.fit(no_docs, labels).weights == {}
+    assert len(toxicity.fit(no_docs, labels).weights) == 0
+
+
+def test_likelihood_and_its_slopes():
+    rng = np.random.default_rng(1)
+    s, theta, grades = rng.normal(size=30) * 2, np.array([-1.0, 0.5, 1.5]), rng.integers(0, 4, 30)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    plain = lambda s_, t_: -np.mean([np.log((sigmoid(x - t_[g - 1]) if g else 1.0) - (sigmoid(x - t_[g]) if g < 3 else 0.0)) for x, g in zip(s_, grades)])
+    value, ds, dtheta = toxicity.likelihood(s, theta, grades)
+    assert np.isclose(value, plain(s, theta))
+    for k in range(30):
+        assert np.isclose(ds[k], (plain(s + 1e-5 * (np.arange(30) == k), theta) - plain(s - 1e-5 * (np.arange(30) == k), theta)) / 2e-5, atol=1e-7)
+    for k in range(3):
+        assert np.isclose(dtheta[k], (plain(s, theta + 1e-5 * (np.arange(3) == k)) - plain(s, theta - 1e-5 * (np.arange(3) == k))) / 2e-5, atol=1e-7)
+
+
+def test_scores_equal_brute_force(spark, docs):
+    """Every word and part of every text looked up by itself, and every probability added up."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 10)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    weights = np.random.default_rng(2).normal(size=1 << toxicity.FEATURE_BITS)
+    model = toxicity.OrdinalModel(weights, model.thresholds)
+
+    def plain(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        total = 0.0
+        for w in sorted(set(words)):
+            marked = "^" + w + "$"
+            names = {w} | {"#" + marked[k : k + 4] for k in range(len(marked)) if k == 0 or k + 4 <= len(marked)}
+            places = {xxhash.xxh32_intdigest(n) // 2 ** (32 - toxicity.FEATURE_BITS) for n in names}
+            total += np.log(1 + words.count(w)) * sum(weights[p] for p in places)
+        above = [1.0, *(1 / (1 + np.exp(t - total)) for t in model.thresholds), 0.0]
+        each = [a - b for a, b in zip(above, above[1:])]
+        return sum(k * p for k, p in enumerate(each)), int(np.argmax(each)), above[1]
+
+    short = docs.filter("length(text) < 1000 or text is null")
+    by = sorted((plain(r["text"]) for r in short.collect()))
+    got = sorted((r["severity"], r["grade"], r["p_toxic"]) for r in toxicity.score(short, model).collect())
+    assert np.allclose(by, got)
 
 
 def test_rare_forms_are_known_by_their_parts(spark):
