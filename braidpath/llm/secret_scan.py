@@ -6,7 +6,13 @@ of a character or block, a keyboard walk or alphabetic sequence, or one brute-fo
 classes that the value draws from). Segments are bounded in length or taken whole as maximal runs, so the program is
 linear in the value. A value that costs THRESHOLD or more is a secret rather than a placeholder.
 
-Offsets are code points, the end exclusive. Null and empty texts have no spans. Each row is scanned by itself.
+Words and their ranks are COMMON_WORDS, short and by hand, and then those of a tokenizer's rank file, a public list of
+frequent pieces of running text in order (some 30,000 words of LEAST_WORD letters or more), whose place is a parameter.
+
+Offsets are code points, the end exclusive. Defined are: null and empty texts have no spans; very long texts and values are
+scanned whole; spans that begin together are ordered by kind, then by end; each row is scanned by itself, so repeated rows
+get equal results and null ids are kept; an empty table gives an empty result; other columns are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 #: Words that announce a credential, what stands between, and the scheme of an authorization. Only the value's begin is
 #: found: matches don't take the value in, so a word within it announces its own. With ``:`` or ``=`` long words may end a
 #: name (mypassword=); short ones, and all before mere white space, are words of their own or humps (userPass).
-_LONG = rb"pass(?:word|wd|phrase|code|key)|secret|credentials?|authorization|api[_-]?key|access[_-]?key|private[_-]?key|token|bearer"
+_LONG = rb"pass(?:word|wd|phrase|code|key)|secret|credentials?|authorization|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|token|bearer"
 _OWN = rb"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
 _SCHEME = rb"""(?:(?i:basic|bearer|digest|token|negotiate|ntlm|hawk|api-?key)\s+["']?)?"""
 CONTEXT = re.compile(

@@ -9,7 +9,13 @@ tests a key; the rows that are judged are neither shuffled nor joined.
 
 The first filter's rate of false positives follows the ratio of listed to corpus keys and the others let through one
 half, so the bits are in proportion to the listed keys times the log of that ratio. Beyond MAX_BITS a list is refused
-with an error, not cut. Null urls and urls without ``://`` have empty host and path and fit no rule.
+with an error, not cut. Lists are tables with a column ``key``, or short Python lists. Defined are:
+
+* null and empty urls and urls without ``://`` have empty host and path, fit no rule and are allowed;
+* very long urls are tested whole; repeated rows get equal verdicts, null ids are kept; keys listed twice count once;
+* of keys that fit, the longest decides; no two keys of one url have the same length and differ, so there are no ties;
+  a key that is both allowed and blocked blocks;
+* empty tables and empty lists are fine; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from braidpath.llm.exact_dedup import LOWER, UPPER
 
 #: 8 MB of filter words; they go to every executor as a constant.
 MAX_BITS = 2**26
+#: Kinds of keys (labels of the host, length of the path) that a url is tested for at most; beyond, lists are refused.
+MAX_SHAPES = 4_096
 
 
 def host(url: Column) -> Column:
@@ -39,9 +47,21 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def shapes(keys: Iterable[str]) -> list[tuple[int, int]]:
+def shapes(keys: DataFrame) -> list[tuple[int, int]]:
     """(labels of the host, length of the path) of each kind of key, the longest key first to be tried last."""
-    return sorted({(k.partition("/")[0].count(".") + 1, len(k) - len(k.partition("/")[0])) for k in keys})
+    own = F.substring_index("key", "/", 1)
+    labels = F.length(own) - F.length(F.replace(own, F.lit("."))) + 1
+    found = keys.select(labels.alias("labels"), (F.length("key") - F.length(own)).alias("path")).distinct().limit(MAX_SHAPES + 1).collect()
+    if len(found) > MAX_SHAPES:
+        raise ValueError(f"the lists have over {MAX_SHAPES} kinds of keys")
+    return sorted((r["labels"], r["path"]) for r in found)
+
+
+def key_table(spark: SparkSession, keys: DataFrame | Iterable[str]) -> DataFrame:
+    """A list as a table with the column ``key``."""
+    if isinstance(keys, DataFrame):
+        return keys.select("key").filter("key is not null")
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(list(keys))), "array<string>")).alias("key"))
 
 
 def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
@@ -61,11 +81,10 @@ class Bloom:
     seed: int
 
     def passes(self, key: Column) -> Column:
-        words, out = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>"), F.lit(True)
-        for place in places(key, self.bits, self.hashes, self.seed):
-            word = F.get(words, F.call_function("div", place, F.lit(64)).cast("int"))
-            out = out & (F.bit_get(word, (place % 64).cast("int")) == 1)
-        return out
+        # the words are one literal, whatever the number of hash functions
+        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+        unset = lambda at: F.bit_get(F.get(words, F.call_function("div", at, F.lit(64)).cast("int")), (at % 64).cast("int")) == 0
+        return ~F.exists(F.array(*places(key, self.bits, self.hashes, self.seed)), unset)
 
 
 def places(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
@@ -115,31 +134,35 @@ def build_cascade(listed: DataFrame, universe: DataFrame, n_universe: int) -> Ca
     return Cascade(tuple(levels))
 
 
-def build_cascades(urls: DataFrame, lists: Mapping[str, Iterable[str]], url_col: str = "url") -> tuple[dict[str, Cascade], list[tuple[int, int]]]:
+def build_cascades(urls: DataFrame, lists: Mapping[str, DataFrame], url_col: str = "url") -> tuple[dict[str, Cascade], list[tuple[int, int]]]:
     """A cascade for each list over all keys of ``urls``; one pass counts these, one for each list filters them."""
-    spark: SparkSession = urls.sparkSession
-    forms = shapes([k for keys in lists.values() for k in keys])
+    every = None
+    for keys in lists.values():
+        every = keys if every is None else every.unionByName(keys)
+    forms = shapes(every)
     universe = urls.select(F.explode(candidate_keys(host(F.col(url_col)), path(F.col(url_col)), forms)).alias("key"))
     n = universe.agg(F.approx_count_distinct("key")).first()[0]
-    table = lambda keys: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(list(keys))), "array<string>")).alias("key"))
-    return {name: build_cascade(table(keys), universe, n) for name, keys in lists.items()}, forms
+    return {name: build_cascade(keys, universe, n) for name, keys in lists.items()}, forms
 
 
-def judge_urls(urls: DataFrame, rules: Mapping[str, str], blocked: Iterable[str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(urls: DataFrame, rules: DataFrame | Mapping[str, str], blocked: DataFrame | Iterable[str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row a url: page_id, host, path, rule, verdict.
 
-    ``rules`` maps keys to ``allow`` or ``block``; the longest that fits decides. Where none fits, the url is blocked
-    if a key of it is in ``blocked``, else allowed.
+    ``rules`` maps keys to ``allow`` or ``block``, or has these as columns ``key`` and ``action``; the longest that fits
+    decides. Where none fits, the url is blocked if a key of it is in ``blocked``, else allowed.
     """
-    blocked = list(blocked)
-    lists = {"allow": [k for k, v in rules.items() if v == "allow"], "block": [k for k, v in rules.items() if v == "block"], "site": blocked}
-    cascades, forms = build_cascades(urls, lists, url_col)
+    spark = urls.sparkSession
+    if isinstance(rules, DataFrame):
+        lists = {name: key_table(spark, rules.filter(F.col("action") == name)) for name in ("allow", "block")}
+    else:
+        lists = {name: key_table(spark, [k for k, v in rules.items() if v == name]) for name in ("allow", "block")}
+    cascades, forms = build_cascades(urls, lists | {"site": key_table(spark, blocked)}, url_col)
     rows = urls.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rows = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), forms))
     longest = lambda c: F.reduce(F.filter("keys", c.holds), F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
     rows = rows.withColumns({name: longest(cascades[name]) for name in ("allow", "block")})
     rows = rows.withColumn("site", F.exists("keys", cascades["site"].holds))
-    blocks = F.col("allow").isNull() | (F.length("block") > F.length("allow"))
-    rule = F.when(F.col("block").isNotNull() & blocks, F.col("block")).otherwise(F.col("allow"))
-    verdict = F.when(rule.isNull(), F.when(F.col("site"), "block").otherwise("allow")).when(F.col("block").isNotNull() & blocks, "block").otherwise("allow")
+    blocks = F.col("block").isNotNull() & (F.col("allow").isNull() | (F.length("block") >= F.length("allow")))
+    rule = F.when(blocks, F.col("block")).otherwise(F.col("allow"))
+    verdict = F.when(blocks, "block").when(rule.isNull() & F.col("site"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))

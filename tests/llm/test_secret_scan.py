@@ -1,7 +1,9 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import string
 
 import pytest
 from hypothesis import given, settings
@@ -108,3 +110,30 @@ def test_values_within_values():
     assert [text[a:b] for k, a, b in scan.scan(text)[1] if k == "guess"] == ["s3cr#t!Xy9zz&token=Kq2!vLm#8x9$", "Kq2!vLm#8x9$"]
     chain = "password=x&" * 5_000
     assert sum(b - a for a, b in scan.context_values(chain.encode())) <= 2 * len(chain)
+
+
+PROSE = """The password is required before login. A secret agreement between the two governments was signed. The token gesture pleased
+nobody. Please keep the password somewhere safe. Bearer certificates were common. The secret: practice every morning. They pass through
+customs. Password requirements: uppercase letters, numbers, symbols. The api key rotates automatically. login: available tomorrow.
+A private key should never be published. Her secret garden remained undisturbed. Credentials: please contact support. The
+passphrase is something memorable. auth: disabled. token = required. password: <your-password>. secret = changeme123. pwd: password1.
+access key: example. passcode is twelve34. The authorization process continues. password=****************. token: none."""
+
+
+def test_precision_and_recall_on_planted_values():
+    """Random values planted behind contexts that the fixed patterns don't read, among ordinary sentences."""
+    rnd = random.Random(11)
+    letters, more = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "!#$%&*+?@^~"
+    make = [lambda: "".join(rnd.choices(letters, k=rnd.randrange(10, 33))), lambda: "".join(rnd.choices(more, k=rnd.randrange(9, 25))), lambda: "eyJ" + "".join(rnd.choices(letters + "-_", k=40)) + "." + "".join(rnd.choices(letters, k=12))]
+    before = ["Authorization: Bearer ", "Authorization: Basic ", "pwd=", "pass: ", "passphrase is ", "login ", "credentials: ", "private key\n", "access_key => ", "auth:\t", "bearer "]
+    sentences = PROSE.split(".")
+    found = planted = hit = 0
+    for _ in range(400):
+        value, context = rnd.choice(make)(), rnd.choice(before)
+        text = rnd.choice(sentences) + ". " + context + value + " " + rnd.choice(sentences) + "."
+        at = text.index(value)
+        got = [(a, b) for k, a, b in scan.scan(text)[1] if k == "guess"]
+        planted += 1
+        hit += (at, at + len(value)) in got
+        found += len(got)
+    assert hit >= 0.97 * planted and hit >= 0.97 * found

@@ -43,6 +43,20 @@ def test_urls(spark):
     assert judged(spark, []) == []
 
 
+def test_lists_as_tables(spark):
+    rules = spark.createDataFrame([*queries.URL_RULES.items(), *queries.URL_RULES.items(), (None, "block")], "key string, action string")
+    blocked = spark.createDataFrame([(k,) for k in queries.BLOCKED_SITES] * 2, "key string")
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(URLS)], "page_id bigint, url string")
+    got = sorted(url_filter.judge_urls(df, rules, blocked).collect(), key=lambda r: r["page_id"])
+    assert [tuple(r)[1:] for r in got] == [brute(u) for u in URLS]
+
+
+def test_too_many_kinds_of_keys_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_SHAPES", 3)
+    with pytest.raises(ValueError):
+        url_filter.shapes(spark.createDataFrame([("a/" + "x" * k,) for k in range(5)], "key string"))
+
+
 def test_no_rules(spark):
     df = spark.createDataFrame([(1, "http://a.net/")], "page_id bigint, url string")
     assert url_filter.judge_urls(df, {}, []).first()["verdict"] == "allow"
