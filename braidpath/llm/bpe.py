@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Each task takes the texts of one Arrow batch as a corpus. It splits them into pieces, gathers the pieces not
+Each task takes its texts in blocks of about BLOCK_CHARS characters as a corpus. It splits them into pieces, gathers the pieces not
 yet known, and replays the merges over all of these at once: an inverted index from token pair to positions is
 worked off in rank order, and a merge updates the index only at the neighbours it touches. The cost of a merge
 is shared by all pieces that hold the pair, and each distinct piece is encoded once however often it occurs.
@@ -9,7 +9,9 @@ A vocabulary may hold tokens whose parts rank later than themselves. A pair that
 after its rank has passed; a piece in which that happens is encoded anew, one lowest merge at a time, which is
 what the tiktoken library does for every piece. So the ids are equal to that library's for any rank file.
 
-Nulls and empty texts have no ids. Lone pieces of any length cost n log n. Columns other than those named stay out.
+Defined are: null and empty texts have no ids and decode to nothing; lone pieces of any length cost n log n, so very long
+texts are encoded whole; of pairs with the same rank, which only equal tokens have, the leftmost merges first; repeated
+rows get equal ids, null doc_ids are kept; an empty table gives an empty result; other columns stay out, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,10 @@ The others are judged by boosted trees that learn ``labels.quality`` from a boun
 with the share of symbols, repeated lines, repeated words, exclamation marks or upper-case letters. Scoring is one pass over the texts.
 
 Null and empty texts have no words and fail the base. Without labels of both kinds the trees are a constant and keep
-what passes the base if label 1 is at least as frequent as 0 or none is there. Rows are judged one by one: repeated rows get equal verdicts.
+what passes the base if label 1 is at least as frequent as 0 or none is there. Rows are judged one by one: repeated rows get
+equal verdicts, null ids are kept, and very long texts are read whole. Of several labels of one id the greatest counts; splits of
+equal gain go to the first statistic. An empty table gives an empty result. ``judge`` looks at no other columns and
+``keep_good`` returns them all, whatever their names.
 """
 
 from __future__ import annotations

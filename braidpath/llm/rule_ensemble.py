@@ -4,8 +4,10 @@ Boosted trees of small depth are grown on a bounded labelled sample; every path
 lasso logistic regression on the rules' truth values keeps few of them, and the kept ones become one Spark column
 expression over the statistics, so scoring is a projection. Inputs of a score are statistics of the whole text alone.
 
-Null and empty texts have zero statistics and are scored like any other. Without labels of both kinds the score is the
-share of label 1, or 0.5 without labels.
+Null and empty texts have zero statistics and are scored like any other; very long texts are read whole; repeated rows get
+equal scores and null ids are kept, as not held out. Of several labels of one id the greatest counts, and rules that hold for
+the same rows are one. Without labels of both kinds the score is the share of label 1, or 0.5 without labels. An empty table
+gives an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
