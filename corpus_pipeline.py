@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, exact dedup, near-dedup, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
-columns of ``documents``.
+columns of ``documents``; other columns, whatever their names, go along. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -13,27 +13,30 @@ from braidpath.llm.common import stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts with them; repeated rows share a verdict."""
     return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts, null and empty ones being equal, the document with the largest id stays; a null id is the smallest."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the document with the least id stays."""
+    """Of linked fingerprints the document with the least id stays; a null id only where there is no other.
+
+    The fingerprint and the two bits are those of the contract of the operator's query; the README says what that finds.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix visits them, sorted by training position."""
+    """Documents as often as the mix visits them, sorted by training position; texts without words are never visited."""
     return mixing.curriculum(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each visit, with the digests of the ids and of what they decode to."""
+    """The token ids of each visit, with the digests of the ids and of what they decode to; null texts have no ids."""
     return bpe.encode_documents(docs, bpe.rank_file())
 
 
