@@ -76,9 +76,19 @@ def cumulative_distances(levelwise: DataFrame) -> DataFrame:
     return levelwise.select("comparison", "level", F.sqrt(F.sum(F.pow("raw_level_l2_distance", F.lit(2))).over(spec)).alias("l2_distance"))
 
 
-def explained(comparison: Column, level: Column, texts: Mapping[tuple[str, int], str], other: str) -> Column:
-    """A text for a comparison and level; ``other`` for those without one."""
-    out = F.lit(other)
-    for (name, k), text in texts.items():
-        out = F.when((comparison == name) & (level == k), text).otherwise(out)
+#: What an order of moments tells, by level.
+TELLS = {1: "mean", 2: "spread", 3: "asymmetry", 4: "tails"}
+
+
+def interpretation(comparison: Column, level: Column, orders: Mapping[str, Sequence[int]]) -> Column:
+    """What a distance at a level shows, given the orders of moments in which the processes of each comparison differ."""
+    out = F.lit("distance of the expected signatures")
+    for name, own in orders.items():
+        first, last = min(own), max(own)
+        told = " and ".join(TELLS[k] for k in own)
+        text = F.when(level < first, f"nothing yet: they differ in {told}, from level {first}")
+        for k in own:
+            text = text.when(level == k, f"the difference in {TELLS[k]} enters here")
+        text = text.when(level < last, f"between their differences in {told}").otherwise(f"the difference in {told} is known by level {last}; what is added is scale")
+        out = F.when(comparison == name, text).otherwise(out)
     return out

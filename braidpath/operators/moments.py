@@ -18,6 +18,10 @@ WIDE = 6
 
 def sample_moments(rows: DataFrame, columns: Sequence[str], by: str = "process") -> DataFrame:
     """(by, channel, n, mean, variance, skewness, excess_kurtosis): all with the population denominator."""
+    if len(columns) > WIDE:
+        # a row a channel, so that the aggregates stay few; tasks send one row a process and channel
+        long = rows.select(F.col(by), *columns).unpivot([by], list(columns), "channel", "x")
+        return long.groupBy(by, "channel").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("excess_kurtosis"))
     names = [f"__m_{c}" for c in columns]
     stats = [F.struct(F.lit(c).alias("channel"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("variance"), F.skewness(c).alias("skewness"), F.kurtosis(c).alias("excess_kurtosis")).alias(n) for c, n in zip(columns, names)]
     return rows.groupBy(by).agg(*stats).select(by, F.explode(F.array(*names)).alias("m")).select(by, "m.*")
@@ -25,6 +29,8 @@ def sample_moments(rows: DataFrame, columns: Sequence[str], by: str = "process")
 
 def covariances(rows: DataFrame, columns: Sequence[str], by: str = "process", sample: bool = False) -> DataFrame:
     """(by, i, j, covariance) of every pair of columns, both orders, from one aggregation; i and j from 1."""
+    if len(columns) > WIDE:
+        return _wide_covariances(rows, columns, by, sample)
     cov = F.covar_samp if sample else F.covar_pop
     d = len(columns)
     own = {(i, j): cov(columns[i], columns[j]).alias(f"__c_{i}_{j}") for i in range(d) for j in range(i, d)}
@@ -32,6 +38,22 @@ def covariances(rows: DataFrame, columns: Sequence[str], by: str = "process", sa
     return rows.groupBy(by).agg(*own.values()).select(by, F.explode(F.array(*cells)).alias("c")).select(by, "c.*")
 
 
+def _wide_covariances(rows: DataFrame, columns: Sequence[str], by: str, sample: bool) -> DataFrame:
+    """The same by matrix products in each task, which sends one matrix a process."""
+    d = len(columns)
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        own = VectorMoments(d)
+        for r in group.itertuples():
+            own.merge(r.n, np.asarray(r.mean), np.asarray(r.co).reshape(d, d))
+        i, j = np.divmod(np.arange(d * d), d)
+        values = own.co.reshape(-1) / (own.n - 1) if sample and own.n > 1 else own.co.reshape(-1) / own.n * (np.nan if sample else 1.0)
+        return pd.DataFrame({"process": group["process"].iloc[0], "i": i + 1, "j": j + 1, "covariance": values})
+
+    found = vector_partials(rows, columns, "sample", by).groupBy("process").applyInPandas(merge, "process string, i int, j int, covariance double")
+    return found.withColumn("covariance", F.nanvl("covariance", F.lit(None).cast("double"))).withColumnRenamed("process", by)
+
+
 def endpoints(paths: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("process", "series"), order: str = "step") -> DataFrame:
     """The last point of each path."""
     return paths.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in columns])

@@ -1,7 +1,8 @@
 """Anomaly scores of windows: standardised features, distances to the recent past, episodes, periods, rankings.
 
 Not scored is null, never NaN. Standardisation uses the whole sample, so it looks ahead; a live score would fix the
-means first. Windows are partitioned by ``series`` and ordered by ``window_idx``.
+means first. ``window_idx`` numbers the windows of a series from 0 without gaps. What needs a whole series (means,
+quantiles) is aggregated to one row and joined back; what looks back works on blocks of windows with the rows before.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from braidpath.functions.vectors import norm, safe
+from braidpath.operators.panel import BLOCK, blocked, with_facts
 
 LOOKBACK, QUANTILE, TOP = 60, 0.95, 15
 
@@ -20,28 +22,33 @@ LOOKBACK, QUANTILE, TOP = 60, 0.95, 15
 def standardise(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each feature minus its mean over the series, divided by its population deviation, or by 1 where it is constant.
 
-    Means and deviations are taken over the same dealing out by series that scoring needs, so features are made once.
+    The features are dealt out by blocks of windows once, which both the aggregation and the rows then read.
     """
-    whole = Window.partitionBy("series")
-    stats = features.withColumns({f"__a_{c}": F.avg(c).over(whole) for c in columns} | {f"__s_{c}": F.stddev_pop(c).over(whole) for c in columns})
     keep = [c for c in features.columns if c not in set(columns)]
-    return stats.select(*keep, *[((F.col(c) - F.col(f"__a_{c}")) / safe(F.col(f"__s_{c}"))).alias(c) for c in columns])
+    dealt = features.withColumn("__home", F.floor(F.col("window_idx") / BLOCK)).filter("series is not null and __home is not null").repartition("series", "__home").drop("__home")
+    # the struct keeps all columns in use on this side too, so that both sides share one exchange
+    last = F.max(F.struct("window_idx", *[c for c in keep if c not in ("series", "window_idx")]))["window_idx"].alias("__last")
+    stats = dealt.groupBy("series").agg(*[F.avg(c).alias(f"__a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns], last)
+    both = with_facts(dealt, stats)
+    return both.select(*keep, *[((F.col(c) - F.col(f"__a_{c}")) / safe(F.col(f"__s_{c}"))).alias(c) for c in columns])
 
 
 def trailing_scores(features: DataFrame, groups: Mapping[str, Sequence[str]], lookback: int = LOOKBACK, consecutive: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(series, window_idx, end_date, one score a group of columns), all from one ordering of the windows.
 
     A score is the distance to the mean of the ``lookback`` windows before, null for the first ones; those of
-    ``consecutive`` are distances to the window before, null for the first.
+    ``consecutive`` are distances to the window before, null for the first. The means are differences of running sums
+    within a block.
     """
-    order = Window.partitionBy("series").orderBy("window_idx")
-    spec = order.rowsBetween(-lookback, -1)
-    means = {f"__t_{c}": F.avg(c).over(spec) for g in groups.values() for c in g}
-    before = {f"__b_{c}": F.lag(c).over(order) for g in (consecutive or {}).values() for c in g}
-    x = features.withColumns(means | before | {"__full": F.count("*").over(spec) == lookback})
-    scores = [F.when(F.col("__full"), norm([F.col(c) - F.col(f"__t_{c}") for c in g])).alias(n) for n, g in groups.items()]
+    x, order = blocked(features, max(lookback if groups else 1, 1), "window_idx")
+    up_to = order.rowsBetween(Window.unboundedPreceding, -1)
+    own = [c for g in groups.values() for c in g]
+    x = x.withColumns({f"__t_{c}": F.sum(c).over(up_to) for c in own} | {"__at": F.row_number().over(order)})
+    x = x.withColumns({f"__o_{c}": F.coalesce(F.lag(f"__t_{c}", lookback).over(order), F.lit(0.0)) for c in own} | {f"__b_{c}": F.lag(c).over(order) for g in (consecutive or {}).values() for c in g})
+    away = lambda c: F.col(c) - (F.col(f"__t_{c}") - F.col(f"__o_{c}")) / lookback
+    scores = [F.when(F.col("__at") > lookback, norm([away(c) for c in g])).alias(n) for n, g in groups.items()]
     scores += [norm([F.col(c) - F.col(f"__b_{c}") for c in g]).alias(n) for n, g in (consecutive or {}).items()]
-    return x.select("series", "window_idx", "end_date", *scores)
+    return x.filter("__own").select("series", "window_idx", "end_date", *scores)
 
 
 def trailing_score(features: DataFrame, columns: Sequence[str], name: str = "score", lookback: int = LOOKBACK) -> DataFrame:
@@ -74,27 +81,36 @@ def thresholds(scores: DataFrame, score: str, quantile: float = QUANTILE) -> Dat
 
 
 def episodes(scores: DataFrame, score: str, quantile: float = QUANTILE) -> DataFrame:
-    """Runs of adjacent windows at or above the threshold, the first peak on ties, highest first."""
-    limit = F.percentile(score, quantile).over(Window.partitionBy("series"))
-    high = scores.withColumn("threshold", limit).filter(F.col(score) >= F.col("threshold"))
-    run = F.col("window_idx") - F.row_number().over(Window.partitionBy("series").orderBy("window_idx"))
+    """Runs of adjacent windows at or above the threshold, the first peak on ties, highest first.
+
+    Runs are found within blocks, and those that touch across blocks are joined; of a series only its runs meet.
+    """
+    limits = scores.groupBy("series").agg(F.percentile(score, quantile).alias("threshold"), F.max("window_idx").alias("__last"))
+    high = with_facts(scores, limits).filter(F.col(score) >= F.col("threshold"))
+    inside, order = blocked(high, 0, "window_idx")
+    run = F.col("window_idx") - F.row_number().over(order)
     peak = F.max(F.struct(F.col(score).alias("s"), (-F.col("window_idx")).alias("i"), F.col("end_date").alias("d")))
-    rows = high.withColumn("run", run).groupBy("series", "run").agg(F.min("end_date").alias("episode_start"), F.max("end_date").alias("episode_end"), peak.alias("peak"), F.count("*").alias("duration_windows"), F.first("threshold").alias("threshold"))
+    parts = inside.withColumn("run", run).groupBy("series", "__block", "run").agg(
+        F.min("window_idx").alias("first"), F.max("window_idx").alias("last"), F.min("end_date").alias("begin"), F.max("end_date").alias("end"), peak.alias("peak"), F.count("*").alias("n"), F.first("threshold").alias("threshold")
+    )
+    by = Window.partitionBy("series").orderBy("first")
+    apart = F.coalesce((F.lag("last").over(by) + 1 != F.col("first")).cast("int"), F.lit(1))
+    joined = parts.withColumn("apart", apart).withColumn("episode", F.sum("apart").over(by))
+    rows = joined.groupBy("series", "episode").agg(F.min("begin").alias("episode_start"), F.max("end").alias("episode_end"), F.max("peak").alias("peak"), F.sum("n").alias("duration_windows"), F.first("threshold").alias("threshold"))
     return rows.select("series", "episode_start", "episode_end", F.col("peak.d").alias("peak_date"), F.col("peak.s").alias("peak_score"), "duration_windows", "threshold").orderBy(F.desc("peak_score"), "episode_start")
 
 
 def period_summary(scores: DataFrame, score: str, periods: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Of each inclusive date range with windows: how many, mean, max, median, and the mean against the median of all.
 
-    The ranges are a literal list and are broadcast.
+    The ranges are a literal list: a window goes to each that holds it.
     """
-    table = scores.sparkSession.createDataFrame(list(periods), "period string, start string, end string")
-    table = F.broadcast(table.select("period", F.to_date("start").alias("start_date"), F.to_date("end").alias("end_date_")))
-    with_median = scores.withColumn("global_median_score", F.percentile(score, 0.5).over(Window.partitionBy("series")))
-    inside = with_median.join(table, F.col("end_date").between(F.col("start_date"), F.col("end_date_")))
-    out = inside.groupBy("series", "period", "start_date", F.col("end_date_").alias("end_date")).agg(
-        F.count("*").alias("window_count"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"), F.percentile(score, 0.5).alias("median_score"), F.first("global_median_score").alias("global_median_score")
+    held = [F.when(F.col("end_date").between(F.to_date(F.lit(a)), F.to_date(F.lit(b))), F.struct(F.lit(name).alias("period"), F.to_date(F.lit(a)).alias("start_date"), F.to_date(F.lit(b)).alias("end"))) for name, a, b in periods]
+    inside = scores.withColumn("p", F.explode(F.filter(F.array(*held), lambda p: p.isNotNull())))
+    out = inside.groupBy("series", F.col("p.period").alias("period"), F.col("p.start_date").alias("start_date"), F.col("p.end").alias("end_date")).agg(
+        F.count("*").alias("window_count"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"), F.percentile(score, 0.5).alias("median_score")
     )
+    out = out.join(thresholds(scores, score, 0.5).withColumnRenamed("threshold", "global_median_score"), "series")
     return out.withColumn("mean_vs_global_median_ratio", F.try_divide("mean_score", "global_median_score")).orderBy(F.desc("mean_score"), "period")
 
 

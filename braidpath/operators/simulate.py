@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -124,14 +125,18 @@ def _fractional(p: Process, n: int, steps: int, dt: float, rng: np.random.Genera
 
 
 def _rough_volatility(p: Process, n: int, steps: int, dt: float, rng: np.random.Generator) -> np.ndarray:
-    """Log returns whose log variance is a rough fractional motion, the price shocks being correlated with its noise."""
-    q = p.params
-    z, other = rng.standard_normal((2, n, steps))
-    motion = np.cumsum(z @ noise_root(steps, q["hurst"]).T, axis=1) * np.sqrt(steps * dt) / steps ** q["hurst"]
-    times = np.arange(1, steps + 1) * dt
-    variance = q["xi0"] * np.exp(q["eta"] * motion - q["eta"] ** 2 / 2 * times ** (2 * q["hurst"]))
-    shock = (q["rho"] * z + np.sqrt(1 - q["rho"] ** 2) * other) * np.sqrt(dt)
-    return ((q["mu"] - variance / 2) * dt + np.sqrt(variance) * shock)[..., None]
+    """Log returns whose log volatility follows fractional motion M: ln v(t) = ln xi0 + eta M(t) - eta^2 Var M(t) / 2.
+
+    The price's shock in a step has the correlation rho with the noise that drives M in the same step.
+    """
+    q, horizon = p.params, steps * dt
+    driving, independent = rng.standard_normal((2, n, steps))
+    # unit noise summed over k steps has the variance k^2H; brought to the horizon, (k / steps)^2H times it
+    spread = np.sqrt(horizon) * (np.arange(1, steps + 1) / steps) ** q["hurst"]
+    motion = np.sqrt(horizon) / steps ** q["hurst"] * np.cumsum(driving @ noise_root(steps, q["hurst"]).T, axis=1)
+    volatility = np.exp((np.log(q["xi0"]) + q["eta"] * motion - (q["eta"] * spread) ** 2 / 2) / 2)
+    price = q["rho"] * driving + np.sqrt(1 - q["rho"] ** 2) * independent
+    return (q["mu"] * dt + volatility * (np.sqrt(dt) * price - volatility * dt / 2))[..., None]
 
 
 #: A process of a kind of several parts has the sum of their increments.
@@ -278,3 +283,56 @@ def simulated_summary(spark: SparkSession, processes: Sequence[Process], n_paths
             yield pa.RecordBatch.from_pylist(found, schema=VECTOR_SCHEMA)
 
     return summarised(_blocks(spark, n_paths, batch, partitions).mapInArrow(run, VECTOR_PARTIAL), d)
+
+
+class PowerMoments:
+    """Count, mean and sums of the second to fourth powers of deviations, of each channel, merged without cancellation."""
+
+    def __init__(self, d: int) -> None:
+        self.n, self.mean, self.sums = 0, np.zeros(d), np.zeros((3, d))
+
+    def add(self, x: np.ndarray) -> None:
+        mean = x.mean(axis=0)
+        self.merge(len(x), mean, np.stack([((x - mean) ** k).sum(axis=0) for k in (2, 3, 4)]))
+
+    def merge(self, n: int, mean: np.ndarray, sums: np.ndarray) -> None:
+        if not n:
+            return
+        both = self.n + n
+        # deviations from the common mean: each part's own plus a constant, expanded by powers
+        parts = [(self.n, self.sums, self.mean), (n, sums, mean)]
+        common = (self.n * self.mean + n * mean) / both
+        out = np.zeros_like(self.sums)
+        for count, (s2, s3, s4), own in parts:
+            c = own - common
+            out += np.stack([s2 + count * c**2, s3 + 3 * c * s2 + count * c**3, s4 + 4 * c * s3 + 6 * c**2 * s2 + count * c**4])
+        self.n, self.mean, self.sums = both, common, out
+
+
+POWER_PARTIAL = "process string, n bigint, mean array<double>, sums array<double>"
+
+
+def simulated_moments(spark: SparkSession, processes: Sequence[Process], n_paths: int, steps: int, dt: float = 1.0, seed: int = 42, batch: int = BLOCK, partitions: int | None = None) -> DataFrame:
+    """The table of ``moments.sample_moments`` of the increments of the same paths, summed up where they are made."""
+    d = processes[0].channels
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {p.name: PowerMoments(d) for p in processes}
+        for p, _, dx in _each(batches, processes, n_paths, batch, steps, dt, seed):
+            own[p.name].add(dx.reshape(-1, d))
+        found = [{"process": name, "n": m.n, "mean": m.mean.tolist(), "sums": m.sums.reshape(-1).tolist()} for name, m in own.items() if m.n]
+        if found:
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("process", pa.string()), ("n", pa.int64()), ("mean", doubles), ("sums", doubles)]))
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        own = PowerMoments(d)
+        for r in group.itertuples():
+            own.merge(r.n, np.asarray(r.mean), np.asarray(r.sums).reshape(3, d))
+        m2, m3, m4 = own.sums / own.n
+        with np.errstate(invalid="ignore", divide="ignore"):
+            skewness, kurtosis = m3 / m2**1.5, m4 / m2**2 - 3
+        return pd.DataFrame({"process": group["process"].iloc[0], "channel": [f"dx_{k}" for k in range(1, d + 1)], "n": own.n, "mean": own.mean, "variance": m2, "skewness": skewness, "excess_kurtosis": kurtosis})
+
+    partials = _blocks(spark, n_paths, batch, partitions).mapInArrow(run, POWER_PARTIAL)
+    return partials.groupBy("process").applyInPandas(merge, "process string, channel string, n bigint, mean double, variance double, skewness double, excess_kurtosis double")

@@ -20,8 +20,15 @@ PERIODS = (
 )
 
 
-def returns_of(prices: DataFrame, tickers: Sequence[str]) -> DataFrame:
-    return panel.log_returns(panel.clean(panel.align(prices, tickers), tickers), tickers)
+def returns_of(prices: DataFrame, tickers: Sequence[str], check: bool = False) -> DataFrame:
+    """Log returns of the dates on which every ticker has a price; ``check``: an error if a ticker has none at all."""
+    prices = panel.require_tickers(prices, tickers) if check else prices
+    return panel.log_returns(panel.align(prices, tickers), tickers)
+
+
+def returns_of_panel(prices: DataFrame, tickers: Sequence[str]) -> DataFrame:
+    """Log returns of a panel made elsewhere, (series, date, one column a ticker); a repeated date is an error."""
+    return panel.log_returns(panel.check_unique_dates(prices), tickers)
 
 
 def signature_features(returns: DataFrame, channels: int, depth: int = DEPTH, window: int = panel.WINDOW) -> DataFrame:

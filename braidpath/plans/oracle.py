@@ -119,35 +119,27 @@ summary AS (SELECT process, avg(x) AS terminal_mean, var_pop(x) AS terminal_cov,
             FROM ends JOIN (SELECT process, avg(dx) AS increment_mean, var_pop(dx) AS increment_cov FROM changes GROUP BY process) USING (process) GROUP BY process)"""
 
 
-def _vectors(n: int) -> str:
-    return "vectors AS (SELECT 'L' || label AS process, " + ", ".join(f"CAST(embedding[{k}] AS DOUBLE) AS x_{k}" for k in range(1, n + 1)) + " FROM embeddings)"
+VECTORS = """vectors AS (SELECT 'L' || label AS process, vec_id, CAST(k AS INTEGER) AS k, CAST(embedding[k] AS DOUBLE) AS x FROM embeddings, range(1, 65) t(k))"""
+PAIRED = VECTORS + """,
+products AS (SELECT a.process, a.k AS i, b.k AS j, {0}(a.x, b.x) AS covariance FROM vectors a JOIN vectors b USING (vec_id) GROUP BY a.process, a.k, b.k)"""
 
 
 def _moments() -> str:
-    rows = []
-    for k in range(1, 5):
-        x = f"x_{k}"
-        rows.append(
-            f"SELECT process, '{x}' AS channel, count({x}) AS n, round(avg({x}), 6) AS mean, round(var_pop({x}), 6) AS variance, "
-            f"round(avg(pow({x} - m, 3)) / pow(var_pop({x}), 1.5), 6) AS skewness, round(avg(pow({x} - m, 4)) / pow(var_pop({x}), 2) - 3, 6) AS excess_kurtosis "
-            f"FROM (SELECT *, avg({x}) OVER (PARTITION BY process) AS m FROM vectors) GROUP BY process"
-        )
-    return f"WITH {_vectors(4)} " + " UNION ALL ".join(rows)
+    return f"""WITH {VECTORS}, centred AS (SELECT *, avg(x) OVER (PARTITION BY process, k) AS m FROM vectors)
+SELECT process, 'x_' || k AS channel, count(x) AS n, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance,
+       round(avg(pow(x - m, 3)) / pow(var_pop(x), 1.5), 6) AS skewness, round(avg(pow(x - m, 4)) / pow(var_pop(x), 2) - 3, 6) AS excess_kurtosis
+FROM centred GROUP BY process, k"""
 
 
 def _covariances(function: str) -> str:
-    return f"WITH {_vectors(4)} " + " UNION ALL ".join(f"SELECT process, CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, round({function}(x_{i}, x_{j}), 6) AS covariance FROM vectors GROUP BY process" for i in range(1, 5) for j in range(1, 5))
+    return f"WITH {PAIRED.format(function)} SELECT process, i, j, round(covariance, 6) AS covariance FROM products"
 
 
 def _vector_distances() -> str:
-    d = range(1, 17)
-    stats = ", ".join([f"avg(x_{i}) AS m_{i}" for i in d] + [f"covar_pop(x_{i}, x_{j}) AS c_{i}_{j}" for i in d for j in d])
-    mean = " + ".join(f"pow(x.m_{i} - y.m_{i}, 2)" for i in d)
-    cov = " + ".join(f"pow(x.c_{i}_{j} - y.c_{i}_{j}, 2)" for i in d for j in d)
-    return f"""WITH {_vectors(16)}, s AS (SELECT process, {stats} FROM vectors GROUP BY process),
-pairs(a, b) AS (VALUES ('L0', 'L1'), ('L0', 'L2'), ('L1', 'L2'))
-SELECT a || '_vs_' || b AS comparison, round(sqrt({mean}), 6) AS mean_vector_l2_distance, round(sqrt({cov}), 6) AS covariance_frobenius_distance
-FROM pairs JOIN s x ON x.process = a JOIN s y ON y.process = b"""
+    return f"""WITH {PAIRED.format("covar_pop")}, means AS (SELECT process, k, avg(x) AS m FROM vectors GROUP BY process, k),
+c AS (SELECT x.process AS a, y.process AS b, sqrt(sum(pow(x.covariance - y.covariance, 2))) AS cov FROM products x JOIN products y USING (i, j) WHERE x.process < y.process GROUP BY ALL),
+m AS (SELECT x.process AS a, y.process AS b, sqrt(sum(pow(x.m - y.m, 2))) AS mean FROM means x JOIN means y USING (k) WHERE x.process < y.process GROUP BY ALL)
+SELECT a || '_vs_' || b AS comparison, round(mean, 6) AS mean_vector_l2_distance, round(cov, 6) AS covariance_frobenius_distance FROM m JOIN c USING (a, b)"""
 
 
 def _weighted(configurations) -> str:
@@ -215,7 +207,11 @@ SQL: dict[str, str] = {
     "align_panel": f"WITH {PRICES} SELECT date, " + ", ".join(f'round("{t}", 6) AS "{t}"' for t in "ANR") + " FROM panel",
     "price_profile": f"""WITH {PRICES} SELECT min(date) AS first_date, max(date) AS last_date, count(*) AS n_rows, count(*) FILTER ("A" IS NULL) AS "null_A",
         count(*) FILTER ("N" IS NULL) AS "null_N", count(*) FILTER ("R" IS NULL) AS "null_R" FROM whole""",
-    "repeated_dates": "SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS n_rows FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1 HAVING count(*) > 1",
+    "repeated_dates": "SELECT l_returnflag AS ticker, CAST(l_shipdate AS DATE) AS date, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+    "align_fields": """WITH bars AS (SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS t, arg_min(l_extendedprice, (l_orderkey, l_linenumber)) AS open, max(l_extendedprice) AS high,
+            min(l_extendedprice) AS low, arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS close, avg(l_extendedprice) AS adj_close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)
+        SELECT a.date, """ + ", ".join(f'round({t.lower()}.{f}, 6) AS "{t}_{f}"' for t in "ANR" for f in ("open", "high", "low", "close", "adj_close", "volume")) + """
+        FROM bars a JOIN bars n ON n.date = a.date AND n.t = 'N' JOIN bars r ON r.date = a.date AND r.t = 'R' WHERE a.t = 'A'""",
     "log_returns": f"WITH {RETURNS} SELECT date, {_r(R)} FROM returns",
     "rolling_volatility": f"WITH {RETURNS} SELECT date, " + ", ".join(f"CASE WHEN count(*) OVER w = 20 THEN round(stddev_samp(r_{k}) OVER w * sqrt(252), 6) END AS vol_{k}" for k in (1, 2, 3)) + " FROM returns WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
     "rolling_windows": f"WITH {WINDOWS} SELECT window_idx, end_date, step, {_r(R)} FROM win",
@@ -235,7 +231,7 @@ SQL: dict[str, str] = {
     "expected_signature_sql": f"WITH {EXPECTED} SELECT process, coord, level, n_paths, {_r(('mean', 'std'))} FROM expected",
     "levy_area": f"WITH {WINDOWS} SELECT a.window_idx, a.end_date, " + ", ".join(f"round(sum(a.r_{i} * b.r_{j} - a.r_{j} * b.r_{i}) / 2, 6) + 0.0 AS area_{i}_{j}" for i, j in ((1, 2), (1, 3), (2, 3))) + " FROM win a JOIN win b ON a.window_idx = b.window_idx AND a.step < b.step GROUP BY a.window_idx, a.end_date",
     "standardised_signature": f"WITH {SIGNATURE_Z} SELECT window_idx, end_date, {_r(F39, 5)} FROM z",
-    "signature_feature_table": f"WITH {SIGNATURE_Z} SELECT window_idx, z.end_date, " + ", ".join(f"round(sig.f_{k + 1}, 5) + 0.0 AS signature_raw_{k:03d}, round(z.f_{k + 1}, 5) + 0.0 AS signature_z_{k:03d}" for k in range(3)) + " FROM sig JOIN z USING (window_idx)",
+    "signature_feature_table": f"WITH {SIGNATURE_Z} SELECT window_idx, z.end_date, " + ", ".join(f"round(sig.f_{k + 1}, 5) + 0.0 AS signature_raw_{k:03d}, round(z.f_{k + 1}, 5) + 0.0 AS signature_z_{k:03d}" for k in range(39)) + " FROM sig JOIN z USING (window_idx)",
     "trailing_score": f"WITH {SIGNATURE_SCORE} SELECT window_idx, end_date, round(score, 5) AS score FROM scored",
     "consecutive_distance": f"WITH {SIGNATURE_Z}{_consecutive('z', F39, 'con', 'distance')} SELECT window_idx, end_date, round(distance, 5) AS distance FROM con",
     "covariance_features": f"WITH {WINDOWS}, g AS (SELECT window_idx, end_date, {COV} FROM win GROUP BY window_idx, end_date) SELECT window_idx, end_date, {_r(F39[:6])} FROM g",
@@ -265,7 +261,9 @@ SQL: dict[str, str] = {
         round(sqrt(sum(difference * difference)) / sqrt(pow(2, level)), 5) AS normalized_level_distance,
         round(coalesce(sqrt(sum(pow(difference / base, 2)) FILTER (base > 1e-12) / nullif(count(*) FILTER (base > 1e-12), 0)), 0), 5) AS standardized_level_distance FROM compared GROUP BY comparison, level""",
     "cumulative_depth_distance": f"""WITH {COMPARED} SELECT comparison, CAST(n AS INTEGER) AS level, round(sqrt(sum(difference * difference)), 5) AS l2_distance,
-        CASE WHEN comparison = 'A_vs_B' AND n = 1 THEN 'mean' WHEN comparison = 'A_vs_C' AND n = 2 THEN 'spread' WHEN comparison = 'B_vs_C' AND n = 3 THEN 'shape' ELSE 'all so far' END AS interpretation
+        CASE comparison WHEN 'A_vs_B' THEN CASE WHEN n = 1 THEN 'the difference in mean enters here' ELSE 'the difference in mean is known by level 1; what is added is scale' END
+          WHEN 'A_vs_C' THEN CASE n WHEN 1 THEN 'nothing yet: they differ in spread, from level 2' WHEN 2 THEN 'the difference in spread enters here' ELSE 'the difference in spread is known by level 2; what is added is scale' END
+          ELSE CASE n WHEN 1 THEN 'the difference in mean enters here' WHEN 2 THEN 'the difference in spread enters here' ELSE 'the difference in mean and spread is known by level 2; what is added is scale' END END AS interpretation
         FROM compared JOIN (VALUES (1), (2), (3)) t(n) ON level <= n GROUP BY comparison, n""",
     "movement_clock": f"WITH {WINDOWS}{_weighted([(0.0, 'movement')])} SELECT window_idx, step, round(c0, 6) AS clock, round(c1, 6) AS clock_end FROM weighted",
     "linear_clock": f"WITH {WINDOWS}{_weighted([(0.0, 'linear')])} SELECT window_idx, step, round(c0, 6) AS clock, round(c1, 6) AS clock_end FROM weighted",
@@ -277,3 +275,36 @@ SQL: dict[str, str] = {
     "comparison_correlations": f"WITH {SIGNATURE_SCORE}{_weighted_scores([(0.35, 'movement'), (0.0, 'linear')])}, three AS (SELECT s.score AS signature_trailing_score, x.score AS weighted_trailing_score, y.score AS unweighted_trailing_score FROM scored s JOIN ws x ON x.window_idx = s.window_idx AND x.kind = 'movement' JOIN ws y ON y.window_idx = s.window_idx AND y.kind = 'linear')"
     + _correlations("three", ("weighted_trailing_score", "unweighted_trailing_score", "signature_trailing_score")),
 }
+
+
+def _theory(values: str) -> str:
+    """Closed forms as rows (process, quantity, theory); simulated means must all lie within their errors."""
+    return f"SELECT process, quantity, round(theory, 6) + 0.0 AS theory, true AS within FROM (VALUES {values}) t(process, quantity, theory)"
+
+
+def _normal(process: str, m: str, v: str) -> str:
+    """Raw moments of a normal increment of mean m and variance v."""
+    return f"('{process}', 'increment_power_1', {m}), ('{process}', 'increment_power_2', {m} * {m} + {v}), ('{process}', 'increment_power_3', pow({m}, 3) + 3 * {m} * {v}), ('{process}', 'increment_power_4', pow({m}, 4) + 6 * {m} * {m} * {v} + 3 * {v} * {v})"
+
+
+#: The mean of |Z| mixed by shape 8.
+_SKEW = "(8e0 / sqrt(65e0) * sqrt(2e0 / pi()))"
+#: Expected growth of the price by a jump, and the jumps' mean and variance over a year.
+_JUMP = "(-1e-1 - (exp(-1e-1 + 0.15e0 * 0.15e0 / 2) - 1))"
+SQL |= {
+    "one_dimensional_theory": _theory(", ".join((_normal("A", "0e0", "1e0"), _normal("B", "5e-2", "1e0"), _normal("C", "0e0", "4e0")))),
+    "higher_moments_theory": _theory(
+        _normal("G", "0e0", "1e0") + f", ('S', 'increment_power_1', 0e0), ('S', 'increment_power_2', 1e0), ('S', 'increment_power_3', (4 - pi()) / 2 * pow({_SKEW}, 3) / pow(1 - pow({_SKEW}, 2), 1.5)), "
+        f"('S', 'increment_power_4', 3 + 2 * (pi() - 3) * pow({_SKEW}, 4) / pow(1 - pow({_SKEW}, 2), 2)), ('T', 'increment_power_1', 0e0), ('T', 'increment_power_2', 1e0)"
+    ),
+    "high_dimensional_theory": """WITH p(process, drift, own, first, second, other) AS (VALUES ('A', 0e0, 1e0, 0e0, 0e0, 0e0), ('B', 5e-2, 1e0, 0e0, 0e0, 0e0), ('C', 0e0, 1e0, 5e-1, 3e-1, 0e0), ('D', 0e0, 1e0 + 0.3e0 * 0.3e0, 0.3e0 * 0.3e0, 0.3e0 * 0.3e0, 0.3e0 * 0.3e0))
+SELECT process, quantity, round(theory, 6) + 0.0 AS theory, true AS within FROM (
+  SELECT process, 'mean_1' AS quantity, drift AS theory FROM p UNION ALL SELECT process, 'mean_20', 0e0 FROM p
+  UNION ALL SELECT process, 'product_1_1', own + drift * drift FROM p UNION ALL SELECT process, 'product_1_2', first + drift * drift FROM p
+  UNION ALL SELECT process, 'product_6_7', second FROM p UNION ALL SELECT process, 'product_5_6', other FROM p UNION ALL SELECT process, 'product_11_12', other FROM p)""",
+    "advanced_theory": _theory(
+        "('BS', 'terminal_mean', -2e-2), ('BS', 'terminal_square', 4e-2 + 4e-4), ('BS', 'price_mean', 1e0), ('BS', 'square_after_2', 4e-2 / 50 + pow(4e-2 / 100, 2)), ('HEST', 'terminal_mean', -2e-2), ('HEST', 'price_mean', 1e0), "
+        f"('MERT', 'terminal_mean', -2e-2 + {_JUMP}), ('MERT', 'terminal_square', 4e-2 + 1e-2 + 0.15e0 * 0.15e0 + pow(-2e-2 + {_JUMP}, 2)), ('MERT', 'price_mean', 1e0), ('BATES', 'terminal_mean', -2e-2 + {_JUMP}), ('BATES', 'price_mean', 1e0), "
+        "('FBM', 'terminal_mean', 0e0), ('FBM', 'terminal_square', 4e-2), ('FBM', 'square_after_2', 4e-2 * pow(2e-2, 1.4e0))"
+    ),
+}

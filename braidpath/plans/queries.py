@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 from braidpath.functions.vectors import format_bytes, level_slices, signature_length, truncate
 from braidpath.operators import distance, features, moments, panel, scoring, signature, simulate, weighted
-from braidpath.plans import experiments, market
+from braidpath.plans import experiments, market, theory
 from braidpath.plans.market import METRICS, PERIODS, TRAILING
-from braidpath.sources.tables import TICKERS, event_series, labelled_vectors, order_prices
+from braidpath.sources.tables import TICKERS, daily_bars, event_series, labelled_vectors, order_prices
 
 Query = Callable[[SparkSession, str], DataFrame]
 D = len(TICKERS)
 #: Values of events are taken in this unit, so that high levels stay of a size that survives rounding, and few land half-way.
 EVENT_UNIT = 97.3
-VECTOR_PAIRS = (("L0", "L1"), ("L0", "L2"), ("L1", "L2"))
+VECTOR_DIMENSIONS = 64
+VECTOR_COLUMNS = [f"x_{k}" for k in range(1, VECTOR_DIMENSIONS + 1)]
+VECTOR_PAIRS = tuple((f"L{a}", f"L{b}") for a in range(10) for b in range(a + 1, 10))
 EVENT_PAIRS = (("A", "B"), ("A", "C"), ("B", "C"))
 
 
@@ -62,11 +64,17 @@ def price_profile(spark, sf):
 
 
 def repeated_dates(spark, sf):
-    return panel.repeated_dates(_prices(spark, sf).filter("ticker = 'A'")).drop("series")
+    """Of each ticker the dates with several trades."""
+    return panel.repeated_dates(_prices(spark, sf).withColumn("series", F.col("ticker"))).withColumnRenamed("series", "ticker")
+
+
+def align_fields(spark, sf):
+    """Prices and volumes of all tickers side by side."""
+    return rounded(panel.align_fields(daily_bars(spark, sf), TICKERS).drop("series"))
 
 
 def log_returns(spark, sf):
-    return rounded(_returns(spark, sf).drop("series"))
+    return rounded(_returns(spark, sf).drop("series", "idx"))
 
 
 def rolling_volatility(spark, sf):
@@ -142,7 +150,7 @@ def standardised_signature(spark, sf):
 
 def signature_feature_table(spark, sf):
     own, z = _signature_z(spark, sf)
-    return rounded(features.feature_table(own, z, market.columns_of(own)[:D], "signature").drop("series"), 5)
+    return rounded(features.feature_table(own, z, market.columns_of(own), "signature").drop("series"), 5)
 
 
 def trailing_score(spark, sf):
@@ -199,15 +207,15 @@ def zscored_series(spark, sf):
 
 
 def sample_moments(spark, sf):
-    return rounded(moments.sample_moments(labelled_vectors(spark, sf), ["x_1", "x_2", "x_3", "x_4"]))
+    return rounded(moments.sample_moments(labelled_vectors(spark, sf, VECTOR_DIMENSIONS), VECTOR_COLUMNS))
 
 
 def sample_covariances(spark, sf):
-    return rounded(moments.covariances(labelled_vectors(spark, sf), ["x_1", "x_2", "x_3", "x_4"], sample=True))
+    return rounded(moments.covariances(labelled_vectors(spark, sf, VECTOR_DIMENSIONS), VECTOR_COLUMNS, sample=True))
 
 
 def mean_covariance(spark, sf):
-    return rounded(moments.covariances(labelled_vectors(spark, sf), ["x_1", "x_2", "x_3", "x_4"]))
+    return rounded(moments.covariances(labelled_vectors(spark, sf, VECTOR_DIMENSIONS), VECTOR_COLUMNS))
 
 
 def _event_summary(spark, sf):
@@ -226,10 +234,9 @@ def statistical_distances(spark, sf):
 
 
 def vector_distances(spark, sf):
-    """Means and covariances of the first 16 dimensions of labelled vectors, endpoints being the vectors themselves."""
-    columns = [f"x_{k}" for k in range(1, 17)]
-    rows = labelled_vectors(spark, sf, 16).withColumn("series", F.col("id")).withColumn("step", F.lit(0))
-    summary = moments.process_summary(rows, rows, columns)
+    """Means and covariances of labelled vectors, all pairs of labels, endpoints being the vectors themselves."""
+    rows = labelled_vectors(spark, sf, VECTOR_DIMENSIONS).withColumn("series", F.col("id")).withColumn("step", F.lit(0))
+    summary = moments.process_summary(rows, rows, VECTOR_COLUMNS)
     return rounded(distance.statistical_distances(summary, VECTOR_PAIRS).select("comparison", "mean_vector_l2_distance", "covariance_frobenius_distance"))
 
 
@@ -247,8 +254,7 @@ def levelwise_distances(spark, sf):
 
 def cumulative_depth_distance(spark, sf):
     out = distance.cumulative_distances(distance.levelwise_distances(_event_expected(spark, sf), EVENT_PAIRS, 2, 3))
-    says = {("A_vs_B", 1): "mean", ("A_vs_C", 2): "spread", ("B_vs_C", 3): "shape"}
-    return rounded(out.withColumn("interpretation", distance.explained(F.col("comparison"), F.col("level"), says, "all so far")), 5)
+    return rounded(out.withColumn("interpretation", distance.interpretation(F.col("comparison"), F.col("level"), {"A_vs_B": (1,), "A_vs_C": (2,), "B_vs_C": (1, 2)})), 5)
 
 
 def movement_clock(spark, sf, kind="movement"):
@@ -300,7 +306,7 @@ def simulated_paths(spark, sf):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    align_panel, price_profile, repeated_dates, log_returns, rolling_volatility, rolling_windows, cumulative_paths,
+    align_panel, align_fields, price_profile, repeated_dates, log_returns, rolling_volatility, rolling_windows, cumulative_paths,
     window_signature, window_signature_sql, signature_forms_agree, signature_prefix, level_layout, time_augmented_signature,
     expected_signature, expected_signature_sql, levy_area, standardised_signature, signature_feature_table, trailing_score, consecutive_distance,
     covariance_features, volatility_features, flat_returns, score_table, threshold_q95, episodes, stress_periods, top_dates,
@@ -314,8 +320,13 @@ QUERIES["linear_clock"] = partial(movement_clock, kind="linear")
 for _name, _make in (
     ("one_dimensional", experiments.one_dimensional),
     ("higher_moments", experiments.higher_moments),
-    ("high_dimensional", partial(experiments.high_dimensional, n_paths=1_000)),
-    ("advanced", partial(experiments.advanced, n_paths=1_000)),
+    ("high_dimensional", experiments.high_dimensional),
+    ("advanced", experiments.advanced),
 ):
     for _table in ("configuration", "moments", "summary", "statistical", "signature", "levelwise", "cumulative"):
         QUERIES[f"{_name}_{_table}"] = partial(_rounded_experiment, _make, _table)
+for _name, _make in theory.CHECKS.items():
+    QUERIES[f"{_name}_theory"] = partial(lambda make, spark, sf: rounded(make(spark)), _make)
+# the fastest of the presets that need deep signatures; 1,000 paths a process, as 10,000 take minutes here
+QUERIES["high_dimensional_d10_depth5_levelwise"] = partial(_rounded_experiment, partial(experiments.high_dimensional, preset="d10_depth5", n_paths=1_000), "levelwise")
+QUERIES["high_dimensional_time_levelwise"] = partial(_rounded_experiment, partial(experiments.high_dimensional, time_augmented=True, n_paths=2_000), "levelwise")

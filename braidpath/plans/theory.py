@@ -1,0 +1,91 @@
+"""Simulated processes held against closed forms: means over paths, each within some standard errors of what theory says."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidpath.operators import simulate
+from braidpath.operators.simulate import Process
+
+#: Standard errors of the mean that a quantity may be away from its closed form.
+ERRORS = 5.0
+
+Theory = Mapping[tuple[str, str], float]
+
+
+def against(spark: SparkSession, processes: Sequence[Process], quantities: Mapping[str, Column], theory: Theory, n_paths: int, steps: int, dt: float = 1.0, seed: int = 42) -> DataFrame:
+    """(process, quantity, theory, within): a quantity is an aggregate over the rows of a path, its mean over paths is tested."""
+    rows = simulate.simulate(spark, processes, n_paths, steps, dt, seed)
+    paths = rows.groupBy("process", "series").agg(*[q.alias(name) for name, q in quantities.items()])
+    means = paths.unpivot(["process", "series"], list(quantities), "quantity", "value").groupBy("process", "quantity").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"), F.count("*").alias("n"))
+    want = spark.createDataFrame([(p, q, float(v)) for (p, q), v in theory.items()], "process string, quantity string, theory double")
+    within = F.abs(F.col("mean") - F.col("theory")) <= ERRORS * F.col("deviation") / F.sqrt("n") + 1e-12
+    return means.join(want, ["process", "quantity"]).select("process", "quantity", "theory", within.alias("within"))
+
+
+def powers() -> dict[str, Column]:
+    return {f"increment_power_{k}": F.avg(F.pow("dx_1", F.lit(k))) for k in (1, 2, 3, 4)}
+
+
+def normal_powers(mean: float, deviation: float) -> list[float]:
+    v = deviation**2
+    return [mean, mean**2 + v, mean**3 + 3 * mean * v, mean**4 + 6 * mean**2 * v + 3 * v**2]
+
+
+def skew_normal_powers(alpha: float) -> list[float]:
+    """Of the form with mean 0 and variance 1."""
+    m = alpha / math.sqrt(1 + alpha**2) * math.sqrt(2 / math.pi)
+    return [0.0, 1.0, (4 - math.pi) / 2 * m**3 / (1 - m**2) ** 1.5, 3 + 2 * (math.pi - 3) * m**4 / (1 - m**2) ** 2]
+
+
+def _powers(own: Mapping[str, Sequence[float]]) -> Theory:
+    return {(p, f"increment_power_{k}"): v for p, values in own.items() for k, v in enumerate(values, 1)}
+
+
+def one_dimensional(spark: SparkSession, n_paths: int = 1_000, steps: int = 20) -> DataFrame:
+    theory = _powers({"A": normal_powers(0.0, 1.0), "B": normal_powers(0.05, 1.0), "C": normal_powers(0.0, 2.0)})
+    return against(spark, simulate.one_dimensional(), powers(), theory, n_paths, steps)
+
+
+def higher_moments(spark: SparkSession, n_paths: int = 4_000, steps: int = 20, alpha: float = 8.0) -> DataFrame:
+    # of the heavy-tailed process only the mean and variance have an estimate with a finite error
+    theory = _powers({"G": normal_powers(0.0, 1.0), "S": skew_normal_powers(alpha), "T": [0.0, 1.0]})
+    return against(spark, simulate.higher_moments(alpha), powers(), theory, n_paths, steps)
+
+
+#: Pairs of channels: one itself, within the first block, within the second, between them, outside both.
+HIGH_PAIRS = ((1, 1), (1, 2), (6, 7), (5, 6), (11, 12))
+
+
+def high_dimensional(spark: SparkSession, n_paths: int = 2_000, steps: int = 50, channels: int = 20) -> DataFrame:
+    quantities = {f"product_{i}_{j}": F.avg(F.col(f"dx_{i}") * F.col(f"dx_{j}")) for i, j in HIGH_PAIRS} | {"mean_1": F.avg("dx_1"), f"mean_{channels}": F.avg(f"dx_{channels}")}
+    theory: dict[tuple[str, str], float] = {}
+    for p, drift, cov in (("A", 0.0, (1, 0, 0, 0, 0)), ("B", 0.05, (1, 0, 0, 0, 0)), ("C", 0.0, (1, 0.5, 0.3, 0, 0)), ("D", 0.0, (1.09, 0.09, 0.09, 0.09, 0.09))):
+        mean = lambda k: drift if k <= channels // 4 else 0.0  # noqa: E731, B023
+        theory |= {(p, f"product_{i}_{j}"): c + mean(i) * mean(j) for (i, j), c in zip(HIGH_PAIRS, cov)}
+        theory |= {(p, "mean_1"): mean(1), (p, f"mean_{channels}"): mean(channels)}
+    return against(spark, simulate.high_dimensional(channels), quantities, theory, n_paths, steps)
+
+
+def advanced(spark: SparkSession, n_paths: int = 5_000, steps: int = 100, sigma: float = 0.2) -> DataFrame:
+    """Log returns over one year: means, second moments, that prices have no drift, and how fractional noise grows."""
+    end = F.max_by("x_1", "step")
+    quantities = {"terminal_mean": end, "terminal_square": end * end, "price_mean": F.exp(end), "square_after_2": F.max(F.when(F.col("step") == 1, F.pow("x_1", F.lit(2))))}
+    v, rate, m, s, hurst = sigma**2, 1.0, -0.10, 0.15, 0.7
+    drop = rate * (math.exp(m + s**2 / 2) - 1)
+    jump_mean, jump_variance = rate * m - drop, rate * (m**2 + s**2)
+    theory = {
+        ("BS", "terminal_mean"): -v / 2, ("BS", "terminal_square"): v + v**2 / 4, ("BS", "price_mean"): 1.0, ("BS", "square_after_2"): v * 2 / steps + (v / steps) ** 2,
+        ("HEST", "terminal_mean"): -v / 2, ("HEST", "price_mean"): 1.0,
+        ("MERT", "terminal_mean"): -v / 2 + jump_mean, ("MERT", "terminal_square"): v + jump_variance + (jump_mean - v / 2) ** 2, ("MERT", "price_mean"): 1.0,
+        ("BATES", "terminal_mean"): -v / 2 + jump_mean, ("BATES", "price_mean"): 1.0,
+        ("FBM", "terminal_mean"): 0.0, ("FBM", "terminal_square"): v, ("FBM", "square_after_2"): v * (2 / steps) ** (2 * hurst),
+    }
+    return against(spark, simulate.advanced(sigma), quantities, theory, n_paths, steps, 1.0 / steps)
+
+
+CHECKS: dict[str, Callable[[SparkSession], DataFrame]] = {"one_dimensional": one_dimensional, "higher_moments": higher_moments, "high_dimensional": high_dimensional, "advanced": advanced}

@@ -33,6 +33,14 @@ def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.lit("market").alias("series"), F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("ticker"), F.col("l_extendedprice").alias("price"))
 
 
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, date, ticker, open .. volume): a day's bar of each ticker; its first and last trades are those of least and greatest order."""
+    lines = table(spark, sf_dir, "lineitem")
+    price, place = F.col("l_extendedprice"), F.struct("l_orderkey", "l_linenumber")
+    by = lines.groupBy(F.lit("market").alias("series"), F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("ticker"))
+    return by.agg(F.min_by(price, place).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, place).alias("close"), F.avg(price).alias("adj_close"), F.sum("l_quantity").alias("volume"))
+
+
 def event_series(spark: SparkSession, sf_dir: str, processes: int = 3) -> DataFrame:
     """(process, series, step, x): the values of each user in order of time, users being dealt to processes."""
     from pyspark.sql.window import Window
@@ -49,8 +57,8 @@ def labelled_vectors(spark: SparkSession, sf_dir: str, channels: int = 4) -> Dat
     return vectors.select(F.concat(F.lit("L"), F.col("label").cast("string")).alias("process"), F.col("vec_id").alias("id"), *[F.col("embedding")[k].cast("double").alias(f"x_{k + 1}") for k in range(channels)])
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
-    """A result table with a header; one file if it is small enough to be read by people."""
+def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
+    """A result table with a header; ``single`` for one file, where the table is small enough to be read by people."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 

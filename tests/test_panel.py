@@ -1,9 +1,12 @@
+import datetime
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 
 from braidpath.operators import panel
+from braidpath.plans import market
 
 DAY = dt.date(2020, 1, 1)
 
@@ -73,3 +76,58 @@ def test_increments_keep_or_drop_the_first(spark):
     df = spark.createDataFrame([("a", 0, 5.0), ("a", 1, 7.0)], "series string, step int, x double")
     assert [r["x"] for r in panel.increments(df, ["x"]).orderBy("step").collect()] == [5.0, 2.0]
     assert [r["x"] for r in panel.increments(df, ["x"], keep_first=False).collect()] == [2.0]
+
+
+def test_blocks_and_chunks_give_what_one_ordering_gives(spark, monkeypatch):
+    """A series of many chunks and blocks: numbering, returns, volatility and windows against numpy."""
+    monkeypatch.setattr(panel, "CHUNK_DAYS", 100)
+    rng = np.random.default_rng(4)
+    n = 2_600
+    days = np.cumsum(rng.integers(1, 4, n))
+    price = np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+    start = datetime.date(1969, 1, 1)  # some before the epoch
+    rows = [("s", start + datetime.timedelta(int(d)), float(p)) for d, p in zip(days, price)] + [("t", start, 1.0)]
+    df = spark.createDataFrame(rows, "series string, date date, A double").repartition(5)
+    returns = panel.log_returns(df, ["A"])
+    got = sorted((r["idx"], r["date"], r["r_1"]) for r in returns.collect())
+    want = np.log(price[1:] / price[:-1])
+    assert [i for i, _, _ in got] == list(range(n - 1)) and [d for _, d, _ in got] == [r[1] for r in rows[1:n]]
+    np.testing.assert_allclose([x for _, _, x in got], want)
+    vol = sorted((r["date"], r["vol_1"]) for r in panel.rolling_volatility(returns, 1).collect())
+    assert [v for _, v in vol[:19]] == [None] * 19
+    np.testing.assert_allclose([v for _, v in vol[19:]], [want[k - 19 : k + 1].std(ddof=1) * 252**0.5 for k in range(19, n - 1)])
+    packed = sorted((r["window_idx"], [s[0] for s in r["steps"]]) for r in panel.packed_windows(returns, 1).collect())
+    assert len(packed) == n - 20
+    np.testing.assert_allclose([s for _, s in packed], [want[k : k + 20] for k in range(n - 20)])
+    counts = panel.windows(returns, 1).groupBy("window_idx").count().collect()
+    assert len(counts) == n - 20 and {r["count"] for r in counts} == {20}
+    assert panel.check_windows(panel.packed_windows(returns, 1), 1).count() == n - 20
+    with pytest.raises(ValueError):
+        panel.check_windows(panel.packed_windows(returns, 1), 2)
+    with pytest.raises(ValueError):
+        panel.check_windows(panel.packed_windows(returns, 1), 1, least=n)
+
+
+def test_prices_that_are_no_prices(spark):
+    day = datetime.date
+    for bad in (0.0, -1.0):
+        df = spark.createDataFrame([("s", day(2020, 1, 1), 1.0), ("s", day(2020, 1, 2), bad), ("s", day(2020, 1, 3), 2.0)], "series string, date date, A double")
+        with pytest.raises(Exception, match="isn't positive"):
+            panel.log_returns(df, ["A"]).collect()
+    with pytest.raises(ValueError):
+        market.returns_of_panel(spark.createDataFrame([("s", day(2020, 1, 1), 1.0)] * 2, "series string, date date, A double"), ["A"])
+    prices = spark.createDataFrame([("s", day(2020, 1, 1), "A", 1.0)], "series string, date date, ticker string, price double")
+    with pytest.raises(ValueError):
+        market.returns_of(prices, ["A", "B"], check=True)
+
+
+def test_fields_side_by_side(spark):
+    day = datetime.date
+    bars = [("s", day(2020, 1, d), t, 10.0 * d, None if t == "B" else 5.0) for d in (1, 2) for t in "AB"] + [("s", day(2020, 1, 3), "A", 1.0, 2.0)]
+    df = spark.createDataFrame(bars, "series string, date date, ticker string, close double, volume double")
+    got = panel.align_fields(df, ["A", "B"], ["close", "volume"])
+    assert got.columns == ["series", "date", "A_close", "A_volume", "B_close", "B_volume"]
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [(10.0, 5.0, 10.0, None), (20.0, 5.0, 20.0, None)]
+    assert panel.align_fields(df, ["A", "B"], ["close"]).columns == ["series", "date", "A_close", "B_close"]
+    with pytest.raises(ValueError):
+        panel.align_fields(df, ["A"], ["open"])

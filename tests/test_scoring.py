@@ -1,5 +1,7 @@
+import datetime
 import datetime as dt
 
+import numpy as np
 import pytest
 
 from braidpath.operators import scoring, weighted
@@ -84,3 +86,34 @@ def test_clocks_and_weights(spark):
     one = weighted.path_statistics(weighted.weighted_increments(weighted.clocked(windows(spark, [(3, 4)]), 2, "linear"), 2, 0.0), 3).first()
     assert one["mean_length_change"] == 0.0
     assert weighted.feature_count(3) == 19
+
+
+def test_scores_over_many_blocks(spark):
+    """Means and lags over 3,000 windows of two series against numpy, and episodes across the border of a block."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3_000, 2)) * [1.0, 50.0]
+    rows = [("s", k, float(a), float(b)) for k, (a, b) in enumerate(x)] + [("t", k, 1.0, 2.0) for k in range(70)]
+    df = spark.createDataFrame(rows, "series string, window_idx bigint, f_1 double, f_2 double").selectExpr("*", "date_add(date'2000-01-01', cast(window_idx as int)) as end_date").repartition(6)
+    z = scoring.standardise(df, ["f_1", "f_2"])
+    got = scoring.trailing_scores(z, {"score": ["f_1", "f_2"]}, 60, {"step": ["f_1"]}).collect()
+    own = sorted((r["window_idx"], r["score"], r["step"]) for r in got if r["series"] == "s")
+    want = (x - x.mean(axis=0)) / x.std(axis=0)
+    assert len(own) == 3_000 and all(s is None for _, s, _ in own[:60]) and own[0][2] is None
+    np.testing.assert_allclose([s for _, s, _ in own[60:]], [np.linalg.norm(want[k] - want[k - 60 : k].mean(axis=0)) for k in range(60, 3_000)], rtol=1e-9)
+    np.testing.assert_allclose([d for _, _, d in own[1:]], np.abs(np.diff(want[:, 0])), rtol=1e-9, atol=1e-12)
+    assert {r["score"] for r in got if r["series"] == "t"} == {None, 0.0}
+    high = [(("s", k, 5.0 if 1_020 <= k < 1_030 or k == 2_048 or 2_999 <= k else k / 1e6)) for k in range(3_000)]
+    scores = spark.createDataFrame(high, "series string, window_idx bigint, score double").selectExpr("*", "date_add(date'2000-01-01', cast(window_idx as int)) as end_date")
+    found = [(r["duration_windows"], (r["episode_start"] - datetime.date(2000, 1, 1)).days, (r["peak_date"] - datetime.date(2000, 1, 1)).days) for r in scoring.episodes(scores, "score", 0.999).collect()]
+    assert found == [(10, 1_020, 1_020), (1, 2_048, 2_048), (1, 2_999, 2_999)]
+
+
+def test_a_series_is_not_gathered(spark):
+    """Rows of one series go to tasks by block: no exchange of the features by series alone."""
+    df = spark.range(5_000).selectExpr("'one' || cast(id % 1 as string) as series", "id as window_idx", "date_add(date'2000-01-01', cast(id as int)) as end_date", "cast(id as double) as f_1")
+    out = scoring.trailing_scores(scoring.standardise(df, ["f_1"]), {"score": ["f_1"]})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    single = [line for line in plan.split("\n") if "Exchange hashpartitioning(series" in line and "__home" not in line and "__block" not in line]
+    # only the aggregates, one row a series and task
+    at = plan.split("\n")
+    assert all("partial_" in at[at.index(line) + 1] for line in single)
