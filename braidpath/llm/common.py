@@ -94,7 +94,8 @@ def one_row_each(rows: DataFrame, key: Column, stay: DataFrame, n_rows: str, hot
     """
     total = stay.agg(F.sum(n_rows)).first()[0] or 0
     is_hot, name = F.col(n_rows) > max(1, total // hot_share), fresh("__row", rows)
-    keyed, keys = rows.withColumn(name, key), stay.withColumnRenamed("key", name)
+    # of one type on both sides, so that what deals out the join also serves the reduction after it
+    keyed, keys = rows.withColumn(name, key.cast(stay.schema["key"].dataType)), stay.withColumnRenamed("key", name)
     parts = [keyed.join(side, name, "left_semi").dropDuplicates([name]) for side in (keys.filter(~is_hot), F.broadcast(keys.filter(is_hot)))]
     return parts[0].unionByName(parts[1]).select(rows.columns)
 

@@ -83,6 +83,26 @@ def test_links_across_tasks(spark, monkeypatch, budget, heavy):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+@pytest.mark.parametrize("hot", [1, 100_000])
+def test_components_of_random_graphs(spark, monkeypatch, hot):
+    """A giant star, a clique and sparse random edges, with hubs met by broadcast and without."""
+    monkeypatch.setattr(graph, "HOT_ROWS", hot)
+    rnd = random.Random(hot)
+    edges = [(5_000, 6_000 + k) for k in range(1_500)] + [(a, b) for a in range(7_900, 7_915) for b in range(7_900, a)] + [(rnd.randrange(400), rnd.randrange(400)) for _ in range(220)]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {a: find(a) for a in root if find(a) != a}
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 70), (70, 90), (5, 5)]
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
