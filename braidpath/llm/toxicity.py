@@ -25,6 +25,7 @@ What is defined for odd input:
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -95,17 +96,42 @@ class OrdinalModel:
 
 
 class Sparse:
-    """Rows of (column, value), column-compressed as well, for products from both sides."""
+    """Rows of (column, value), kept by row and by column, for products from both sides; ``values`` None stands for ones."""
 
-    def __init__(self, sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int) -> None:
-        self.rows, self.cols, self.values = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), cols, values
+    def __init__(self, sizes: np.ndarray, cols: np.ndarray, values: np.ndarray | None, n_cols: int) -> None:
         self.n_rows, self.n_cols = len(sizes), n_cols
+        self.by_row = self._side(np.asarray(sizes), cols, values)
+        order = np.argsort(cols, kind="stable")
+        rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.by_col = self._side(np.bincount(cols, minlength=n_cols), rows, None if values is None else values[order])
+
+    @staticmethod
+    def _side(sizes: np.ndarray, others: np.ndarray, values: np.ndarray | None) -> tuple:
+        used = np.flatnonzero(sizes)
+        return used, (np.cumsum(sizes) - sizes)[used], others, values
+
+    @staticmethod
+    def _sums(side: tuple, each: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        if len(side[0]):
+            out[side[0]] = np.add.reduceat(each, side[1])
+        return out
+
+    def _product(self, side: tuple, x: np.ndarray, n: int) -> np.ndarray:
+        each = x[side[2]]
+        if side[3] is not None:
+            each *= side[3]
+        return self._sums(side, each, n)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, w[self.cols] * self.values, self.n_rows)
+        return self._product(self.by_row, w, self.n_rows)
 
     def transposed(self, s: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, s[self.rows] * self.values, self.n_cols)
+        return self._product(self.by_col, s, self.n_cols)
+
+    def holding(self, s: np.ndarray) -> np.ndarray:
+        """Of each column the sum of s over the rows that have it, whatever the values."""
+        return self._sums(self.by_col, s[self.by_col[2]], self.n_cols)
 
 
 def likelihood(s: np.ndarray, theta: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -120,11 +146,11 @@ def likelihood(s: np.ndarray, theta: np.ndarray, grades: np.ndarray) -> tuple[fl
     return float(-np.log(p).mean()), (upper - lower) / n, dtheta
 
 
-def fit_ordinal(texts: Sparse, spread: Sparse, grades: np.ndarray, n_grades: int, l2: float = L2, steps: int = 200, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(texts: Sparse, spread: Sparse, scale: np.ndarray, grades: np.ndarray, n_grades: int, l2: float = L2, steps: int = 200, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model, by full-batch Adam.
 
-    ``texts`` has the words of each text, ``spread`` the features of each word. Thresholds are a first value and
-    positive gaps, so they stay ascending.
+    ``texts`` has the words of each text, ``spread`` the features of each word, and ``scale`` what each feature is
+    multiplied by. Thresholds are a first value and positive gaps, so they stay ascending.
     """
     k, n_cols = n_grades - 1, spread.n_cols
     share = np.array([np.clip((grades >= j).mean(), 1e-3, 1 - 1e-3) for j in range(1, n_grades)])
@@ -134,9 +160,9 @@ def fit_ordinal(texts: Sparse, spread: Sparse, grades: np.ndarray, n_grades: int
     for step in range(1, steps + 1):
         w, gaps = params[:n_cols], np.exp(params[n_cols + 1 :])
         theta = params[n_cols] + np.concatenate([[0.0], np.cumsum(gaps)])
-        _, ds, dtheta = likelihood(texts.times(spread.times(w)), theta, grades)
+        _, ds, dtheta = likelihood(texts.times(spread.times(scale * w)), theta, grades)
         tail = np.cumsum(dtheta[::-1])[::-1]
-        grad = np.concatenate([spread.transposed(texts.transposed(ds)) + l2 * w, tail[:1], tail[1:] * gaps])
+        grad = np.concatenate([scale * spread.transposed(texts.transposed(ds)) + l2 * w, tail[:1], tail[1:] * gaps])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         slower = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         params = params - slower * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -153,24 +179,24 @@ def _counted(sample: DataFrame) -> pa.Table:
 
     id_type = sample.schema["doc_id"].dataType.simpleString()
     found = map_arrow(sample.select("doc_id", "text", "label"), run, f"doc_id {id_type}, label int, names array<string>, counts array<int>").toArrow()
-    size = pc.list_value_length(found["names"])
-    return found.take(pc.sort_indices(found.append_column("size", size), [("doc_id", "ascending"), ("label", "ascending"), ("size", "ascending")]))
+    order = pc.sort_indices(found.select(["doc_id", "label"]).append_column("size", pc.list_value_length(found["names"])), [("doc_id", "ascending"), ("label", "ascending"), ("size", "ascending")])
+    return found.take(order)
 
 
 def derived_grades(texts: Sparse, toxic: np.ndarray, n_grades: int) -> np.ndarray:
     """0 for clean rows, 1 and up for toxic ones by how often marked words come in them; rows hold log(1 + count)."""
     n_toxic = toxic.sum()
-    by = [np.bincount(texts.cols[keep], minlength=texts.n_cols) for keep in (toxic[texts.rows], ~toxic[texts.rows])]
+    by = [texts.holding(kind.astype(float)) for kind in (toxic, ~toxic)]
     odds = np.log((by[0] + 0.5) / (n_toxic - by[0] + 0.5)) - np.log((by[1] + 0.5) / (len(toxic) - n_toxic - by[1] + 0.5))
     marked = (odds > MARKED_ODDS) & (odds / np.sqrt(1 / (by[0] + 0.5) + 1 / (by[1] + 0.5)) > MARKED_Z)
-    hits = np.round(np.bincount(texts.rows, np.expm1(texts.values) * marked[texts.cols], texts.n_rows))
+    hits = np.round(texts._sums(texts.by_row, np.expm1(texts.by_row[3]) * marked[texts.by_row[2]], texts.n_rows))
     cuts = np.unique(np.quantile(hits[toxic], np.linspace(0, 1, n_grades)[1:-1]))
     return np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0)
 
 
 def evidence(texts: Sparse, spread: Sparse, toxic: np.ndarray) -> np.ndarray:
     """The scale of each feature: its shrunk log-odds by documents that a word with it is in, in standard errors."""
-    by = [spread.transposed(np.bincount(texts.cols[keep], minlength=texts.n_cols)) for keep in (toxic[texts.rows], ~toxic[texts.rows])]
+    by = [spread.transposed(texts.holding(kind.astype(float))) for kind in (toxic, ~toxic)]
     odds = np.log((by[0] + 0.5) / (toxic.sum() + 1)) - np.log((by[1] + 0.5) / ((~toxic).sum() + 1))
     z = odds / np.sqrt(1 / (by[0] + 0.5) + 1 / (by[1] + 0.5))
     return np.sign(z) * np.maximum(np.abs(z) - SHRINK, 0) / 5
@@ -182,15 +208,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     toxic = found["label"].to_numpy() > 0
     if not toxic.any() or toxic.all():
         return OrdinalModel(np.zeros(0), tuple([50.0] * (n_grades - 1)))
+    sizes, counts = pc.list_value_length(found["names"]).to_numpy(), pc.list_flatten(found["counts"]).to_numpy()
     coded = pc.list_flatten(found["names"]).combine_chunks().dictionary_encode()
-    own = [features(w) for w in coded.dictionary.to_pylist()]
-    spread = Sparse(np.array(list(map(len, own))), np.fromiter((f for fs in own for f in fs), np.int32), np.ones(sum(map(len, own))), 1 << FEATURE_BITS)
-    counts = pc.list_flatten(found["counts"]).to_numpy()
-    texts = Sparse(pc.list_value_length(found["names"]).to_numpy(), coded.indices.to_numpy(), np.log1p(counts.astype(np.float64)), len(own))
-    grades = derived_grades(texts, toxic, n_grades)
-    scale = evidence(texts, spread, toxic)
-    spread.values = scale[spread.cols]
-    weights, theta = fit_ordinal(texts, spread, grades, int(grades.max()) + 1)
+    del found
+    n_features, places = array("i"), array("i")
+    for word in coded.dictionary:
+        own = features(word.as_py())
+        n_features.append(len(own))
+        places.extend(own)
+    spread = Sparse(np.frombuffer(n_features, np.int32), np.frombuffer(places, np.int32), None, 1 << FEATURE_BITS)
+    texts = Sparse(sizes, coded.indices.to_numpy(), np.log1p(counts.astype(np.float32)), len(n_features))
+    del coded, counts
+    grades, scale = derived_grades(texts, toxic, n_grades), evidence(texts, spread, toxic)
+    weights, theta = fit_ordinal(texts, spread, scale, grades, int(grades.max()) + 1)
     return OrdinalModel(weights * scale, tuple(map(float, theta)))
 
 

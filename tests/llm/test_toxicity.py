@@ -13,7 +13,7 @@ def test_thresholds_ascend_and_severity_follows_the_grade():
     values = np.stack([grades + rng.normal(0, 0.4, 800), rng.normal(size=800)], 1).ravel()
     texts = toxicity.Sparse(np.full(800, 2), cols, values, 2)
     each = toxicity.Sparse(np.ones(2, int), np.arange(2), np.ones(2), 2)
-    w, theta = toxicity.fit_ordinal(texts, each, grades, 4, steps=1500)
+    w, theta = toxicity.fit_ordinal(texts, each, np.ones(2), grades, 4, steps=1500)
     assert (np.diff(theta) > 0).all() and w[0] > 10 * abs(w[1])
     # brute force: no step in any direction is better
     loss = lambda w_, t_: toxicity.likelihood(texts.times(w_), t_, grades)[0] + toxicity.L2 * (w_ @ w_) / 2
@@ -95,3 +95,19 @@ def test_rare_forms_are_known_by_their_parts(spark):
     model = toxicity.fit(docs, labels)
     new = spark.createDataFrame([(1, f"words of the day and {form(901)} else"), (2, "words of the day and else")], docs.schema)
     assert {r["doc_id"]: r["toxic"] for r in toxicity.score(new, model).collect()} == {1: True, 2: False}
+
+
+def test_sparse_products():
+    rng = np.random.default_rng(6)
+    sizes = np.array([3, 0, 2, 0, 4, 0])
+    cols, values = rng.integers(0, 7, 9).astype(np.int32), rng.normal(size=9)
+    dense, ones = np.zeros((6, 9)), np.zeros((6, 9))
+    for r, c, v in zip(np.repeat(np.arange(6), sizes), cols, values):
+        dense[r, c] += v
+        ones[r, c] += 1
+    m, w, t = toxicity.Sparse(sizes, cols, values, 9), rng.normal(size=9), rng.normal(size=6)
+    np.testing.assert_allclose(m.times(w), dense @ w)
+    np.testing.assert_allclose(m.transposed(t), dense.T @ t)
+    np.testing.assert_allclose(m.holding(t), ones.T @ t)
+    np.testing.assert_allclose(toxicity.Sparse(sizes, cols, None, 9).times(w), ones @ w)
+    assert not toxicity.Sparse(np.zeros(2, int), cols[:0], None, 9).times(w).any()
