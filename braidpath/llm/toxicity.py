@@ -32,8 +32,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
+from xxhash import xxh32_intdigest as xxh32
 
 from braidpath.llm.common import each_text, map_arrow
 from braidpath.llm.text_stats import labelled_sample
@@ -57,11 +57,11 @@ def words(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def features(word: str) -> list[int]:
+def features(word: str) -> set[int]:
     """The places of a word and of the runs of PART characters of it between marked ends."""
     marked = f"^{word}$"
-    names = {word} | {f"#{marked[k : k + PART]}" for k in range(max(1, len(marked) - PART + 1))}
-    return sorted({xxhash.xxh32_intdigest(n.encode("utf-8", "surrogatepass")) >> 32 - FEATURE_BITS for n in names})
+    names = [word, *(f"#{marked[k : k + PART]}" for k in range(max(1, len(marked) - PART + 1)))]
+    return {xxh32(n.encode("utf-8", "surrogatepass")) >> 32 - FEATURE_BITS for n in names}
 
 
 @dataclass(frozen=True)
@@ -72,13 +72,14 @@ class OrdinalModel:
     thresholds: tuple[float, ...]
     memo: dict = field(default_factory=dict, repr=False, compare=False)
 
-    def weight(self, word: str) -> float:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            found = self.memo[word] = float(self.weights[features(word)].sum())
-        return found
+    def word_weights(self, names) -> np.ndarray:
+        """The sum of each word's features; those of the words met last are remembered."""
+        memo = self.memo
+        if len(memo) >= MEMO:
+            memo.clear()
+        for word in [w for w in names if w not in memo]:
+            memo[word] = sum(map(self.weights.item, features(word)))
+        return np.fromiter(map(memo.__getitem__, names), float, len(names))
 
     def margins(self, texts) -> np.ndarray:
         if not len(self.weights):
@@ -86,8 +87,7 @@ class OrdinalModel:
         out = []
         for text in texts:
             found = Counter(words(text))
-            known = np.fromiter(map(self.weight, found), float, len(found))
-            out.append(known @ np.log1p(np.fromiter(found.values(), float, len(found))))
+            out.append(self.word_weights(found) @ np.log1p(np.fromiter(found.values(), float, len(found))))
         return np.array(out, float)
 
     def at_least(self, margins: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     del found
     n_features, places = array("i"), array("i")
     for word in coded.dictionary:
-        own = features(word.as_py())
+        own = sorted(features(word.as_py()))
         n_features.append(len(own))
         places.extend(own)
     spread = Sparse(np.frombuffer(n_features, np.int32), np.frombuffer(places, np.int32), None, 1 << FEATURE_BITS)
