@@ -48,10 +48,10 @@ def _statement(n_max: int, n_buckets: int) -> str:
     runs = ["SELECT place, word AS gram FROM words"]
     for n in range(2, n_max + 1):
         run = " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER w" for k in range(1, n)]])
-        runs.append(f"SELECT place, gram FROM (SELECT place, {run} AS gram FROM words WINDOW w AS (PARTITION BY place ORDER BY at)) WHERE gram IS NOT NULL")
+        runs.append(f"SELECT place, gram FROM (SELECT place, {run} AS gram FROM words WINDOW w AS (PARTITION BY place ORDER BY nth)) WHERE gram IS NOT NULL")
     return f"""
 WITH texts AS MATERIALIZED (SELECT place, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') AS found FROM block),
-words AS (SELECT place, unnest(found) AS word, generate_subscripts(found, 1) AS at FROM texts),
+words AS (SELECT place, unnest(found) AS word, generate_subscripts(found, 1) AS nth FROM texts),
 grams AS MATERIALIZED (SELECT place, gram, count(*) AS n FROM ({" UNION ALL ".join(runs)}) GROUP BY ALL),
 hashed AS (SELECT gram, CAST(crc32_of(gram) % {n_buckets} AS INTEGER) AS bucket FROM (SELECT DISTINCT gram FROM grams)),
 counted AS (SELECT place, bucket, CAST(sum(n) AS BIGINT) AS n FROM grams JOIN hashed USING (gram) GROUP BY ALL),

@@ -1,0 +1,80 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from braidpath.llm import importance
+from tests.llm.conftest import LONG, ROWS
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def bucket_counts(text, n_max, n_buckets):
+    w = words(text)
+    return Counter(zlib.crc32(" ".join(w[k : k + n]).encode()) % n_buckets for n in range(1, n_max + 1) for k in range(len(w) - n + 1))
+
+
+def brute(rows, target, n_max, n_buckets, percent, min_words, seed="2024"):
+    own = [bucket_counts(t, n_max, n_buckets) for _, t in rows]
+    s, t = sum(own, Counter()), sum((bucket_counts(x, n_max, n_buckets) for x in target), Counter())
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1.0) * (all_s + n_buckets) / ((s[b] + 1.0) * (all_t + n_buckets)))) for b in range(n_buckets)]
+    out = []
+    for (i, text), c in zip(rows, own):
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] * n for b, n in c.items())
+        out.append([i, sum(c.values()), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words(text)) >= min_words])
+    enough = sorted((r for r in out if r[4]), key=lambda r: (-r[3], (r[0] is not None, r[0] or 0), r[1]))
+    drawn = percent * len(enough) // 100
+    ranked = [(*r[:4], k + 1 if k < drawn else None) for k, r in enumerate(enough)]
+    return sorted(ranked + [(*r[:4], None) for r in out if not r[4]], key=repr)
+
+
+TARGET = ["the quick brown fox", None, "", "É È 漢字 naïve again and again", "word tail word"]
+
+
+@pytest.mark.parametrize("n_max,n_buckets,percent,min_words", [(1, 10_000, 10, 20), (1, 50, 60, 3), (2, 997, 100, 1), (3, 64, 50, 0)])
+def test_brute_force(spark, docs, n_max, n_buckets, percent, min_words):
+    target = spark.createDataFrame([(t, 1) for t in TARGET], "text string, id int")
+    got = importance.resample(docs, target, percent, min_words, n_max, n_buckets).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute([r[:2] for r in ROWS], TARGET, n_max, n_buckets, percent, min_words)
+
+
+def test_blocks_and_empty_tables(spark, docs, no_docs, monkeypatch):
+    """Texts are cut into bounded blocks by rows alone; nothing comes of nothing."""
+    assert [(s.start, s.stop) for s in importance._blocks(importance.pa.array(["a" * 10, None, LONG, "b"]))] == [(0, 4)]
+    monkeypatch.setattr(importance, "BLOCK_BYTES", 12)
+    assert [(s.start, s.stop) for s in importance._blocks(importance.pa.array(["a" * 10, None, LONG, "b", "", "c" * 11]))] == [(0, 2), (2, 3), (3, 6)]
+    target = spark.createDataFrame([(t,) for t in TARGET], "text string")
+    assert importance.resample(no_docs, target).count() == 0
+    none = importance.resample(docs, target.limit(0), min_words=1).collect()
+    assert sorted((tuple(r) for r in none), key=repr) == brute([r[:2] for r in ROWS], [], 1, 10_000, 10, 1)
+
+
+def test_ties_and_draw(spark):
+    """Equal texts under different ids differ by noise only; equal ids of one score are ordered by their features."""
+    rows = [(k, "alpha beta gamma " * 10) for k in range(40)] + [(7, "alpha beta gamma " * 10)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    target = spark.createDataFrame([("gamma delta",)], "text string")
+    got = importance.resample(docs, target, percent=50)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, ["gamma delta"], 1, 10_000, 50, 20)
+    assert sorted(r["rank"] for r in got.filter("rank is not null").collect()) == list(range(1, 22))
+    drawn = importance.draw(docs, got)
+    assert drawn.columns == docs.columns
+    assert {r["doc_id"] for r in drawn.collect()} == {r["doc_id"] for r in got.filter("rank is not null").collect()}
+
+
+def test_draws_the_target(spark):
+    """Documents in the manner of the target are drawn first."""
+    near = [(k, " ".join(f"good{(k * 7 + j) % 30}" for j in range(60))) for k in range(50)]
+    far = [(k, " ".join(f"bad{(k * 5 + j) % 200}" for j in range(60))) for k in range(50, 500)]
+    target = spark.createDataFrame([(" ".join(f"good{j}" for j in range(30)),)] * 5, "text string")
+    drawn = importance.resample(spark.createDataFrame(near + far, "doc_id bigint, text string"), target).filter("rank is not null").collect()
+    assert {r["doc_id"] for r in drawn} == set(range(50))
