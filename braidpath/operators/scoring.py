@@ -7,14 +7,19 @@ quantiles) is aggregated to one row and joined back; what looks back works on bl
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from braidpath.functions.vectors import norm, safe
+from braidpath.operators.intervals import interval_join
 from braidpath.operators.panel import BLOCK, blocked, with_facts
+from braidpath.operators.selection import quantiles
+from braidpath.sources.staging import stage
 
 LOOKBACK, QUANTILE, TOP = 60, 0.95, 15
 
@@ -76,41 +81,59 @@ def score_table(tables: Sequence[DataFrame]) -> DataFrame:
 
 
 def thresholds(scores: DataFrame, score: str, quantile: float = QUANTILE) -> DataFrame:
-    """(series, threshold): the exact interpolated quantile of the scored rows."""
-    return scores.groupBy("series").agg(F.percentile(score, quantile).alias("threshold"))
+    """(series, threshold): the exact interpolated quantile of the scored rows; no task gets a series."""
+    return quantiles(scores, score, [quantile], names=["threshold"])
 
 
-def episodes(scores: DataFrame, score: str, quantile: float = QUANTILE) -> DataFrame:
-    """Runs of adjacent windows at or above the threshold, the first peak on ties, highest first.
+#: Runs are merged over cells of so many windows, and at last over the whole series.
+CELLS = (BLOCK, BLOCK**2)
 
-    Runs are found within blocks, and those that touch across blocks are joined; of a series only its runs meet.
-    """
-    limits = scores.groupBy("series").agg(F.percentile(score, quantile).alias("threshold"), F.max("window_idx").alias("__last"))
-    high = with_facts(scores, limits).filter(F.col(score) >= F.col("threshold"))
-    inside, order = blocked(high, 0, "window_idx")
-    run = F.col("window_idx") - F.row_number().over(order)
-    peak = F.max(F.struct(F.col(score).alias("s"), (-F.col("window_idx")).alias("i"), F.col("end_date").alias("d")))
-    parts = inside.withColumn("run", run).groupBy("series", "__block", "run").agg(
-        F.min("window_idx").alias("first"), F.max("window_idx").alias("last"), F.min("end_date").alias("begin"), F.max("end_date").alias("end"), peak.alias("peak"), F.count("*").alias("n"), F.first("threshold").alias("threshold")
-    )
-    by = Window.partitionBy("series").orderBy("first")
+
+def _joined_runs(runs: DataFrame, cell: Column) -> DataFrame:
+    """Runs of a cell that touch become one."""
+    by = Window.partitionBy("series", "__cell").orderBy("first")
     apart = F.coalesce((F.lag("last").over(by) + 1 != F.col("first")).cast("int"), F.lit(1))
-    joined = parts.withColumn("apart", apart).withColumn("episode", F.sum("apart").over(by))
-    rows = joined.groupBy("series", "episode").agg(F.min("begin").alias("episode_start"), F.max("end").alias("episode_end"), F.max("peak").alias("peak"), F.sum("n").alias("duration_windows"), F.first("threshold").alias("threshold"))
-    return rows.select("series", "episode_start", "episode_end", F.col("peak.d").alias("peak_date"), F.col("peak.s").alias("peak_score"), "duration_windows", "threshold").orderBy(F.desc("peak_score"), "episode_start")
+    rows = runs.withColumn("__cell", cell).withColumn("__apart", apart).withColumn("__run", F.sum("__apart").over(by))
+    merged = [F.min("first").alias("first"), F.max("last").alias("last"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.max("peak").alias("peak"), F.sum("n").alias("n"), F.first("threshold").alias("threshold")]
+    return rows.groupBy("series", "__cell", "__run").agg(*merged).drop("__cell", "__run")
 
 
-def period_summary(scores: DataFrame, score: str, periods: Sequence[tuple[str, str, str]]) -> DataFrame:
+def episodes(scores: DataFrame, score: str, quantile: float = QUANTILE) -> DataFrame:
+    """Runs of adjacent windows at or above the threshold, the first peak on ties, highest first.
+
+    Runs merge like intervals, by a tree over the windows' numbers: first within blocks, then those that touch an edge of
+    their cell with their neighbours in the next larger cell. A run inside its cell is whole, and is alone from there on,
+    so no task orders the runs of a series, only those that reach an edge: two a cell.
+    """
+    scored = stage(scores.select("series", "window_idx", "end_date", F.col(score).alias("s")), "episode-scores")
+    limits = thresholds(scored, "s", quantile).join(scored.groupBy("series").agg(F.max("window_idx").alias("__last")), "series")
+    high = with_facts(scored, limits).filter(F.col("s") >= F.col("threshold"))
+    peak = F.struct("s", (-F.col("window_idx")).alias("i"), F.col("end_date").alias("d")).alias("peak")
+    runs = high.select("series", F.col("window_idx").alias("first"), F.col("window_idx").alias("last"), F.col("end_date").alias("begin"), F.col("end_date").alias("end"), peak, F.lit(1).cast("bigint").alias("n"), "threshold")
+    runs = _joined_runs(runs, F.floor(F.col("first") / BLOCK))
+    for size, larger in zip(CELLS, [*CELLS[1:], None]):
+        touches = (F.col("first") % size == 0) | ((F.col("last") + 1) % size == 0)
+        cell = F.floor(F.col("first") / larger) if larger else F.lit(0).cast("bigint")
+        runs = _joined_runs(runs, F.when(touches, cell).otherwise(-1 - F.col("first")))
+    return runs.select("series", F.col("begin").alias("episode_start"), F.col("end").alias("episode_end"), F.col("peak.d").alias("peak_date"), F.col("peak.s").alias("peak_score"), F.col("n").alias("duration_windows"), "threshold").orderBy(F.desc("peak_score"), "episode_start")
+
+
+def period_summary(scores: DataFrame, score: str, periods: DataFrame | Sequence[tuple[str, str, str]]) -> DataFrame:
     """Of each inclusive date range with windows: how many, mean, max, median, and the mean against the median of all.
 
-    The ranges are a literal list: a window goes to each that holds it.
+    ``periods`` is a table (period, start_date, end_date), or a literal list of such rows; a window counts for each range
+    that holds it.
     """
-    held = [F.when(F.col("end_date").between(F.to_date(F.lit(a)), F.to_date(F.lit(b))), F.struct(F.lit(name).alias("period"), F.to_date(F.lit(a)).alias("start_date"), F.to_date(F.lit(b)).alias("end"))) for name, a, b in periods]
-    inside = scores.withColumn("p", F.explode(F.filter(F.array(*held), lambda p: p.isNotNull())))
-    out = inside.groupBy("series", F.col("p.period").alias("period"), F.col("p.start_date").alias("start_date"), F.col("p.end").alias("end_date")).agg(
-        F.count("*").alias("window_count"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"), F.percentile(score, 0.5).alias("median_score")
-    )
-    out = out.join(thresholds(scores, score, 0.5).withColumnRenamed("threshold", "global_median_score"), "series")
+    if not isinstance(periods, DataFrame):
+        periods = scores.sparkSession.createDataFrame([tuple(p) for p in periods], "period string, start_date string, end_date string")
+    periods = periods.select("period", F.to_date("start_date").alias("start_date"), F.to_date("end_date").alias("end_date"))
+    scored = stage(scores.select("series", F.col("end_date").alias("at"), F.col(score).alias("s")), "period-scores")
+    inside = stage(interval_join(scored, periods, ("at", "at"), ("start_date", "end_date")), "period-windows")
+    by = ["series", "period", "start_date", "end_date"]
+    out = inside.groupBy(*by).agg(F.count("*").alias("window_count"), F.avg("s").alias("mean_score"), F.max("s").alias("max_score"))
+    same = functools.reduce(operator.and_, [F.col(f"o.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by])
+    out = out.alias("o").join(quantiles(inside, "s", [0.5], by, ["median_score"]).alias("m"), same, "left").select("o.*", "m.median_score")
+    out = out.join(thresholds(scored, "s", 0.5).withColumnRenamed("threshold", "global_median_score"), "series", "left")
     return out.withColumn("mean_vs_global_median_ratio", F.try_divide("mean_score", "global_median_score")).orderBy(F.desc("mean_score"), "period")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from braidpath.functions.vectors import norm, safe
 from braidpath.operators import scoring
+from braidpath.sources.staging import stage
 
 ALPHAS = (0.0, 0.15, 0.35, 0.70, 1.20)
 CLOCKS = ("linear", "movement")
@@ -115,7 +116,9 @@ def grid_search(windows: DataFrame, channels: int, periods: Sequence[tuple[str,
     # the periods are few and literal: each is a conditional mean of the one aggregation
     means = {f"__m{k}": F.avg(F.when(F.col("end_date").between(F.to_date(F.lit(a)), F.to_date(F.lit(b))), F.col("score"))) for k, (_, a, b) in enumerate(periods)}
     peak = F.max(F.struct(F.col("score").alias("s"), (-F.col("window_idx")).alias("i"), F.col("end_date").alias("d")))
-    tops = scored.groupBy("series").agg(F.percentile("score", 0.5).alias("global_median_score"), peak.alias("peak"), *[m.alias(n) for n, m in means.items()])
+    scored = stage(scored, "grid-scores")
+    tops = scored.groupBy("series").agg(peak.alias("peak"), *[m.alias(n) for n, m in means.items()])
+    tops = tops.join(scoring.thresholds(scored, "score", 0.5).withColumnRenamed("threshold", "global_median_score"), "series", "left")
     ratios = F.filter(F.array(*[F.try_divide(n, "global_median_score") for n in means]), lambda r: r.isNotNull())
     tops = tops.withColumn("mean_stress_ratio", F.try_divide(F.aggregate(ratios, F.lit(0.0), lambda s, r: s + r), F.size(ratios)))
     focus_ratio = F.try_divide(f"__m{[p for p, _, _ in periods].index(focus)}", "global_median_score")

@@ -203,6 +203,15 @@ SELECT min(h.end_date) AS episode_start, max(h.end_date) AS episode_end, min(h.e
        round(any_value(b.peak_score), 5) AS peak_score, count(*) AS duration_windows, round(any_value(threshold), 5) AS threshold
 FROM high h JOIN best b USING (run) GROUP BY run"""
 
+
+def _periods(periods: str) -> str:
+    """Summaries of scores over the ranges of the CTE ``periods(period, a, b)``."""
+    return f"""WITH {SIGNATURE_SCORE}, {periods}, m AS (SELECT quantile_cont(score, 0.5) AS g FROM scored)
+        SELECT period, a AS start_date, b AS end_date, count(*) AS window_count, round(avg(score), 5) AS mean_score, round(max(score), 5) AS max_score, round(quantile_cont(score, 0.5), 5) AS median_score,
+               round(any_value(g), 5) AS global_median_score, round(avg(score) / any_value(g), 5) AS mean_vs_global_median_ratio
+        FROM scored JOIN periods ON scored.end_date BETWEEN a AND b CROSS JOIN m GROUP BY period, a, b"""
+
+
 SQL: dict[str, str] = {
     "align_panel": f"WITH {PRICES} SELECT date, " + ", ".join(f'round("{t}", 6) AS "{t}"' for t in "ANR") + " FROM panel",
     "price_profile": f"""WITH {PRICES} SELECT min(date) AS first_date, max(date) AS last_date, count(*) AS n_rows, count(*) FILTER ("A" IS NULL) AS "null_A",
@@ -240,10 +249,9 @@ SQL: dict[str, str] = {
     "score_table": f"WITH {SCORES} SELECT window_idx, end_date, " + ", ".join(f"round({m}, 5) AS {m}" for m in METRICS) + " FROM scores",
     "threshold_q95": f"WITH {SIGNATURE_SCORE} SELECT round(quantile_cont(score, 0.95), 5) AS threshold FROM scored",
     "episodes": f"WITH {EPISODES}",
-    "stress_periods": f"""WITH {SIGNATURE_SCORE}, periods(period, a, b) AS (VALUES {PERIOD_ROWS}), m AS (SELECT quantile_cont(score, 0.5) AS g FROM scored)
-        SELECT period, a AS start_date, b AS end_date, count(*) AS window_count, round(avg(score), 5) AS mean_score, round(max(score), 5) AS max_score, round(quantile_cont(score, 0.5), 5) AS median_score,
-               round(any_value(g), 5) AS global_median_score, round(avg(score) / any_value(g), 5) AS mean_vs_global_median_ratio
-        FROM scored JOIN periods ON scored.end_date BETWEEN a AND b CROSS JOIN m GROUP BY period, a, b""",
+    "stress_periods": _periods(f"periods(period, a, b) AS (VALUES {PERIOD_ROWS})"),
+    "order_periods": _periods("""periods AS (SELECT o_orderpriority || ' ' || year(o_orderdate) || ' Q' || quarter(o_orderdate) AS period, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b
+        FROM orders GROUP BY 1)"""),
     "top_dates": f"WITH {SCORES}, long AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, end_date, {m} AS score FROM scores WHERE {m} IS NOT NULL" for m in METRICS) + "), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY metric ORDER BY score DESC, end_date) AS INTEGER) AS rank FROM long) SELECT metric, rank, end_date, round(score, 5) AS score FROM ranked WHERE rank <= 15",
     "metric_correlations": f"WITH {SCORES}{_correlations('scores', TRAILING)}",
     "zscored_series": f"WITH {SCORES} SELECT window_idx, end_date, " + ", ".join(f"round(({m} - avg({m}) OVER ()) / stddev_pop({m}) OVER (), 5) + 0.0 AS {m}" for m in TRAILING) + " FROM scores",

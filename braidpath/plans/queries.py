@@ -12,7 +12,7 @@ from braidpath.functions.vectors import format_bytes, level_slices, signature_le
 from braidpath.operators import distance, features, moments, panel, scoring, signature, simulate, weighted
 from braidpath.plans import experiments, market, theory
 from braidpath.plans.market import METRICS, PERIODS, TRAILING
-from braidpath.sources.tables import TICKERS, daily_bars, event_series, labelled_vectors, order_prices
+from braidpath.sources.tables import TICKERS, daily_bars, event_series, labelled_vectors, order_prices, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 D = len(TICKERS)
@@ -194,6 +194,13 @@ def stress_periods(spark, sf):
     return rounded(scoring.period_summary(market.scores_of(market.signature_features(_returns(spark, sf), D), "score"), "score", PERIODS).drop("series"), 5)
 
 
+def order_periods(spark, sf):
+    """Scores over the stretches in which orders of each priority came in each quarter: many ranges, from a table, that overlap."""
+    quarter = F.concat_ws(" ", "o_orderpriority", F.year("o_orderdate").cast("string"), F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")))
+    periods = table(spark, sf, "orders").groupBy(quarter.alias("period")).agg(F.to_date(F.min("o_orderdate")).alias("start_date"), F.to_date(F.max("o_orderdate")).alias("end_date"))
+    return rounded(scoring.period_summary(market.scores_of(market.signature_features(_returns(spark, sf), D), "score"), "score", periods).drop("series"), 5)
+
+
 def top_dates(spark, sf):
     return rounded(scoring.top_dates(_scores(spark, sf), METRICS).drop("series"), 5)
 
@@ -309,7 +316,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     align_panel, align_fields, price_profile, repeated_dates, log_returns, rolling_volatility, rolling_windows, cumulative_paths,
     window_signature, window_signature_sql, signature_forms_agree, signature_prefix, level_layout, time_augmented_signature,
     expected_signature, expected_signature_sql, levy_area, standardised_signature, signature_feature_table, trailing_score, consecutive_distance,
-    covariance_features, volatility_features, flat_returns, score_table, threshold_q95, episodes, stress_periods, top_dates,
+    covariance_features, volatility_features, flat_returns, score_table, threshold_q95, episodes, stress_periods, order_periods, top_dates,
     metric_correlations, zscored_series, sample_moments, sample_covariances, mean_covariance, terminal_increment_summary,
     statistical_distances, vector_distances, signature_distances, levelwise_distances, cumulative_depth_distance, movement_clock,
     weighted_increments, path_statistics, weighted_features, grid_search, unweighted_baseline, comparison_correlations, simulated_paths,
