@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from braidpath.functions.vectors import signature_length
+from braidpath.functions.vectors import level_slices, signature_length
 
 
 def _times(c: np.ndarray, dx: np.ndarray) -> np.ndarray:
@@ -68,3 +68,57 @@ def safe_batch(requested: int, steps: int, channels: int, depth: int, budget_byt
     sums = signature_length(channels, depth - 2) if depth > 2 else 0
     one = 8 * (signature_length(channels, depth) + steps * (4 * sums + 2 * channels**2 + 4 * channels))
     return max(1, min(requested, budget_bytes // one))
+
+
+def _levels(s: np.ndarray, channels: int, depth: int) -> list[np.ndarray]:
+    """Levels 0 to depth of signatures (n, coordinates)."""
+    return [np.ones((len(s), 1)), *(s[:, a:b] for a, b in level_slices(channels, depth))]
+
+
+def product(a: np.ndarray, b: np.ndarray, channels: int, depth: int) -> np.ndarray:
+    """Chen's identity: the signatures of paths a, each followed by the path of the same row of b."""
+    left, right = _levels(a, channels, depth), _levels(b, channels, depth)
+    return np.concatenate([sum((left[i][:, :, None] * right[k - i][:, None, :]).reshape(len(a), -1) for i in range(k + 1)) for k in range(1, depth + 1)], axis=1)
+
+
+def inverse(s: np.ndarray, channels: int, depth: int) -> np.ndarray:
+    """The signatures of the reversed paths: every word backwards, odd levels with the other sign."""
+    out = []
+    for k, level in enumerate(_levels(s, channels, depth)[1:], 1):
+        out.append((-1) ** k * level.reshape(len(s), *[channels] * k).transpose(0, *range(k, 0, -1)).reshape(len(s), -1))
+    return np.concatenate(out, axis=1)
+
+
+def prefixes(increments: np.ndarray, depth: int) -> np.ndarray:
+    """From increments (paths, steps, channels) the signatures (paths, steps + 1, coordinates) up to each step."""
+    dx = np.ascontiguousarray(increments, np.float64)
+    n, steps, d = dx.shape
+    before: list[np.ndarray] = []
+    out = np.zeros((n, steps + 1, signature_length(d, depth)))
+    for level, (a, b) in enumerate(level_slices(d, depth), 1):
+        np.cumsum(_times(_gathered(before, dx, level, level - 1), dx), axis=1, out=out[:, 1:, a:b])
+        before.append(out[:, :-1, a:b])
+    return out
+
+
+#: Windows whose prefixes begin at one place: so many times a window's length. Longer prefixes cancel more digits.
+STRETCH = 4
+
+
+def sliding(increments: np.ndarray, depth: int, window: int, starts: np.ndarray) -> np.ndarray:
+    """The signatures of the windows of ``window`` steps that begin at ``starts``, from the increments (steps, channels) of one path.
+
+    A window is the inverse of the prefix before it times the prefix up to its end, so a step enters one running sum and not
+    all the windows that hold it. Prefixes begin anew every STRETCH windows, which bounds what cancels.
+    """
+    steps, d = increments.shape
+    size = STRETCH * window
+    at = starts // size
+    stretches = np.unique(at)
+    held = np.zeros((len(stretches), size + window, d))
+    for row, k in enumerate(stretches):
+        part = increments[k * size : k * size + size + window]
+        held[row, : len(part)] = part
+    found = prefixes(held, depth)
+    row, a = np.searchsorted(stretches, at), starts - at * size
+    return product(inverse(found[row, a], d, depth), found[row, a + window], d, depth)

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from braidpath.functions import chen
 from braidpath.functions.vectors import level_of, signature_length
+from braidpath.operators.panel import WINDOW, blocked, numbered
 
 #: Coordinates that travel in one row of partial sums.
 CHUNK = 4096
@@ -91,6 +92,25 @@ def signatures(paths: DataFrame, channels: int, depth: int, points: bool = False
     return paths.select(*keep, column).mapInArrow(run, schema)
 
 
+def sliding_signatures(returns: DataFrame, channels: int, depth: int, window: int = WINDOW) -> DataFrame:
+    """(series, window_idx, end_date, signature) of all windows of returns, from prefixes within blocks of rows."""
+    rows, _ = blocked(numbered(returns), window - 1)
+    columns = [f"r_{k}" for k in range(1, channels + 1)]
+    kinds = {f.name: f.dataType.simpleString() for f in returns.schema}
+    schema = f"series {kinds['series']}, window_idx bigint, end_date {kinds['date']}, signature array<double>"
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("idx")
+        own = np.flatnonzero(block["__own"].to_numpy() & (block["idx"].to_numpy() >= window - 1))
+        x = np.stack([block[c].to_numpy() for c in columns], 1)
+        found = chen.sliding(x, depth, window, own - (window - 1)) if len(own) else np.zeros((0, signature_length(channels, depth)))
+        lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * found.shape[1], pa.array(found.reshape(-1)))
+        at = block.take(pa.array(own))
+        return pa.table([at["series"], pa.array(at["idx"].to_numpy() - (window - 1)), at["date"], lists], names=["series", "window_idx", "end_date", "signature"])
+
+    return rows.select("series", "__block", "__own", "idx", "date", *columns).groupBy("series", "__block").applyInArrow(run, schema)
+
+
 class Moments:
     """Count, mean and sum of squared deviations of vectors, merged without cancellation."""
 

@@ -204,6 +204,27 @@ SELECT min(h.end_date) AS episode_start, max(h.end_date) AS episode_end, min(h.e
 FROM high h JOIN best b USING (run) GROUP BY run"""
 
 
+LONG_STEPS = """
+points AS (SELECT event_type, value / 97.3 AS x_1, (epoch_us(ts) - 1704067200000000) / 86400e6 AS x_2, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+steps AS (SELECT event_type, step, x_1 - lag(x_1) OVER w AS x_1, x_2 - lag(x_2) OVER w AS x_2 FROM points WINDOW w AS (PARTITION BY event_type ORDER BY step))"""
+
+
+def _running(source: str, key: str, letters) -> str:
+    """CTEs up to ``sig``: signatures of long paths, whose levels are running sums over the steps."""
+    n, before = len(letters), f"OVER (PARTITION BY {key} ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    two = list(itertools.product(range(n), repeat=2))
+    p = ", ".join(f"coalesce(sum({c}) {before}, 0) AS p{i}" for i, c in enumerate(letters))
+    q = ", ".join(f"coalesce(sum(t{i}{j}) {before}, 0) AS q{i}{j}" for i, j in two)
+    of = lambda i: letters[i]
+    sums = [of(i) for i in range(n)] + [f"t{i}{j}" for i, j in two]
+    sums += [f"q{i}{j} * {of(k)} + p{i} * {of(j)} * {of(k)} / 2 + {of(i)} * {of(j)} * {of(k)} / 6" for i, j in two for k in range(n)]
+    return f"""{LONG_STEPS},
+one AS (SELECT *, {p} FROM {source}),
+two AS (SELECT *, {', '.join(f'p{i} * {of(j)} + {of(i)} * {of(j)} / 2 AS t{i}{j}' for i, j in two)} FROM one),
+three AS (SELECT *, {q} FROM two),
+sig AS (SELECT {key}, count(*) AS n_points, {', '.join(f'coalesce(sum({x}), 0) AS s_{k}' for k, x in enumerate(sums, 1))} FROM three GROUP BY {key})"""
+
+
 def _periods(periods: str) -> str:
     """Summaries of scores over the ranges of the CTE ``periods(period, a, b)``."""
     return f"""WITH {SIGNATURE_SCORE}, {periods}, m AS (SELECT quantile_cont(score, 0.5) AS g FROM scored)
@@ -226,6 +247,8 @@ SQL: dict[str, str] = {
     "rolling_windows": f"WITH {WINDOWS} SELECT window_idx, end_date, step, {_r(R)} FROM win",
     "cumulative_paths": f"WITH {WINDOWS} SELECT a.window_idx, a.step, " + ", ".join(f"round(sum(b.r_{k}), 6) + 0.0 AS r_{k}" for k in (1, 2, 3)) + " FROM win a JOIN win b ON a.window_idx = b.window_idx AND b.step <= a.step GROUP BY a.window_idx, a.step",
     "window_signature": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39)} FROM sig",
+    "sliding_signature": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39)} FROM sig",
+    "long_path_signature": f"WITH {_running('steps', 'event_type', ('x_1', 'x_2'))} SELECT event_type, n_points, {_r(S14, 5)} FROM sig",
     "window_signature_sql": f"WITH {SIGNATURE} SELECT window_idx, end_date, " + ", ".join(f"round(f_{k}, 6) + 0.0 AS s_{k}" for k in range(1, 40)) + " FROM sig",
     "window_signature_depth1": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39[:3])} FROM sig",
     "window_signature_depth2": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39[:12])} FROM sig",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidpath.functions.vectors import format_bytes, level_slices, signature_length, truncate
-from braidpath.operators import distance, features, moments, panel, scoring, signature, simulate, weighted
+from braidpath.operators import distance, features, long_paths, moments, panel, scoring, signature, simulate, weighted
 from braidpath.plans import experiments, market, theory
 from braidpath.plans.market import METRICS, PERIODS, TRAILING
 from braidpath.sources.tables import TICKERS, daily_bars, event_series, labelled_vectors, order_prices, table
@@ -18,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 D = len(TICKERS)
 #: Values of events are taken in this unit, so that high levels stay of a size that survives rounding, and few land half-way.
 EVENT_UNIT = 97.3
+#: 2024-01-01 in microseconds; time runs from there.
+EVENT_START = 1_704_067_200_000_000
 VECTOR_DIMENSIONS = 64
 VECTOR_COLUMNS = [f"x_{k}" for k in range(1, VECTOR_DIMENSIONS + 1)]
 VECTOR_PAIRS = tuple((f"L{a}", f"L{b}") for a in range(10) for b in range(a + 1, 10))
@@ -93,6 +95,19 @@ def window_signature(spark, sf, depth=3):
     return rounded(market.signature_features(_returns(spark, sf), D, depth).drop("series"))
 
 
+def sliding_signature(spark, sf):
+    """The same from prefixes and their inverses."""
+    found = signature.sliding_signatures(_returns(spark, sf), D, 3)
+    return rounded(features.spread(found, "signature", signature_length(D, 3)).drop("series"))
+
+
+def long_path_signature(spark, sf):
+    """All events of a type as one path of value and time in days, whatever its length."""
+    events = table(spark, sf, "events").select("event_type", "ts", "event_id", (F.col("value") / EVENT_UNIT).alias("x_1"), ((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EVENT_START)) / F.lit(86_400e6)).alias("x_2"))
+    found = long_paths.path_signatures(events, ["x_1", "x_2"], 3, ["event_type"], ["ts", "event_id"])
+    return rounded(features.spread(found, "signature", signature_length(2, 3), "s_"), 5)
+
+
 def window_signature_sql(spark, sf):
     rows = signature.signature_sql(_windows(spark, sf), [f"r_{k}" for k in range(1, D + 1)], 3, ["series", "window_idx", "end_date"])
     return rounded(rows.drop("series"))
@@ -314,7 +329,7 @@ def simulated_paths(spark, sf):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     align_panel, align_fields, price_profile, repeated_dates, log_returns, rolling_volatility, rolling_windows, cumulative_paths,
-    window_signature, window_signature_sql, signature_forms_agree, signature_prefix, level_layout, time_augmented_signature,
+    window_signature, sliding_signature, long_path_signature, window_signature_sql, signature_forms_agree, signature_prefix, level_layout, time_augmented_signature,
     expected_signature, expected_signature_sql, levy_area, standardised_signature, signature_feature_table, trailing_score, consecutive_distance,
     covariance_features, volatility_features, flat_returns, score_table, threshold_q95, episodes, stress_periods, order_periods, top_dates,
     metric_correlations, zscored_series, sample_moments, sample_covariances, mean_covariance, terminal_increment_summary,
