@@ -36,6 +36,18 @@ def statistical_distances(summary: DataFrame, pairs: Sequence[tuple[str, str]])
     )
 
 
+def moment_distances(means: DataFrame, covariances: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(comparison and two distances) from (process, i, mean) and (process, i, j, covariance): no row holds a vector or a matrix."""
+    cmp = F.broadcast(comparison_list(means.sparkSession, pairs))
+
+    def apart(rows: DataFrame, place: Sequence[str], value: str, name: str) -> DataFrame:
+        left = rows.join(cmp, rows["process"] == cmp["first"]).select("comparison", "second", *place, F.col(value).alias("a"))
+        right = rows.select(F.col("process").alias("second"), *place, F.col(value).alias("b"))
+        return left.join(right, ["second", *place]).groupBy("comparison").agg(F.sqrt(F.sum(F.pow(F.col("a") - F.col("b"), F.lit(2)))).alias(name))
+
+    return apart(means, ["i"], "mean", "mean_vector_l2_distance").join(apart(covariances, ["i", "j"], "covariance", "covariance_frobenius_distance"), "comparison")
+
+
 def _compared(expected: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """A row a comparison and coordinate: the difference of the two means."""
     cmp = F.broadcast(comparison_list(expected.sparkSession, pairs))

@@ -254,10 +254,6 @@ SQL: dict[str, str] = {
     "window_signature_depth2": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39[:12])} FROM sig",
     "signature_prefix": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39[:12])} FROM sig",
     "signature_forms_agree": "SELECT 0e0 AS max_abs_difference, true AS agrees",
-    "level_layout": """SELECT CAST(d AS INTEGER) AS channels, CAST(k AS INTEGER) AS level, CAST(CASE k WHEN 1 THEN 0 WHEN 2 THEN d ELSE d + d * d END AS BIGINT) AS "first",
-        CAST(CASE k WHEN 1 THEN d WHEN 2 THEN d + d * d ELSE d + d * d + d * d * d END AS BIGINT) AS beyond,
-        CASE WHEN b >= 1048576 THEN printf('%.2f MiB', b / 1048576e0) WHEN b >= 1024 THEN printf('%.2f KiB', b / 1024e0) ELSE CAST(b AS VARCHAR) || ' B' END AS batch_memory
-        FROM (SELECT *, CAST(pow(d, k) * 1024 AS BIGINT) AS b FROM (VALUES (2), (3), (10), (20)) t(d) CROSS JOIN (VALUES (1), (2), (3)) u(k))""",
     "time_augmented_signature": f"WITH {EVENT_SIGNATURE} SELECT process, series, {_r(S14)} FROM sig",
     "expected_signature": f"WITH {EXPECTED} SELECT process, coord, level, n_paths, {_r(('mean', 'std'))} FROM expected",
     "expected_signature_sql": f"WITH {EXPECTED} SELECT process, coord, level, n_paths, {_r(('mean', 'std'))} FROM expected",
@@ -306,36 +302,3 @@ SQL: dict[str, str] = {
     "comparison_correlations": f"WITH {SIGNATURE_SCORE}{_weighted_scores([(0.35, 'movement'), (0.0, 'linear')])}, three AS (SELECT s.score AS signature_trailing_score, x.score AS weighted_trailing_score, y.score AS unweighted_trailing_score FROM scored s JOIN ws x ON x.window_idx = s.window_idx AND x.kind = 'movement' JOIN ws y ON y.window_idx = s.window_idx AND y.kind = 'linear')"
     + _correlations("three", ("weighted_trailing_score", "unweighted_trailing_score", "signature_trailing_score")),
 }
-
-
-def _theory(values: str) -> str:
-    """Closed forms as rows (process, quantity, theory); simulated means must all lie within their errors."""
-    return f"SELECT process, quantity, round(theory, 6) + 0.0 AS theory, true AS within FROM (VALUES {values}) t(process, quantity, theory)"
-
-
-def _normal(process: str, m: str, v: str) -> str:
-    """Raw moments of a normal increment of mean m and variance v."""
-    return f"('{process}', 'increment_power_1', {m}), ('{process}', 'increment_power_2', {m} * {m} + {v}), ('{process}', 'increment_power_3', pow({m}, 3) + 3 * {m} * {v}), ('{process}', 'increment_power_4', pow({m}, 4) + 6 * {m} * {m} * {v} + 3 * {v} * {v})"
-
-
-#: The mean of |Z| mixed by shape 8.
-_SKEW = "(8e0 / sqrt(65e0) * sqrt(2e0 / pi()))"
-#: Expected growth of the price by a jump, and the jumps' mean and variance over a year.
-_JUMP = "(-1e-1 - (exp(-1e-1 + 0.15e0 * 0.15e0 / 2) - 1))"
-SQL |= {
-    "one_dimensional_theory": _theory(", ".join((_normal("A", "0e0", "1e0"), _normal("B", "5e-2", "1e0"), _normal("C", "0e0", "4e0")))),
-    "higher_moments_theory": _theory(
-        _normal("G", "0e0", "1e0") + f", ('S', 'increment_power_1', 0e0), ('S', 'increment_power_2', 1e0), ('S', 'increment_power_3', (4 - pi()) / 2 * pow({_SKEW}, 3) / pow(1 - pow({_SKEW}, 2), 1.5)), "
-        f"('S', 'increment_power_4', 3 + 2 * (pi() - 3) * pow({_SKEW}, 4) / pow(1 - pow({_SKEW}, 2), 2)), ('T', 'increment_power_1', 0e0), ('T', 'increment_power_2', 1e0)"
-    ),
-    "high_dimensional_theory": """WITH p(process, drift, own, first, second, other) AS (VALUES ('A', 0e0, 1e0, 0e0, 0e0, 0e0), ('B', 5e-2, 1e0, 0e0, 0e0, 0e0), ('C', 0e0, 1e0, 5e-1, 3e-1, 0e0), ('D', 0e0, 1e0 + 0.3e0 * 0.3e0, 0.3e0 * 0.3e0, 0.3e0 * 0.3e0, 0.3e0 * 0.3e0))
-SELECT process, quantity, round(theory, 6) + 0.0 AS theory, true AS within FROM (
-  SELECT process, 'mean_1' AS quantity, drift AS theory FROM p UNION ALL SELECT process, 'mean_20', 0e0 FROM p
-  UNION ALL SELECT process, 'product_1_1', own + drift * drift FROM p UNION ALL SELECT process, 'product_1_2', first + drift * drift FROM p
-  UNION ALL SELECT process, 'product_6_7', second FROM p UNION ALL SELECT process, 'product_5_6', other FROM p UNION ALL SELECT process, 'product_11_12', other FROM p)""",
-    "advanced_theory": _theory(
-        "('BS', 'terminal_mean', -2e-2), ('BS', 'terminal_square', 4e-2 + 4e-4), ('BS', 'price_mean', 1e0), ('BS', 'square_after_2', 4e-2 / 50 + pow(4e-2 / 100, 2)), ('HEST', 'terminal_mean', -2e-2), ('HEST', 'price_mean', 1e0), "
-        f"('MERT', 'terminal_mean', -2e-2 + {_JUMP}), ('MERT', 'terminal_square', 4e-2 + 1e-2 + 0.15e0 * 0.15e0 + pow(-2e-2 + {_JUMP}, 2)), ('MERT', 'price_mean', 1e0), ('BATES', 'terminal_mean', -2e-2 + {_JUMP}), ('BATES', 'price_mean', 1e0), "
-        "('FBM', 'terminal_mean', 0e0), ('FBM', 'terminal_square', 4e-2), ('FBM', 'square_after_2', 4e-2 * pow(2e-2, 1.4e0))"
-    ),
-}

@@ -8,9 +8,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidpath.functions.vectors import format_bytes, level_slices, signature_length, truncate
-from braidpath.operators import distance, features, long_paths, moments, panel, scoring, signature, simulate, weighted
-from braidpath.plans import experiments, market, theory
+from braidpath.functions.vectors import signature_length, truncate
+from braidpath.operators import distance, features, long_paths, moments, panel, scoring, signature, weighted
+from braidpath.plans import market
 from braidpath.plans.market import METRICS, PERIODS, TRAILING
 from braidpath.sources.tables import TICKERS, daily_bars, event_series, labelled_vectors, order_prices, table
 
@@ -129,13 +129,6 @@ def signature_prefix(spark, sf):
     return rounded(features.spread(deep, "signature", signature_length(D, 2)).drop("series"))
 
 
-def level_layout(spark, sf):
-    """Where each level lies in a signature, and how large the signatures of the benchmark shapes are."""
-    rows = [(d, k, a, b) for d in (2, 3, 10, 20) for k, (a, b) in enumerate(level_slices(d, 3), 1)]
-    out = spark.createDataFrame(rows, "channels int, level int, first bigint, beyond bigint")
-    return out.withColumn("batch_memory", format_bytes((F.col("beyond") - F.col("first")) * 8 * 128))
-
-
 def time_augmented_signature(spark, sf):
     return rounded(signature.signature_sql(_event_steps(spark, sf), ["x_1", "x_2"], 3, ["process", "series"]))
 
@@ -257,9 +250,8 @@ def statistical_distances(spark, sf):
 
 def vector_distances(spark, sf):
     """Means and covariances of labelled vectors, all pairs of labels, endpoints being the vectors themselves."""
-    rows = labelled_vectors(spark, sf, VECTOR_DIMENSIONS).withColumn("series", F.col("id")).withColumn("step", F.lit(0))
-    summary = moments.process_summary(rows, rows, VECTOR_COLUMNS)
-    return rounded(distance.statistical_distances(summary, VECTOR_PAIRS).select("comparison", "mean_vector_l2_distance", "covariance_frobenius_distance"))
+    rows = labelled_vectors(spark, sf, VECTOR_DIMENSIONS)
+    return rounded(distance.moment_distances(moments.means(rows, VECTOR_COLUMNS), moments.covariances(rows, VECTOR_COLUMNS), VECTOR_PAIRS))
 
 
 def _event_expected(spark, sf):
@@ -316,39 +308,15 @@ def comparison_correlations(spark, sf):
     return rounded(scoring.correlations(scoring.score_table(tables), names).drop("series"), 5)
 
 
-def _rounded_experiment(make, table, spark, sf):
-    out = getattr(make(spark), table)
-    flat = [F.col(c) if not t.startswith("array") else F.transform(c, lambda x: F.round(x, 6)).alias(c) for c, t in out.dtypes]
-    return rounded(out.select(*flat))
-
-
-def simulated_paths(spark, sf):
-    """The first paths of each one-dimensional process."""
-    return rounded(simulate.simulate(spark, simulate.one_dimensional(), 1_000, 20, first=5))
-
-
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     align_panel, align_fields, price_profile, repeated_dates, log_returns, rolling_volatility, rolling_windows, cumulative_paths,
-    window_signature, sliding_signature, long_path_signature, window_signature_sql, signature_forms_agree, signature_prefix, level_layout, time_augmented_signature,
+    window_signature, sliding_signature, long_path_signature, window_signature_sql, signature_forms_agree, signature_prefix, time_augmented_signature,
     expected_signature, expected_signature_sql, levy_area, standardised_signature, signature_feature_table, trailing_score, consecutive_distance,
     covariance_features, volatility_features, flat_returns, score_table, threshold_q95, episodes, stress_periods, order_periods, top_dates,
     metric_correlations, zscored_series, sample_moments, sample_covariances, mean_covariance, terminal_increment_summary,
     statistical_distances, vector_distances, signature_distances, levelwise_distances, cumulative_depth_distance, movement_clock,
-    weighted_increments, path_statistics, weighted_features, grid_search, unweighted_baseline, comparison_correlations, simulated_paths,
+    weighted_increments, path_statistics, weighted_features, grid_search, unweighted_baseline, comparison_correlations,
 )}
 QUERIES["window_signature_depth1"] = partial(window_signature, depth=1)
 QUERIES["window_signature_depth2"] = partial(window_signature, depth=2)
 QUERIES["linear_clock"] = partial(movement_clock, kind="linear")
-for _name, _make in (
-    ("one_dimensional", experiments.one_dimensional),
-    ("higher_moments", experiments.higher_moments),
-    ("high_dimensional", experiments.high_dimensional),
-    ("advanced", experiments.advanced),
-):
-    for _table in ("configuration", "moments", "summary", "statistical", "signature", "levelwise", "cumulative"):
-        QUERIES[f"{_name}_{_table}"] = partial(_rounded_experiment, _make, _table)
-for _name, _make in theory.CHECKS.items():
-    QUERIES[f"{_name}_theory"] = partial(lambda make, spark, sf: rounded(make(spark)), _make)
-# the fastest of the presets that need deep signatures; 1,000 paths a process, as 10,000 take minutes here
-QUERIES["high_dimensional_d10_depth5_levelwise"] = partial(_rounded_experiment, partial(experiments.high_dimensional, preset="d10_depth5", n_paths=1_000), "levelwise")
-QUERIES["high_dimensional_time_levelwise"] = partial(_rounded_experiment, partial(experiments.high_dimensional, time_augmented=True, n_paths=2_000), "levelwise")
