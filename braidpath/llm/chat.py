@@ -17,6 +17,7 @@ output is range-sorted, so a conversation with a large part of all rows isn't ga
 * null texts count as empty; empty passages and lines link to nothing; very long texts are read whole;
 * rows with a null conv_id or turn are kept, and quote and answer nothing;
 * rows that share conv_id and turn are one message when links are looked for, and each is returned;
+* turns may be of any type with an order, conversations of any type that can be compared;
 * ties go as said above, to the latest source; an empty table gives an empty result;
 * other columns than the four named stay out, whatever their names.
 """
@@ -75,26 +76,46 @@ def _drop_attribution(own: list[str]) -> None:
     del own[at - 1 if broken else at :]
 
 
-def digest(normalised: str) -> bytes:
-    return xxhash.xxh3_128_digest(normalised.encode("utf-8", "surrogatepass"))
+#: Words hash to numbers below a Mersenne prime, and runs of words to the polynomial of these at a fixed place.
+MODULUS = (1 << 127) - 1
+PLACE = int.from_bytes(xxhash.xxh3_128_digest(b"place")) % MODULUS
+
+
+def prefixes(words: list[str]) -> list[int]:
+    """The hash of the first n words, for each n; that of any run follows from two of them."""
+    out = [0]
+    for word in words:
+        out.append((out[-1] * PLACE + int.from_bytes(xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass")))) % MODULUS)
+    return out
+
+
+def digest(words: list[str]) -> bytes:
+    return prefixes(words)[-1].to_bytes(16)
 
 
 def hashes(lines: list[str]) -> list[tuple[int, int, bytes]]:
     """(0, words, hash) of a passage and (1, words, hash) of its lines, once each; empty ones tell nothing."""
     parts = [(0, normalise(" ".join(lines)))] + [(1, n) for n in map(normalise, lines)]
-    return list(dict.fromkeys((k, t.count(" ") + 1, digest(t)) for k, t in parts if t))
+    return list(dict.fromkeys((k, t.count(" ") + 1, digest(t.split(" "))) for k, t in parts if t))
+
 
+def runs(text: str, lengths: list[int], wanted: set[bytes] | None = None) -> set[bytes]:
+    """The hashes of all runs of consecutive lines that have one of the lengths in words; of those, if given, that are ``wanted``.
 
-def runs(text: str, lengths: list[int]) -> set[bytes]:
-    """The hashes of all runs of consecutive lines that have one of the lengths in words."""
+    A run costs two steps whatever its length, so the work is linear in the words, and in the lines for each length.
+    """
     lines = [w for w in (normalise(line).split(" ") for line in text.split("\n")) if w != [""]]
-    words = [w for line in lines for w in line]
+    if not lines:
+        return set()
     ends = np.cumsum([len(line) for line in lines], dtype=np.int64)
-    begins = ends - [len(line) for line in lines] if lines else ends
+    begins, up_to = ends - [len(line) for line in lines], prefixes([w for line in lines for w in line])
     out = set()
     for n in lengths:
-        for at in begins[np.isin(begins + n, ends)]:
-            out.add(digest(" ".join(words[at : at + n])))
+        place = pow(PLACE, n, MODULUS)
+        for at in begins[np.isin(begins + n, ends)].tolist():
+            found = ((up_to[at + n] - up_to[at] * place) % MODULUS).to_bytes(16)
+            if wanted is None or found in wanted:
+                out.add(found)
     return out
 
 
@@ -119,14 +140,25 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
     return map_arrow(messages.select("conv_id", "turn", "role", text_col), run, schema)
 
 
+#: Quotes of a conversation that are looked for by name; in one of more, what isn't quoted is sorted out by the join alone.
+QUOTES_BY_NAME = 4_096
+
+
 def said(rows: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(conv_id, turn, hash): what the messages of conversations with quotes said, in runs of lines as long as a quote."""
-    lengths = quotes.groupBy("conv_id").agg(F.collect_set("n_words").alias("lengths"))
-    facts = stage(rows.groupBy("conv_id").agg(F.count("*").alias("n_rows")).join(lengths, "conv_id"), "chat-lengths")
-    own = hot_lookup(rows.select("conv_id", "turn", "text"), facts, "conv_id", "n_rows").select("conv_id", "turn", "text", "lengths")
+    """(conv_id, turn, hash): what the messages of conversations with quotes said, in runs of lines as long as a quote.
+
+    But for conversations of very many quotes only what some quote has leaves the task.
+    """
+    sizes = stage(quotes.groupBy("conv_id").agg(F.collect_set("n_words").alias("lengths"), F.count("*").alias("n_quotes")), "chat-sizes")
+    few = hot_lookup(quotes.select("conv_id", "hash"), sizes.select("conv_id", "n_quotes", (F.col("n_quotes") <= QUOTES_BY_NAME).alias("few")), "conv_id", "n_quotes").filter("few")
+    names = few.groupBy("conv_id").agg(F.collect_set("hash").alias("wanted"))
+    facts = rows.groupBy("conv_id").agg(F.count("*").alias("n_rows")).join(sizes.drop("n_quotes"), "conv_id").join(names, "conv_id", "left")
+    own = hot_lookup(rows.select("conv_id", "turn", "text"), stage(facts, "chat-lengths"), "conv_id", "n_rows").select("conv_id", "turn", "text", "lengths", "wanted")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [list(runs(text, n)) for text, n in zip(each_text(batch.column(2)), (v.as_py() for v in batch.column(3)))]
+        found = []
+        for text, lengths, wanted in zip(each_text(batch.column(2)), batch.column(3), batch.column(4)):
+            found.append(list(runs(text, lengths.as_py(), set(wanted.as_py()) if wanted.is_valid else None)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["conv_id", "turn", "hashes"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
@@ -140,9 +172,9 @@ def reply_links(rows: DataFrame) -> DataFrame:
     quotes = stage(quotes, "chat-quotes")
     linked = nearest_said(quotes, said(rows, quotes))
     # the least (level, part) first, of its sources the latest
-    best = F.min(F.struct("level", "part", (-F.col("source")).alias("back")))
+    best = F.max(F.struct((-F.col("level")).alias("level"), (-F.col("part")).alias("part"), "source"))
     linked = linked.groupBy("conv_id", "turn").agg(best.alias("best"), F.count_distinct("hash").alias("n_linked"))
-    return linked.select("conv_id", "turn", (-F.col("best.back")).alias("reply_to"), "n_linked")
+    return linked.select("conv_id", "turn", F.col("best.source").alias("reply_to"), "n_linked")
 
 
 def nearest_said(quotes: DataFrame, turns: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -10,42 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Used only in local mode, where the session names no checkpoint folder (tests, a laptop).
-FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
+from braidpath.sources import staging
+from braidpath.sources.staging import FALLBACK_CHECKPOINT_DIR, shared_dir, stage, staged_dir  # noqa: F401
+from braidpath.sources.tables import table  # noqa: F401
 
 #: ASCII white space; words are maximal runs of anything else.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Tables of the catalog that live no longer than the application's staged tables, by application.
+_TEMPORARY: dict[str, set[str]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only local mode may leave it unset."""
-    if at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return FALLBACK_CHECKPOINT_DIR
-
-
-def staged_dir(spark: SparkSession) -> str:
-    """Where this application's staged tables lie."""
-    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{staged_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def temporary_table(spark: SparkSession, name: str) -> None:
+    """Have ``clear_staged`` drop the table; its files should lie in ``staged_dir``."""
+    _TEMPORARY.setdefault(spark.sparkContext.applicationId, set()).add(name)
 
 
 def clear_staged(spark: SparkSession) -> None:
-    """Remove the application's staged tables; results that are still lazy read from them, so write these before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove the application's staged and temporary tables; results that are still lazy read from them, so write these before."""
+    for name in _TEMPORARY.pop(spark.sparkContext.applicationId, ()):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    staging.clear_staged(spark)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -86,6 +71,30 @@ def hot_lookup(rows: DataFrame, facts: DataFrame, key: str, n_rows: str, total:
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(facts.filter(is_hot).select(key)), key, "left_anti").join(facts.filter(~is_hot), key))
 
 
+#: Copies of one row that a task makes at most.
+COPIES_AT_ONCE = 10_000
+
+
+def each_copy(rows: DataFrame, count: str, name: str, most: int) -> DataFrame:
+    """``rows`` as often as ``count`` says, with ``name`` numbering the copies of a row from 0; ``most`` is the largest count.
+
+    The copies of a row that has very many are dealt out in pieces, so that no task makes them all.
+    """
+
+    def numbered(part: DataFrame, first: Column, last: Column) -> DataFrame:
+        return part.withColumn(name, F.explode(F.sequence(first, last)))
+
+    zero, last = F.lit(0).cast("bigint"), F.col(count).cast("bigint") - 1
+    if most <= COPIES_AT_ONCE:
+        return numbered(rows, zero, last)
+    piece, many = fresh("__piece", rows), F.col(count) > COPIES_AT_ONCE
+    # a row a piece, dealt out evenly and, the number of tasks being given, not gathered again for being few
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = rows.filter(many).withColumn(piece, F.explode(F.sequence(zero, F.floor(last / COPIES_AT_ONCE)))).repartition(tasks)
+    pieces = numbered(pieces, F.col(piece) * COPIES_AT_ONCE, F.least(last, (F.col(piece) + 1) * COPIES_AT_ONCE - 1))
+    return numbered(rows.filter(~many), zero, last).unionByName(pieces.drop(piece))
+
+
 def one_row_each(rows: DataFrame, key: Column, stay: DataFrame, n_rows: str, hot_share: int = 1000) -> DataFrame:
     """One of the rows of each key that is in ``stay`` (one row a key: ``key``, and ``n_rows``, how many rows have it).
 

@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidpath.llm.common import hot_lookup, one_row_each, shared_dir, stage
+from braidpath.llm.common import each_copy, hot_lookup, one_row_each, shared_dir, stage, staged_dir, temporary_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,17 +41,23 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """A catalog table (digest, keep_id, batch) in buckets of the digest, at a place in the shared folder.
 
-    The number of buckets holds for the life of the table; a name that the catalog has is attached as it is.
+    The number of buckets holds until ``compact`` changes it; a name that the catalog has is attached as it is. Without a name
+    the index is one of the application's own, which ``clear_staged`` removes.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 32, id_type: str = "bigint"):
         self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
+        if not name:  # of this application alone
+            temporary_table(spark, self.name)
         if not spark.catalog.tableExists(self.name):
-            at = path or f"{shared_dir(spark)}/{self.name}"
-            spark.sql(f"CREATE TABLE `{self.name}` (digest BINARY, keep_id {id_type}, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{at}'")
+            at = path or f"{shared_dir(spark) if name else staged_dir(spark)}/{self.name}"
+            self._create(at, buckets, id_type)
         made = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED `{self.name}`").collect()}
         self.buckets, self.path = int(made["Num Buckets"]), made["Location"]
 
+    def _create(self, at: str, buckets: int, id_type: str) -> None:
+        self.spark.sql(f"CREATE TABLE `{self.name}` (digest BINARY, keep_id {id_type}, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{at}'")
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -63,6 +69,24 @@ class DigestIndex:
         """One file a bucket and call: ``new`` is already dealt out by bucket."""
         new.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).mode("append").saveAsTable(self.name)
 
+    def compact(self, buckets: int | None = None) -> None:
+        """Write the index anew, one sorted file a bucket, in ``buckets`` buckets if given; the old files go when the new ones are there.
+
+        With one file a bucket and ``spark.sql.legacy.bucketedTableScan.outputOrdering`` a join needs no sort of the index.
+        """
+        # read by path: Spark would take a scan of the table as dealt out, and then split its files
+        own, buckets, old = self.spark.read.schema(self.read().schema).parquet(self.path), buckets or self.buckets, self.path
+        id_type = own.schema["keep_id"].dataType.simpleString()
+        at, made = f"{old.rstrip('/')}-{uuid.uuid4().hex}", f"{self.name}_{uuid.uuid4().hex}"
+        own.repartition(buckets, "digest").write.bucketBy(buckets, "digest").sortBy("digest").option("path", at).saveAsTable(made)
+        # both are external tables: dropping them leaves the files
+        self.spark.sql(f"DROP TABLE `{made}`")
+        self.spark.sql(f"DROP TABLE `{self.name}`")
+        self._create(at, buckets, id_type)
+        self.buckets, self.path = buckets, at
+        gone = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+        gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+
 
 def bucket_count(n_rows: int) -> int:
     """Buckets for an index that begins with so many rows: half a million each, and some to spare for growth."""
@@ -113,8 +137,8 @@ def dedup_batch(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     index = index or _own_index(rows)
     admit(rows, index, batch, slices)
     found = hot_lookup(rows, decisions(rows, index, batch), "digest", "n_rows")
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    kept = F.col("own") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    found = each_copy(found, "copies", "copy", rows.agg(F.max("copies")).first()[0] or 0)
+    kept = F.col("own") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)
     return found.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidpath.llm.common import WORD_PATTERN, hot_lookup, stage, sums_before
+from braidpath.llm.common import WORD_PATTERN, each_copy, hot_lookup, stage, sums_before
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -107,7 +107,7 @@ def _stretches(docs: DataFrame, share: float, max_epochs: int, weights, schedule
     facts = facts.join(targets.drop("source", "weight"), "key")
     inside = Window.partitionBy("key", "bucket").orderBy("order_key").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("inner_start", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(facts, ["key", "bucket"])
-    x = x.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    x = each_copy(x, "copies", "copy", rows.agg(F.max("copies")).first()[0] or 0)
     start, goal = F.col("bucket_start") + F.col("inner_start") + F.col("copy") * F.col("size"), F.round("target").cast("long")
     # of each round of the stream: the words of this document before the target is reached
     begins = [start + r * F.col("source_size") for r in range(max_epochs)]

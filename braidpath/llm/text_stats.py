@@ -73,7 +73,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label) for at most ``max_rows`` labelled ids outside the held-out fold, those of least hash.
+    """(doc_id, text, label) for at most ``max_rows`` labelled ids outside the held-out fold, those of least hash: all rows of these.
 
     The ids have a fixed bound, so they are broadcast to the documents and no text is moved.
     """

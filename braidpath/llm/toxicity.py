@@ -17,7 +17,7 @@ What is defined for odd input:
 * null texts, empty ones and those without a letter have no features and get the severity of the thresholds alone;
 * very long texts are read whole; rows are scored one by one, so repeated rows get equal results, and null ids are kept;
 * of equally likely grades the lower one is given; of labels that contradict each other for one id, toxic counts; of
-  several texts under one labelled id each is learned from;
+  several texts under one labelled id one is learned from, that of least hash, so rows are bounded as ids are;
 * without labels of both kinds, or an empty table, all severities are 0;
 * other columns are not looked at, whatever their names.
 """
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest as xxh32
 
 from braidpath.llm.common import each_text, map_arrow
@@ -204,7 +205,10 @@ def evidence(texts: Sparse, spread: Sparse, toxic: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = SAMPLE_ROWS, n_grades: int = GRADES) -> OrdinalModel:
     """Learn from a 0/1 label. The driver gets the word counts of the sample, no texts."""
-    found = _counted(labelled_sample(docs, labels, label, max_rows))
+    sample = labelled_sample(docs, labels, label, max_rows)
+    # an id may have any number of rows
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("label").alias("label"))
+    found = _counted(sample)
     toxic = found["label"].to_numpy() > 0
     if not toxic.any() or toxic.all():
         return OrdinalModel(np.zeros(0), tuple([50.0] * (n_grades - 1)))

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from braidpath.llm import chat
 
@@ -143,3 +144,37 @@ def test_equals_brute_force(spark):
         while (r["conv_id"], root) in want:
             root, depth = want[r["conv_id"], root][0], depth + 1
         assert (r["root_turn"], r["depth"]) == (root, depth)
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "double"])
+def test_turns_of_other_types(spark, kind):
+    """Whatever has an order may number the turns: what is said later answers, and the latest source counts."""
+    texts = ["alpha", "beta", "alpha", "> alpha\nyes", "> beta\nno", "> gamma\nodd"]
+    rows = spark.createDataFrame([(f"c{c}", k, "u", t) for c in (1, 2) for k, t in enumerate(texts)], "conv_id string, k int, role string, text string")
+    turn = {"string": "char(97 + k)", "date": "date_add(date'2020-01-01', k)", "double": "k / 10D"}[kind]
+    got = chat.reply_order(rows.selectExpr("conv_id", f"{turn} as turn", "role", "text")).collect()
+    turns = sorted({r["turn"] for r in got})
+    by = {(r["conv_id"], turns.index(r["turn"])): r["reply_to"] and turns.index(r["reply_to"]) for r in got}
+    assert by == {(f"c{c}", k): {3: 2, 4: 1}.get(k) for c in (1, 2) for k in range(6)}
+
+
+def test_only_what_is_quoted_is_said(spark, monkeypatch):
+    """Many lines and many lengths of quotes: hashes leave a task for what some quote has, and no fewer without the names."""
+    lines = [f"line {'x ' * k}end" for k in range(20)]
+    rows = [(1, 0, "u", "\n".join(lines))] + [(1, k, "u", f"> {lines[k]}\nanswer {k}") for k in range(1, 20)]
+    df = chat.parsed(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))
+    quotes = df.filter("n_quotes > 0").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
+    assert chat.said(df, quotes).filter("turn = 0").count() == 19
+    links = sorted(map(tuple, chat.reply_links(df).collect()))
+    monkeypatch.setattr(chat, "QUOTES_BY_NAME", 3)
+    assert chat.said(df, quotes).filter("turn = 0").count() > 19
+    assert sorted(map(tuple, chat.reply_links(df).collect())) == links and len(links) == 19
+
+
+def test_hash_of_a_run_is_that_of_its_words():
+    words = "a b c d e f a b c".split()
+    up_to = chat.prefixes(words)
+    for a in range(9):
+        for b in range(a, 10):
+            assert (up_to[b] - up_to[a] * pow(chat.PLACE, b - a, chat.MODULUS)) % chat.MODULUS == chat.prefixes(words[a:b])[-1]
+    assert len({chat.digest(words[a:b]) for a in range(9) for b in range(a + 1, 10)}) == len({tuple(words[a:b]) for a in range(9) for b in range(a + 1, 10)})

@@ -1,10 +1,16 @@
+import glob
 import hashlib
+import os
+import uuid
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from braidpath.llm import exact_dedup
+from braidpath.llm import common, exact_dedup
 from braidpath.llm.queries import QUERIES
+from braidpath.sources import staging
 from tests.conftest import DATA
 from tests.llm.conftest import ROWS
 
@@ -94,3 +100,61 @@ def test_hot_group(spark, make_docs):
     got = exact_dedup.dedup_batch(make_docs(rows), exact_dedup.DigestIndex(spark, buckets=4)).collect()
     assert len(got) == 3000 and sum(r["kept"] for r in got) == 1001
     assert {r["keep_id"] for r in got if r["group_size"] == 2000} == {1999}
+
+
+def test_copies_of_one_row_come_from_many_tasks(spark, monkeypatch):
+    """Copies are made in pieces, wherever these land; each is one row, and one of them stays."""
+    n = 300_000
+    df = spark.range(n).selectExpr("7L as doc_id", "'Same' as text").unionByName(spark.createDataFrame([(1, "same"), (2, "other")], "doc_id bigint, text string"))
+    got = exact_dedup.dedup_batch(df)
+    tasks = got.filter("doc_id = 7").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == n and len(tasks) > 2 and max(r["count"] for r in tasks) < n / 2
+    assert got.filter("kept").select("doc_id").distinct().count() == got.filter("kept").count() == 2
+    monkeypatch.setattr(common, "COPIES_AT_ONCE", 3)
+    few = spark.createDataFrame([(k, c, "x") for k, c in enumerate([1, 2, 3, 4, 6, 7, 50])], "k int, n bigint, __piece string").repartition(2)
+    made = common.each_copy(few, "n", "copy", 50)
+    assert sorted((r["k"], r["copy"]) for r in made.collect()) == [(k, i) for k, c in enumerate([1, 2, 3, 4, 6, 7, 50]) for i in range(c)]
+    assert made.columns == ["k", "n", "__piece", "copy"]
+
+
+def test_own_indexes_go_with_the_staged_tables(spark, make_docs, monkeypatch):
+    """A named index stays; one that an application made for itself leaves neither a table nor files."""
+    folder = f"{common.staged_dir(spark)}-own"
+    monkeypatch.setattr(exact_dedup, "staged_dir", lambda spark: folder)
+    monkeypatch.setattr(staging, "staged_dir", lambda spark: folder)
+    monkeypatch.setattr(common, "_TEMPORARY", {})
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.drop_copies(make_docs([(1, "a", None, None, None), (2, "A", None, None, None)])).count() == 1
+    assert len({t.name for t in spark.catalog.listTables()} - before) == 1 and os.path.isdir(folder)
+    common.clear_staged(spark)
+    assert {t.name for t in spark.catalog.listTables()} == before and not os.path.exists(folder)
+
+
+def test_compaction(spark, make_docs):
+    """One sorted file a bucket, with as many or other buckets; decisions stay, and a join then sorts no index."""
+    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", f"/tmp/braidpath-index-{uuid.uuid4().hex}", 4)
+    row = lambda i, t: (i, t, None, None, None)
+    for k in range(3):
+        exact_dedup.dedup_batch(make_docs([row(100 * k + j, f"text {10 * k + j}") for j in range(30)]), index, batch=str(k))
+    files = lambda: sorted(glob.glob(f"{index.path.removeprefix('file:')}/*.parquet"))
+    held, old = sorted(map(tuple, index.read().collect())), index.path.removeprefix("file:")
+    assert os.path.isdir(old)
+    assert len(files()) > 4
+    for buckets in (None, 8):
+        index.compact(buckets)
+        assert len(files()) == (buckets or 4) and sorted(map(tuple, index.read().collect())) == held
+        for f in files():
+            own = [bytes(v) for v in pq.read_table(f)["digest"].to_pylist()]
+            assert own == sorted(own)
+    assert not os.path.exists(old)
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    try:
+        again = exact_dedup.DigestIndex(spark, index.name)
+        assert again.buckets == 8
+        plan = again.new(again.read().limit(3))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [digest") == 1
+    finally:
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    late = {r["doc_id"]: r["kept"] for r in exact_dedup.dedup_batch(make_docs([row(900, "TEXT 5"), row(901, "text 99")]), again).collect()}
+    assert late == {900: False, 901: True}
+    spark.sql(f"DROP TABLE {index.name}")

@@ -111,3 +111,57 @@ def test_sparse_products():
     np.testing.assert_allclose(m.holding(t), ones.T @ t)
     np.testing.assert_allclose(toxicity.Sparse(sizes, cols, None, 9).times(w), ones @ w)
     assert not toxicity.Sparse(np.zeros(2, int), cols[:0], None, 9).times(w).any()
+
+
+def test_sample_is_bounded_in_rows(spark, monkeypatch):
+    """One labelled id may have any number of rows: one of them is learned from, the same whatever the order."""
+    rows = [(k, f"word{k} and more") for k in range(20)] + [(3, f"copy {j}") for j in range(5_000)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id bigint, toxic int")
+    seen, counted = [], toxicity._counted
+    monkeypatch.setattr(toxicity, "_counted", lambda sample: seen.append(counted(sample)) or seen[-1])
+    for parts in (1, 7):
+        toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), labels)
+    assert seen[0].num_rows <= 20 and seen[0].equals(seen[1])
+
+
+def test_derived_grades_equal_brute_force():
+    """Marked words and cuts from the definition, text by text."""
+    rng = np.random.default_rng(12)
+    n_words, marked = 40, set(range(5))
+    toxic = rng.random(300) < 0.4
+    rows = []
+    for t in toxic:
+        own = {int(w): int(rng.integers(1, 4)) for w in rng.choice(np.arange(5, n_words), 8, replace=False)}
+        if t:
+            own |= {int(w): int(rng.integers(1, 5)) for w in rng.choice(5, rng.integers(1, 5), replace=False)}
+        rows.append(own)
+    sizes = np.array([len(r) for r in rows])
+    cols = np.array([w for r in rows for w in r], np.int32)
+    values = np.log1p(np.array([c for r in rows for c in r.values()], np.float32))
+    got = toxicity.derived_grades(toxicity.Sparse(sizes, cols, values, n_words), toxic, 4)
+
+    def is_marked(w):
+        a, b = (sum(w in r for r, t in zip(rows, toxic) if t == kind) for kind in (True, False))
+        odds = np.log((a + 0.5) / (toxic.sum() - a + 0.5)) - np.log((b + 0.5) / ((~toxic).sum() - b + 0.5))
+        return odds > toxicity.MARKED_ODDS and odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > toxicity.MARKED_Z
+
+    assert {w for w in range(n_words) if is_marked(w)} == marked
+    hits = [sum(c for w, c in r.items() if w in marked) for r in rows]
+    cuts = sorted(set(np.quantile([h for h, t in zip(hits, toxic) if t], [1 / 3, 2 / 3]).tolist()))
+    assert got.tolist() == [1 + sum(c < h for c in cuts) if t else 0 for h, t in zip(hits, toxic)]
+    assert set(got) == {0, 1, 2, 3}
+
+
+def test_evidence_equals_brute_force():
+    rng = np.random.default_rng(13)
+    toxic = rng.random(120) < 0.5
+    words = [set(rng.choice(30, 6, replace=False).tolist()) | ({0} if t else set()) for t in toxic]
+    features = [sorted(set(rng.choice(12, 3, replace=False).tolist())) for _ in range(30)]
+    texts = toxicity.Sparse(np.array([len(w) for w in words]), np.array([k for w in words for k in sorted(w)], np.int32), np.ones(sum(map(len, words))), 30)
+    spread = toxicity.Sparse(np.array([3] * 30), np.array([f for own in features for f in own], np.int32), None, 12)
+    got = toxicity.evidence(texts, spread, toxic)
+    for f in range(12):
+        # a document counts once for each of its words that has the feature
+        a, b = (sum(f in features[w] for own, t in zip(words, toxic) if t == kind for w in own) for kind in (True, False))
+        z = (np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        assert np.isclose(got[f], np.sign(z) * max(abs(z) - toxicity.SHRINK, 0) / 5)
