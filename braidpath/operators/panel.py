@@ -152,9 +152,19 @@ def packed_windows(returns: DataFrame, channels: int, window: int = WINDOW) -> D
     return rows.select("series", (F.col("idx") - (window - 1)).alias("window_idx"), F.col("date").alias("end_date"), "steps")
 
 
+def _not_whole(channels: int, window: int) -> Column:
+    return (F.size("steps") != window) | F.exists("steps", lambda s: (F.size(s) != channels) | F.exists(s, lambda x: x.isNull() | F.isnan(x)))
+
+
+def whole_windows(packed: DataFrame, channels: int, window: int = WINDOW) -> DataFrame:
+    """``packed``, in which a window that isn't of ``window`` rows of ``channels`` numbers is an error, raised where its row is read."""
+    wrong = F.raise_error(F.concat(F.lit("a window is not of so many rows of numbers: "), F.col("window_idx").cast("string")))
+    return packed.withColumn("steps", F.when(_not_whole(channels, window), wrong.cast(packed.schema["steps"].dataType)).otherwise(F.col("steps")))
+
+
 def check_windows(packed: DataFrame, channels: int, window: int = WINDOW, least: int | None = None) -> DataFrame:
     """``packed``, if every window has ``window`` rows of ``channels`` numbers and each series at least ``least`` windows."""
-    wrong = (F.size("steps") != window) | F.exists("steps", lambda s: (F.size(s) != channels) | F.exists(s, lambda x: x.isNull() | F.isnan(x)))
+    wrong = _not_whole(channels, window)
     found = packed.groupBy("series").agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"))
     found = found.agg(F.min("n"), F.sum("wrong")).first()
     if found[0] is None or found[0] < (least or 1):

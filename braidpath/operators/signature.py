@@ -139,6 +139,13 @@ def partial_rows(process: str, own: Moments) -> Iterator[dict]:
         yield {"process": process, "chunk": chunk, "n": own.n, "mean": own.mean[at : at + CHUNK].tolist(), "m2": own.m2[at : at + CHUNK].tolist()}
 
 
+def _merged(group: pd.DataFrame) -> Moments:
+    own = Moments()
+    for r in group.itertuples():
+        own.merge(r.n, np.asarray(r.mean), np.asarray(r.m2))
+    return own
+
+
 def merge_partials(partials: DataFrame, channels: int, depth: int) -> DataFrame:
     """(process, coord, level, n_paths, mean, std): a task has sent one row a process and CHUNK coordinates.
 
@@ -146,9 +153,7 @@ def merge_partials(partials: DataFrame, channels: int, depth: int) -> DataFrame:
     """
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        own = Moments()
-        for r in group.itertuples():
-            own.merge(r.n, np.asarray(r.mean), np.asarray(r.m2))
+        own = _merged(group)
         at = int(group["chunk"].iloc[0]) * CHUNK
         return pd.DataFrame({"process": group["process"].iloc[0], "coord": np.arange(at, at + len(own.mean)), "n_paths": own.n, "mean": own.mean, "std": np.sqrt(np.maximum(own.m2 / own.n, 0.0))})
 
@@ -156,8 +161,18 @@ def merge_partials(partials: DataFrame, channels: int, depth: int) -> DataFrame:
     return out.select("process", "coord", level_of(F.col("coord"), channels, depth).alias("level"), "n_paths", "mean", "std")
 
 
-def expected_signature(paths: DataFrame, channels: int, depth: int, points: bool = False) -> DataFrame:
-    """(process, coord, level, n_paths, mean, std) from (process, steps); no signature leaves its task."""
+def fewer_partials(partials: DataFrame) -> DataFrame:
+    """The same as one row a process and chunk."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        own = _merged(group)
+        return pd.DataFrame({"process": group["process"].iloc[:1], "chunk": group["chunk"].iloc[:1], "n": [own.n], "mean": [own.mean.tolist()], "m2": [own.m2.tolist()]})
+
+    return partials.groupBy("process", "chunk").applyInPandas(merge, PARTIAL)
+
+
+def partial_signatures(paths: DataFrame, channels: int, depth: int, points: bool = False) -> DataFrame:
+    """PARTIAL rows from (process, steps): what each task saw of each process; no signature leaves its task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, Moments] = {}
@@ -174,7 +189,12 @@ def expected_signature(paths: DataFrame, channels: int, depth: int, points: bool
         if found:
             yield pa.RecordBatch.from_pylist(found, schema=_partial_schema())
 
-    return merge_partials(paths.select("process", "steps").mapInArrow(run, PARTIAL), channels, depth)
+    return paths.select("process", "steps").mapInArrow(run, PARTIAL)
+
+
+def expected_signature(paths: DataFrame, channels: int, depth: int, points: bool = False) -> DataFrame:
+    """(process, coord, level, n_paths, mean, std) from (process, steps)."""
+    return merge_partials(partial_signatures(paths, channels, depth, points), channels, depth)
 
 
 def _partial_schema() -> pa.Schema:

@@ -46,6 +46,18 @@ def scores_of(table: DataFrame, name: str, lookback: int = scoring.LOOKBACK) ->
     return scoring.trailing_score(scoring.standardise(table, columns), columns, name, lookback)
 
 
+def checked_scores(prices: DataFrame, tickers: Sequence[str], name: str, window: int = panel.WINDOW, depth: int = DEPTH, lookback: int = scoring.LOOKBACK) -> DataFrame:
+    """Trailing scores of the signature from prices, or an error: a ticker without prices, a price that isn't positive, a
+    repeated date, a window that isn't whole, a series with too few windows for a score.
+
+    What a row shows by itself is checked where the row is made; what takes a count, by aggregations before.
+    """
+    whole = panel.check_unique_dates(panel.clean(panel.align(panel.require_tickers(prices, tickers), tickers), tickers))
+    packed = panel.whole_windows(panel.packed_windows(panel.log_returns(whole, tickers), len(tickers), window), len(tickers), window)
+    table = features.spread(signature.signatures(packed, len(tickers), depth), "signature", signature_length(len(tickers), depth))
+    return scores_of(scoring.require_scored(table, lookback), name, lookback)
+
+
 def score_table(returns: DataFrame, channels: int, window: int = panel.WINDOW, lookback: int = scoring.LOOKBACK) -> DataFrame:
     """Trailing scores of the signature and three baselines, and the signature's consecutive distance, by window.
 

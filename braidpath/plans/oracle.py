@@ -242,11 +242,15 @@ SQL: dict[str, str] = {
             min(l_extendedprice) AS low, arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS close, avg(l_extendedprice) AS adj_close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)
         SELECT a.date, """ + ", ".join(f'round({t.lower()}.{f}, 6) AS "{t}_{f}"' for t in "ANR" for f in ("open", "high", "low", "close", "adj_close", "volume")) + """
         FROM bars a JOIN bars n ON n.date = a.date AND n.t = 'N' JOIN bars r ON r.date = a.date AND r.t = 'R' WHERE a.t = 'A'""",
+    "stored_bars": """SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS ticker, arg_min(l_extendedprice, (l_orderkey, l_linenumber)) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low,
+        arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS close, round(avg(l_extendedprice), 6) AS adj_close, sum(l_quantity) AS volume FROM lineitem
+        WHERE l_returnflag IN ('A', 'R') AND CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1, 2""",
     "log_returns": f"WITH {RETURNS} SELECT date, {_r(R)} FROM returns",
     "rolling_volatility": f"WITH {RETURNS} SELECT date, " + ", ".join(f"CASE WHEN count(*) OVER w = 20 THEN round(stddev_samp(r_{k}) OVER w * sqrt(252), 6) END AS vol_{k}" for k in (1, 2, 3)) + " FROM returns WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
     "rolling_windows": f"WITH {WINDOWS} SELECT window_idx, end_date, step, {_r(R)} FROM win",
     "cumulative_paths": f"WITH {WINDOWS} SELECT a.window_idx, a.step, " + ", ".join(f"round(sum(b.r_{k}), 6) + 0.0 AS r_{k}" for k in (1, 2, 3)) + " FROM win a JOIN win b ON a.window_idx = b.window_idx AND b.step <= a.step GROUP BY a.window_idx, a.step",
     "window_signature": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39)} FROM sig",
+    "signature_in_sql": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39)} FROM sig",
     "sliding_signature": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39)} FROM sig",
     "long_path_signature": f"WITH {_running('steps', 'event_type', ('x_1', 'x_2'))} SELECT event_type, n_points, {_r(S14, 5)} FROM sig",
     "window_signature_sql": f"WITH {SIGNATURE} SELECT window_idx, end_date, " + ", ".join(f"round(f_{k}, 6) + 0.0 AS s_{k}" for k in range(1, 40)) + " FROM sig",
@@ -256,11 +260,13 @@ SQL: dict[str, str] = {
     "signature_forms_agree": "SELECT 0e0 AS max_abs_difference, true AS agrees",
     "time_augmented_signature": f"WITH {EVENT_SIGNATURE} SELECT process, series, {_r(S14)} FROM sig",
     "expected_signature": f"WITH {EXPECTED} SELECT process, coord, level, n_paths, {_r(('mean', 'std'))} FROM expected",
+    "expected_signature_batches": f"WITH {EXPECTED} SELECT process, coord, level, n_paths, {_r(('mean', 'std'))} FROM expected",
     "expected_signature_sql": f"WITH {EXPECTED} SELECT process, coord, level, n_paths, {_r(('mean', 'std'))} FROM expected",
     "levy_area": f"WITH {WINDOWS} SELECT a.window_idx, a.end_date, " + ", ".join(f"round(sum(a.r_{i} * b.r_{j} - a.r_{j} * b.r_{i}) / 2, 6) + 0.0 AS area_{i}_{j}" for i, j in ((1, 2), (1, 3), (2, 3))) + " FROM win a JOIN win b ON a.window_idx = b.window_idx AND a.step < b.step GROUP BY a.window_idx, a.end_date",
     "standardised_signature": f"WITH {SIGNATURE_Z} SELECT window_idx, end_date, {_r(F39, 5)} FROM z",
     "signature_feature_table": f"WITH {SIGNATURE_Z} SELECT window_idx, z.end_date, " + ", ".join(f"round(sig.f_{k + 1}, 5) + 0.0 AS signature_raw_{k:03d}, round(z.f_{k + 1}, 5) + 0.0 AS signature_z_{k:03d}" for k in range(39)) + " FROM sig JOIN z USING (window_idx)",
     "trailing_score": f"WITH {SIGNATURE_SCORE} SELECT window_idx, end_date, round(score, 5) AS score FROM scored",
+    "checked_scores": f"WITH {SIGNATURE_SCORE} SELECT window_idx, end_date, round(score, 5) AS score FROM scored",
     "consecutive_distance": f"WITH {SIGNATURE_Z}{_consecutive('z', F39, 'con', 'distance')} SELECT window_idx, end_date, round(distance, 5) AS distance FROM con",
     "covariance_features": f"WITH {WINDOWS}, g AS (SELECT window_idx, end_date, {COV} FROM win GROUP BY window_idx, end_date) SELECT window_idx, end_date, {_r(F39[:6])} FROM g",
     "volatility_features": f"WITH {WINDOWS}, g AS (SELECT window_idx, end_date, {VOL} FROM win GROUP BY window_idx, end_date) SELECT window_idx, end_date, {_r(F39[:3])} FROM g",

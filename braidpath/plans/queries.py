@@ -8,10 +8,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidpath.functions import sql
 from braidpath.functions.vectors import signature_length, truncate
 from braidpath.operators import distance, features, long_paths, moments, panel, scoring, signature, weighted
 from braidpath.plans import market
 from braidpath.plans.market import METRICS, PERIODS, TRAILING
+from braidpath.sources import bars
+from braidpath.sources.expected import ExpectedSignatures
+from braidpath.sources.staging import stage, staged_path
 from braidpath.sources.tables import TICKERS, daily_bars, event_series, labelled_vectors, order_prices, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +79,13 @@ def align_fields(spark, sf):
     return rounded(panel.align_fields(daily_bars(spark, sf), TICKERS).drop("series"))
 
 
+def stored_bars(spark, sf):
+    """Four years of two tickers' bars from a table of all."""
+    path = staged_path(spark, "bars")
+    bars.write_bars(daily_bars(spark, sf), path)
+    return rounded(bars.require_bars(bars.read_bars(spark, path, ["A", "R"], "1996-01-01", "1999-12-31"), ["A", "R"]))
+
+
 def log_returns(spark, sf):
     return rounded(_returns(spark, sf).drop("series", "idx"))
 
@@ -108,6 +119,14 @@ def long_path_signature(spark, sf):
     return rounded(features.spread(found, "signature", signature_length(2, 3), "s_"), 5)
 
 
+def signature_in_sql(spark, sf):
+    """Signatures of windows asked for in SQL text."""
+    sql.register(spark)
+    asked = """SELECT window_idx, end_date, signature FROM path_signature(TABLE({windows}) PARTITION BY (series, window_idx, end_date) ORDER BY step,
+        channels => 'r_1, r_2, r_3', depth => 3, keys => 'window_idx, end_date')"""
+    return rounded(features.spread(spark.sql(asked, windows=_windows(spark, sf)), "signature", signature_length(D, 3)))
+
+
 def window_signature_sql(spark, sf):
     rows = signature.signature_sql(_windows(spark, sf), [f"r_{k}" for k in range(1, D + 1)], 3, ["series", "window_idx", "end_date"])
     return rounded(rows.drop("series"))
@@ -138,6 +157,16 @@ def expected_signature(spark, sf):
     return rounded(signature.expected_signature(paths, 2, 3))
 
 
+def expected_signature_batches(spark, sf):
+    """The same from a table of partial states: users enter in three batches, one of them twice."""
+    steps = _event_steps(spark, sf).withColumn("batch", F.pmod(F.floor(F.col("series") / 3), F.lit(3)))
+    paths = stage(signature.pack(steps, ["x_1", "x_2"], ["batch", "process", "series"]), "event-paths")
+    kept = ExpectedSignatures(spark, staged_path(spark, "expected"), 2, 3)
+    for batch in (0, 1, 2, 1):
+        kept.add(paths.filter(F.col("batch") == batch), f"users_{batch}")
+    return rounded(kept.read())
+
+
 def expected_signature_sql(spark, sf):
     rows = signature.signature_sql(_event_steps(spark, sf), ["x_1", "x_2"], 3, ["process", "series"])
     return rounded(signature.expected_signature_sql(rows, 2, 3))
@@ -165,6 +194,11 @@ def trailing_score(spark, sf):
     return rounded(market.scores_of(market.signature_features(_returns(spark, sf), D), "score").drop("series"), 5)
 
 
+def checked_scores(spark, sf):
+    """The same with every guard on: tickers, repeated dates, complete windows, enough of them."""
+    return rounded(market.checked_scores(_prices(spark, sf), TICKERS, "score").drop("series"), 5)
+
+
 def consecutive_distance(spark, sf):
     _, z = _signature_z(spark, sf)
     return rounded(scoring.consecutive_distance(z, market.columns_of(z)).drop("series"), 5)
@@ -309,9 +343,9 @@ def comparison_correlations(spark, sf):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    align_panel, align_fields, price_profile, repeated_dates, log_returns, rolling_volatility, rolling_windows, cumulative_paths,
-    window_signature, sliding_signature, long_path_signature, window_signature_sql, signature_forms_agree, signature_prefix, time_augmented_signature,
-    expected_signature, expected_signature_sql, levy_area, standardised_signature, signature_feature_table, trailing_score, consecutive_distance,
+    align_panel, align_fields, stored_bars, price_profile, repeated_dates, log_returns, rolling_volatility, rolling_windows, cumulative_paths,
+    window_signature, sliding_signature, long_path_signature, signature_in_sql, window_signature_sql, signature_forms_agree, signature_prefix, time_augmented_signature,
+    expected_signature, expected_signature_batches, expected_signature_sql, levy_area, standardised_signature, signature_feature_table, trailing_score, checked_scores, consecutive_distance,
     covariance_features, volatility_features, flat_returns, score_table, threshold_q95, episodes, stress_periods, order_periods, top_dates,
     metric_correlations, zscored_series, sample_moments, sample_covariances, mean_covariance, terminal_increment_summary,
     statistical_distances, vector_distances, signature_distances, levelwise_distances, cumulative_depth_distance, movement_clock,

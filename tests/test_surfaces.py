@@ -1,0 +1,129 @@
+"""Kept expected signatures, signatures in SQL text, stored bars, guards in the plan."""
+
+import datetime as dt
+import glob
+import random
+
+import numpy as np
+import pytest
+
+from braidpath.functions import chen, sql
+from braidpath.operators import panel, signature
+from braidpath.plans import market
+from braidpath.sources import bars
+from braidpath.sources.expected import ExpectedSignatures
+from tests.test_panel import DAY
+
+
+def paths_of(spark, seed, n=40):
+    rng = np.random.default_rng(seed)
+    return spark.createDataFrame([("AB"[k % 2], rng.normal(size=(rng.integers(1, 9), 2)).tolist()) for k in range(n)], "process string, steps array<array<double>>").repartition(3)
+
+
+def table_of(df):
+    return {(r["process"], r["coord"]): (r["n_paths"], r["mean"], r["std"]) for r in df.collect()}
+
+
+def test_batches_merge_to_one_pass(spark, tmp_path):
+    """In any order, with a batch that ran twice and one that was corrected, and over processes that a batch lacks."""
+    batches = {f"b{k}": paths_of(spark, k, 10 + 7 * k) for k in range(3)}
+    only_a = paths_of(spark, 9).filter("process = 'A'")
+    kept = ExpectedSignatures(spark, str(tmp_path / "kept"), 2, 3)
+    kept.add(paths_of(spark, 77), "b0")
+    for name in ("b2", "b1", "b0", "b1"):
+        kept.add(batches[name], name)
+    kept.add(only_a, "more")
+    whole = batches["b0"].unionByName(batches["b1"]).unionByName(batches["b2"]).unionByName(only_a)
+    want, got = table_of(signature.expected_signature(whole, 2, 3)), table_of(kept.read())
+    assert got.keys() == want.keys()
+    for key, own in want.items():
+        assert got[key][0] == own[0]
+        np.testing.assert_allclose(got[key][1:], own[1:], rtol=1e-9, atol=1e-12)
+    assert table_of(kept.read(["b1"])).keys() == want.keys() and {n for n, _, _ in table_of(kept.read(["b1"])).values()} == {9, 8}
+    # one row a batch, process and chunk; another shape doesn't meet these
+    assert kept.states().count() == 3 * 2 + 1
+    ExpectedSignatures(spark, str(tmp_path / "kept"), 2, 2).add(only_a, "more")
+    assert table_of(kept.read()) == got
+    kept.add(only_a.limit(0), "more")
+    assert table_of(kept.read())["A", 0][0] == want["A", 0][0] - 20
+    for name in ("", "a/b", "x=1", "a b"):
+        with pytest.raises(ValueError):
+            kept.add(only_a, name)
+
+
+def test_signature_in_sql(spark):
+    """Increments or points, long paths, several keys, against the kernel."""
+    sql.register(spark)
+    rng = np.random.default_rng(2)
+    walks = {("a", 1): rng.normal(size=(2_500, 2)) / 10, ("a", 2): rng.normal(size=(1, 2)), ("b", 1): rng.normal(size=(30, 2))}
+    rows = [(*k, i, float(x), float(y)) for k, w in walks.items() for i, (x, y) in enumerate(w)]
+    random.Random(0).shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, t int, i int, x double, y double")
+    ask = "SELECT * FROM path_signature(TABLE({df}) PARTITION BY (s, t) ORDER BY i, channels => 'x, y', depth => 3, keys => 't, s'"
+    got = spark.sql(ask + ")", df=df)
+    assert got.columns == ["t", "s", "n_rows", "signature"]
+    found = {(r["s"], r["t"]): r for r in got.collect()}
+    points = {(r["s"], r["t"]): r for r in spark.sql(ask + ", points => true)", df=df).collect()}
+    assert found.keys() == points.keys() == walks.keys()
+    for key, w in walks.items():
+        np.testing.assert_allclose(found[key]["signature"], chen.signatures(w[None], 3)[0], rtol=1e-7, atol=1e-7)
+        np.testing.assert_allclose(points[key]["signature"], chen.signatures(np.diff(w, axis=0)[None], 3)[0], rtol=1e-7, atol=1e-7)
+        assert found[key]["n_rows"] == len(w)
+    assert spark.sql(ask + ")", df=df.limit(0)).count() == 0
+    for wrong in ("channels => 'x, z', depth => 3", "channels => 'x', depth => 0", "channels => '', depth => 2", "channels => 'x', depth => 2, keys => 'u'"):
+        with pytest.raises(Exception, match="no columns|has channels"):
+            spark.sql("SELECT * FROM path_signature(TABLE({df}) PARTITION BY s ORDER BY i, " + wrong + ")", df=df)
+
+
+@pytest.fixture(scope="module")
+def some_bars(spark):
+    rows = [(DAY + dt.timedelta(k), t, 1.0, 2.0, 0.5, 1.5 + k, 1.5, 100.0) for t in ("A", "B.X", "C D") for k in range(0, 900, 3)]
+    return spark.createDataFrame(rows, "date date, ticker string, open double, high double, low double, close double, adj_close double, volume double")
+
+
+def test_stored_bars(spark, some_bars, tmp_path):
+    """Only the asked tickers' folders are read, and dates reach the scan."""
+    path = str(tmp_path / "bars")
+    bars.write_bars(some_bars, path)
+    start, end = DAY + dt.timedelta(30), DAY + dt.timedelta(60)
+    got = bars.read_bars(spark, path, ["A", "C D"], start, str(end))
+    want = some_bars.filter("ticker <> 'B.X'").filter(f"date between '{start}' and '{end}'")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [ticker" in plan and "GreaterThanOrEqual(date" in plan and "LessThanOrEqual(date" in plan
+    assert bars.read_bars(spark, path).count() == some_bars.count()
+    assert bars.require_bars(got, ["A"]) is got
+    with pytest.raises(ValueError):
+        bars.require_bars(got, ["A", "B.X"])
+
+
+def test_downloads(spark, some_bars, tmp_path):
+    """One file a ticker: others aren't opened, even broken ones."""
+    for t in ("A", "B.X", "C D"):
+        own = [tuple(r) for r in some_bars.filter(f"ticker = '{t}'").orderBy("date").collect()]
+        lines = ["date,open,high,low,close,adj_close,volume"] + [",".join(map(str, (r[0], *r[2:]))) for r in own]
+        (tmp_path / f"{t}.csv").write_text("\n".join(lines))
+    (tmp_path / "broken.csv").write_bytes(b"\x00\xff" * 100)
+    got = bars.read_downloads(spark, str(tmp_path), ["A", "C D"], start="2020-02-01")
+    want = some_bars.filter("ticker <> 'B.X' and date >= '2020-02-01'")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert "GreaterThanOrEqual(date" in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        bars.read_downloads(spark, str(tmp_path), [])
+    with pytest.raises(Exception):
+        bars.read_downloads(spark, str(tmp_path), ["gone"]).count()
+    assert len(glob.glob(f"{tmp_path}/*.csv")) == 4
+
+
+def test_guards_in_the_plan(spark):
+    prices = [("m", DAY + dt.timedelta(k), t, 10.0 + k % 7) for k in range(100) for t in "AB"]
+    frame = lambda rows: spark.createDataFrame(rows, "series string, date date, ticker string, price double")
+    assert market.checked_scores(frame(prices), "AB", "score").filter("score is not null").count() == 100 - 1 - 19 - 60
+    for wrong in (prices[:150], [p for p in prices if p[2] == "A"], [(*p[:3], -1.0 if p[1] == DAY else p[3]) for p in prices]):
+        with pytest.raises(Exception):
+            market.checked_scores(frame(wrong), "AB", "score").count()
+    packed = spark.createDataFrame([("m", 0, [[1.0, 2.0], [3.0, None]]), ("m", 1, [[1.0, 2.0], [3.0, 4.0]])], "series string, window_idx bigint, steps array<array<double>>")
+    assert panel.whole_windows(packed.filter("window_idx = 1"), 2, 2).collect()[0]["steps"] == [[1.0, 2.0], [3.0, 4.0]]
+    for channels, window, rows in ((2, 2, packed), (2, 3, packed.filter("window_idx = 1")), (1, 2, packed.filter("window_idx = 1"))):
+        with pytest.raises(Exception, match="not of so many rows"):
+            panel.whole_windows(rows, channels, window).collect()
