@@ -205,8 +205,8 @@ FROM high h JOIN best b USING (run) GROUP BY run"""
 
 
 LONG_STEPS = """
-points AS (SELECT event_type, value / 97.3 AS x_1, (epoch_us(ts) - 1704067200000000) / 86400e6 AS x_2, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
-steps AS (SELECT event_type, step, x_1 - lag(x_1) OVER w AS x_1, x_2 - lag(x_2) OVER w AS x_2 FROM points WINDOW w AS (PARTITION BY event_type ORDER BY step))"""
+points AS (SELECT {0}, value / 97.3 AS x_1, (epoch_us(ts) - 1704067200000000) / 86400e6 AS x_2, row_number() OVER (PARTITION BY {0} ORDER BY ts, event_id) AS step FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+steps AS (SELECT {0}, step, x_1 - lag(x_1) OVER w AS x_1, x_2 - lag(x_2) OVER w AS x_2 FROM points WINDOW w AS (PARTITION BY {0} ORDER BY step))"""
 
 
 def _running(source: str, key: str, letters) -> str:
@@ -218,7 +218,7 @@ def _running(source: str, key: str, letters) -> str:
     of = lambda i: letters[i]
     sums = [of(i) for i in range(n)] + [f"t{i}{j}" for i, j in two]
     sums += [f"q{i}{j} * {of(k)} + p{i} * {of(j)} * {of(k)} / 2 + {of(i)} * {of(j)} * {of(k)} / 6" for i, j in two for k in range(n)]
-    return f"""{LONG_STEPS},
+    return f"""{LONG_STEPS.format(key)},
 one AS (SELECT *, {p} FROM {source}),
 two AS (SELECT *, {', '.join(f'p{i} * {of(j)} + {of(i)} * {of(j)} / 2 AS t{i}{j}' for i, j in two)} FROM one),
 three AS (SELECT *, {q} FROM two),
@@ -250,6 +250,7 @@ SQL: dict[str, str] = {
     "rolling_windows": f"WITH {WINDOWS} SELECT window_idx, end_date, step, {_r(R)} FROM win",
     "cumulative_paths": f"WITH {WINDOWS} SELECT a.window_idx, a.step, " + ", ".join(f"round(sum(b.r_{k}), 6) + 0.0 AS r_{k}" for k in (1, 2, 3)) + " FROM win a JOIN win b ON a.window_idx = b.window_idx AND b.step <= a.step GROUP BY a.window_idx, a.step",
     "window_signature": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39)} FROM sig",
+    "streamed_signature": f"WITH {_running('steps', 'user_id', ('x_1', 'x_2'))} SELECT user_id, n_points, {_r(S14, 5)} FROM sig",
     "signature_in_sql": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39)} FROM sig",
     "sliding_signature": f"WITH {SIGNATURE} SELECT window_idx, end_date, {_r(F39)} FROM sig",
     "long_path_signature": f"WITH {_running('steps', 'event_type', ('x_1', 'x_2'))} SELECT event_type, n_points, {_r(S14, 5)} FROM sig",

@@ -17,6 +17,7 @@ from braidpath.sources import bars
 from braidpath.sources.expected import ExpectedSignatures
 from braidpath.sources.staging import stage, staged_path
 from braidpath.sources.tables import TICKERS, daily_bars, event_series, labelled_vectors, order_prices, table
+from braidpath.streaming import event_time
 
 Query = Callable[[SparkSession, str], DataFrame]
 D = len(TICKERS)
@@ -127,6 +128,22 @@ def signature_in_sql(spark, sf):
     return rounded(features.spread(spark.sql(asked, windows=_windows(spark, sf)), "signature", signature_length(D, 3)))
 
 
+def streamed_signature(spark, sf, slices=4, files=4):
+    """Each user's path of value and time as a stream: events arrive up to two days late, so later slices have points that belong into earlier ones."""
+    late = F.make_dt_interval(hours=F.pmod(F.xxhash64("event_id"), F.lit(48)).cast("int"))
+    seen = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("value") / EVENT_UNIT).alias("x_1"), ((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EVENT_START)) / F.lit(86_400e6)).alias("x_2"))
+    seen = seen.withColumn("arrival", F.col("ts") + late)
+    first, last = seen.agg(F.min(F.unix_micros("arrival")), F.max(F.unix_micros("arrival"))).first()
+    part = F.floor((F.unix_micros("arrival") - F.lit(first or 0)) * slices / F.lit((last or 0) - (first or 0) + 1))
+    path = staged_path(spark, "arrivals")
+    for k in range(slices):  # one after the other, as a stream reads files in the order of their making
+        seen.filter(part == k).drop("arrival").repartition(files).write.mode("append").parquet(path)
+    spark.conf.set(*event_time.STORE)
+    stream = spark.readStream.schema(seen.drop("arrival").schema).option("maxFilesPerTrigger", files).parquet(path)
+    found = event_time.latest_of(spark, event_time.ordered_signatures(stream, ["x_1", "x_2"], 3, "3 days", "user_id", "ts", "event_id"), "user_id")
+    return rounded(features.spread(found, "signature", signature_length(2, 3), "s_"), 5)
+
+
 def window_signature_sql(spark, sf):
     rows = signature.signature_sql(_windows(spark, sf), [f"r_{k}" for k in range(1, D + 1)], 3, ["series", "window_idx", "end_date"])
     return rounded(rows.drop("series"))
@@ -344,7 +361,7 @@ def comparison_correlations(spark, sf):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     align_panel, align_fields, stored_bars, price_profile, repeated_dates, log_returns, rolling_volatility, rolling_windows, cumulative_paths,
-    window_signature, sliding_signature, long_path_signature, signature_in_sql, window_signature_sql, signature_forms_agree, signature_prefix, time_augmented_signature,
+    window_signature, sliding_signature, long_path_signature, streamed_signature, signature_in_sql, window_signature_sql, signature_forms_agree, signature_prefix, time_augmented_signature,
     expected_signature, expected_signature_batches, expected_signature_sql, levy_area, standardised_signature, signature_feature_table, trailing_score, checked_scores, consecutive_distance,
     covariance_features, volatility_features, flat_returns, score_table, threshold_q95, episodes, stress_periods, order_periods, top_dates,
     metric_correlations, zscored_series, sample_moments, sample_covariances, mean_covariance, terminal_increment_summary,

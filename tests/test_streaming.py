@@ -1,6 +1,12 @@
+import datetime as dt
+import random
+
 import numpy as np
+import pandas as pd
+import pytest
 
 from braidpath.functions import chen
+from braidpath.streaming import event_time
 from braidpath.streaming.signature import running_signatures
 
 
@@ -22,3 +28,90 @@ def test_running_signatures_equal_those_of_the_whole_path(spark, tmp_path):
     for s, x in points.items():
         assert last[s][0] == 9
         np.testing.assert_allclose(last[s][1], chen.signatures(np.diff(x, axis=0)[None], 3)[0], atol=1e-9)
+
+
+class Held:
+    """A value or list state, and the handle of a processor with one of each, in memory."""
+
+    def __init__(self):
+        self.value, self.timers, self.states = None, set(), {}
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Held())
+
+    getListState = getValueState
+    registerTimer = lambda self, at: self.timers.add(at)
+    deleteTimer = lambda self, at: self.timers.discard(at)
+    listTimers = lambda self: iter(set(self.timers))
+
+
+class Clock:
+    def __init__(self, millis):
+        self.getCurrentWatermarkInMs = lambda: millis
+
+
+def test_points_go_in_before_their_successors():
+    """Random arrivals within the delay: each answer is that of the points so far in order, and only the open ones are kept."""
+    rng, rnd = np.random.default_rng(4), random.Random(4)
+    points = [(1_000_000 * (k // 2), f"{k:020d}", rng.normal(size=2).tolist()) for k in range(60)]
+    arrivals = sorted(points, key=lambda p: p[0] + 5_000_000 * rnd.random())
+    own, handle = event_time.OrderedSignatures("series", ["a", "b"], 3), Held()
+    own.init(handle)
+    seen, newest = [], 0
+    while arrivals:
+        n = rnd.randrange(1, 9)
+        part, arrivals = arrivals[:n], arrivals[n:]
+        frame = pd.DataFrame([("s", None, a, t, *x) for a, t, x in part], columns=["series", "ts", "_2", "_3", "a", "b"])
+        watermark = max(0, newest // 1_000 - 5_001)
+        (out,) = own.handleInputRows(("s",), iter([frame]), Clock(watermark))
+        seen += part
+        newest = max(newest, *(p[0] for p in part))
+        path = np.array([x for _, _, x in sorted(seen)])
+        assert out["n_points"].iloc[0] == len(seen)
+        np.testing.assert_allclose(out["signature"].iloc[0], chen.signatures(np.diff(path, axis=0)[None], 3)[0] if len(path) > 1 else 0, atol=1e-9)
+        assert len(handle.states["open"].value or []) == sum(p[0] > watermark * 1_000 for p in seen) and len(handle.timers) <= 1
+    (due,) = handle.timers
+    assert list(own.handleExpiredTimer(("s",), Clock(due), None)) == []
+    assert handle.states["open"].value is None and handle.states["settled"].value[0] == 60
+    # what is earlier than the settled part is not let in
+    late = pd.DataFrame([("s", None, 5, "x", 9.0, 9.0)], columns=["series", "ts", "_2", "_3", "a", "b"])
+    (out,) = own.handleInputRows(("s",), iter([late]), Clock(due))
+    assert out["n_points"].iloc[0] == 60
+
+
+@pytest.mark.parametrize("reorder", [True, False])
+def test_stream_by_event_time(spark, tmp_path, reorder):
+    """Three triggers; with points out of order, ties of one time, missing values, and one later than the watermark allows."""
+    rng = np.random.default_rng(1)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(s, start + dt.timedelta(hours=k // 2), k, *map(float, rng.normal(size=2))) for s in ("a", "b") for k in range(24)]
+    arrivals = sorted(rows, key=lambda r: (r[1] + dt.timedelta(hours=3 * random.Random(r[2] * 31).random()) if reorder else r[1], r[2]))
+    parts = [arrivals[:16], arrivals[16:32], arrivals[32:]]
+    parts[1] += [("a", start, 99, None, 1.0), ("b", None, 98, 1.0, 1.0)]
+    parts[2] += [("a", start - dt.timedelta(days=9), 97, 50.0, 50.0), ("late", start - dt.timedelta(days=9), 96, 1.0, 1.0)]
+    schema = "series string, ts timestamp, id int, x double, y double"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set(*event_time.STORE)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        found = event_time.latest_of(spark, event_time.ordered_signatures(stream, ["x", "y"], 3, "4 hours", tie="id")).collect()
+    finally:
+        spark.conf.unset(event_time.STORE[0])
+    got = {r["series"]: r for r in found}
+    assert got.keys() == {"a", "b"}
+    for s in ("a", "b"):
+        x = np.array([r[3:] for r in rows if r[0] == s])
+        assert got[s]["n_points"] == 24
+        np.testing.assert_allclose(got[s]["signature"], chen.signatures(np.diff(x, axis=0)[None], 3)[0], atol=1e-9)
