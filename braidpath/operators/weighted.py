@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidpath.functions.vectors import norm, safe
-from braidpath.operators import scoring
+from braidpath.functions.vectors import TINY, norm, safe
+from braidpath.operators import blockwise, scoring
+from braidpath.operators.panel import WINDOW
 from braidpath.sources.staging import stage
 
 ALPHAS = (0.0, 0.15, 0.35, 0.70, 1.20)
@@ -95,24 +97,50 @@ def feature_count(channels: int) -> int:
     return n + n * (n - 1) // 2 + len(STATISTICS)
 
 
-def score_configuration(windows: DataFrame, channels: int, alpha: float, kind: str) -> DataFrame:
-    """(series, window_idx, end_date, score) of one weighting."""
-    columns = [f"f_{k}" for k in range(1, feature_count(channels) + 1)]
-    return scoring.trailing_score(scoring.standardise(weighted_features(windows, channels, alpha, kind), columns), columns)
+def weighted_kernel(alpha: float, kind: str) -> blockwise.Kernel:
+    """The same features from windows as arrays."""
+    if kind not in CLOCKS:
+        raise ValueError(f"a clock is one of {CLOCKS}, not {kind}")
 
+    def run(windows: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        n, steps, _ = windows.shape
+        if kind == "linear":
+            clock = np.broadcast_to(np.arange(steps + 1) / steps, (n, steps + 1))
+        else:
+            moved = np.concatenate([np.zeros((n, 1)), np.cumsum(np.linalg.norm(windows, axis=2), axis=1)], axis=1)
+            clock = moved / np.where(moved[:, -1:] > TINY, moved[:, -1:], 1.0)
+        weight = np.exp(-alpha * (clock[:, -1:] - clock[:, :-1]))
+        w = weight[:, :, None] * np.concatenate([windows, np.diff(clock, axis=1)[:, :, None]], axis=2)
+        length, whole = np.linalg.norm(w, axis=2), w.sum(axis=1)
+        ahead = np.cumsum(w, axis=1) - w
+        level = ahead.transpose(0, 2, 1) @ w
+        areas = ((level - level.transpose(0, 2, 1)) / 2)[:, *np.triu_indices(w.shape[2], 1)]
+        total, displaced = length.sum(axis=1), np.linalg.norm(whole, axis=1)
+        change = np.abs(np.diff(length, axis=1)).mean(axis=1) if steps > 1 else np.zeros(n)
+        stats = [total, length.mean(axis=1), length.std(axis=1), length.min(axis=1), length.max(axis=1), displaced, displaced / np.where(total > TINY, total, 1.0), (length**2).mean(axis=1), change]
+        return np.concatenate([whole, areas, np.stack(stats, 1)], axis=1)
 
-def grid_search(windows: DataFrame, channels: int, periods: Sequence[tuple[str, str, str]], alphas: Sequence[float] = ALPHAS, clocks: Sequence[str] = CLOCKS, focus: str | None = None) -> DataFrame:
+    return run
+
+
+def score_configuration(returns: DataFrame, channels: int, alpha: float, kind: str, window: int = WINDOW, lookback: int = scoring.LOOKBACK) -> DataFrame:
+    """(series, window_idx, end_date, score) of one weighting of all windows of returns."""
+    table = blockwise.window_features(returns, channels, {"own": weighted_kernel(alpha, kind)}, window)
+    return blockwise.array_scores(table, {"score": (0, feature_count(channels))}, lookback)
+
+
+def grid_search(returns: DataFrame, channels: int, periods: Sequence[tuple[str, str, str]], alphas: Sequence[float] = ALPHAS, clocks: Sequence[str] = CLOCKS, focus: str | None = None, window: int = WINDOW, lookback: int = scoring.LOOKBACK) -> DataFrame:
     """A row a weighting, best first: the mean over the periods of mean score by overall median, and its best episode.
 
-    The weightings become part of the series' name: each window is copied once for each of them, and one plan scores
-    all copies. ``focus`` names the period whose ratio breaks ties and is reported.
+    The weightings become part of the series' name: a block of returns gives its windows' features under each of them, and one plan
+    scores all. ``focus`` names the period whose ratio breaks ties and is reported.
     """
     focus = focus or periods[0][0]
-    weightings = F.explode(F.flatten(F.transform("clocks", lambda c: F.array(*[F.struct(c.alias("clock"), F.lit(float(a)).alias("alpha")) for a in alphas]))))
-    timed = with_clocks(windows, channels, clocks).withColumn("w", weightings)
-    timed = timed.withColumns({"series": F.concat_ws("|", "series", F.col("w.alpha").cast("string"), "w.clock.kind"), "alpha": F.col("w.alpha"), "clock": F.col("w.clock.clock"), "clock_end": F.col("w.clock.clock_end")})
-    columns = [f"f_{k}" for k in range(1, feature_count(channels) + 1)]
-    scored = scoring.trailing_score(scoring.standardise(features_of(weighted_increments(timed, channels, F.col("alpha")), channels + 1), columns), columns)
+    kernels = {f"{float(a)!r}|{c}": weighted_kernel(a, c) for a in alphas for c in clocks}
+    table = blockwise.window_features(returns, channels, kernels, window)
+    if len(kernels) == 1:
+        table = table.withColumn("series", F.concat_ws("|", "series", F.lit(next(iter(kernels)))))
+    scored = blockwise.array_scores(table, {"score": (0, feature_count(channels))}, lookback)
     # the periods are few and literal: each is a conditional mean of the one aggregation
     means = {f"__m{k}": F.avg(F.when(F.col("end_date").between(F.to_date(F.lit(a)), F.to_date(F.lit(b))), F.col("score"))) for k, (_, a, b) in enumerate(periods)}
     peak = F.max(F.struct(F.col("score").alias("s"), (-F.col("window_idx")).alias("i"), F.col("end_date").alias("d")))
@@ -122,7 +150,7 @@ def grid_search(windows: DataFrame, channels: int, periods: Sequence[tuple[str,
     ratios = F.filter(F.array(*[F.try_divide(n, "global_median_score") for n in means]), lambda r: r.isNotNull())
     tops = tops.withColumn("mean_stress_ratio", F.try_divide(F.aggregate(ratios, F.lit(0.0), lambda s, r: s + r), F.size(ratios)))
     focus_ratio = F.try_divide(f"__m{[p for p, _, _ in periods].index(focus)}", "global_median_score")
-    part = F.split("series", r"\|")
+    part = F.regexp_extract("series", r"^(.*)\|([^|]*)\|([^|]*)$", 1), F.regexp_extract("series", r"^(.*)\|([^|]*)\|([^|]*)$", 2), F.regexp_extract("series", r"^(.*)\|([^|]*)\|([^|]*)$", 3)
     return tops.select(
         part[0].alias("series"), part[1].cast("double").alias("alpha"), part[2].alias("clock_type"), F.lit(feature_count(channels)).alias("feature_dim"), "global_median_score",
         "mean_stress_ratio", focus_ratio.alias("focus_ratio"), F.col("mean_stress_ratio").alias("objective_score"), F.col("peak.d").alias("top_episode_peak_date"), F.col("peak.s").alias("top_episode_peak_score"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from braidpath.functions.vectors import signature_length
-from braidpath.operators import features, panel, scoring, signature
+from braidpath.operators import blockwise, features, panel, scoring, signature
 
 DEPTH = 3
 #: Inclusive date ranges that scores are summarised over.
@@ -58,21 +59,22 @@ def checked_scores(prices: DataFrame, tickers: Sequence[str], name: str, window:
     return scores_of(scoring.require_scored(table, lookback), name, lookback)
 
 
-def score_table(returns: DataFrame, channels: int, window: int = panel.WINDOW, lookback: int = scoring.LOOKBACK) -> DataFrame:
+def signature_scores(returns: DataFrame, channels: int, name: str, depth: int = DEPTH, window: int = panel.WINDOW, lookback: int = scoring.LOOKBACK) -> DataFrame:
+    """(series, window_idx, end_date, name): trailing scores of all windows' signatures."""
+    table = blockwise.window_features(returns, channels, {"signature": blockwise.signature_kernel(depth)}, window)
+    return blockwise.array_scores(table, {name: (0, signature_length(channels, depth))}, lookback)
+
+
+def score_table(returns: DataFrame, channels: int, depth: int = DEPTH, window: int = panel.WINDOW, lookback: int = scoring.LOOKBACK) -> DataFrame:
     """Trailing scores of the signature and three baselines, and the signature's consecutive distance, by window.
 
-    The baselines come from one aggregation of the windows; they meet the signatures in one join, and all features
-    are standardised and scored in one ordering.
+    A block of returns gives all features of its windows at once, and one kernel a block scores them.
     """
-    own = signature_features(returns, channels, window=window)
-    base = panel.windows(returns, channels, window).groupBy(*features.KEYS).agg(
-        *features.flat_columns(channels, window, "ret_"), *features.covariance_columns(channels, "cov_"), *features.volatility_columns(channels, prefix="vol_")
-    )
-    both = own.join(base.drop("end_date"), ["series", "window_idx"])
-    of = lambda prefix: [c for c in both.columns if c.startswith(prefix)]
-    groups = {"signature_trailing_score": of("f_"), "returns_trailing_score": of("ret_"), "covariance_trailing_score": of("cov_"), "volatility_trailing_score": of("vol_")}
-    z = scoring.standardise(both, [c for g in groups.values() for c in g])
-    return scoring.trailing_scores(z, groups, lookback, {"signature_consecutive_distance": groups["signature_trailing_score"]})
+    sizes = (signature_length(channels, depth), window * channels, channels * (channels + 1) // 2, channels)
+    ends = list(itertools.accumulate(sizes))
+    own = blockwise.together(blockwise.signature_kernel(depth), blockwise.flat, blockwise.covariance, blockwise.volatility)
+    table = blockwise.window_features(returns, channels, {"all": own}, window)
+    return blockwise.array_scores(table, dict(zip(TRAILING, zip([0, *ends], ends))), lookback, {METRICS[-1]: (0, ends[0])})
 
 
 TRAILING = ("signature_trailing_score", "returns_trailing_score", "covariance_trailing_score", "volatility_trailing_score")

@@ -208,7 +208,7 @@ def signature_feature_table(spark, sf):
 
 
 def trailing_score(spark, sf):
-    return rounded(market.scores_of(market.signature_features(_returns(spark, sf), D), "score").drop("series"), 5)
+    return rounded(market.signature_scores(_returns(spark, sf), D, "score").drop("series"), 5)
 
 
 def checked_scores(spark, sf):
@@ -242,22 +242,22 @@ def score_table(spark, sf):
 
 
 def threshold_q95(spark, sf):
-    return rounded(scoring.thresholds(market.scores_of(market.signature_features(_returns(spark, sf), D), "score"), "score").drop("series"), 5)
+    return rounded(scoring.thresholds(market.signature_scores(_returns(spark, sf), D, "score"), "score").drop("series"), 5)
 
 
 def episodes(spark, sf):
-    return rounded(scoring.episodes(market.scores_of(market.signature_features(_returns(spark, sf), D), "score"), "score").drop("series"), 5)
+    return rounded(scoring.episodes(market.signature_scores(_returns(spark, sf), D, "score"), "score").drop("series"), 5)
 
 
 def stress_periods(spark, sf):
-    return rounded(scoring.period_summary(market.scores_of(market.signature_features(_returns(spark, sf), D), "score"), "score", PERIODS).drop("series"), 5)
+    return rounded(scoring.period_summary(market.signature_scores(_returns(spark, sf), D, "score"), "score", PERIODS).drop("series"), 5)
 
 
 def order_periods(spark, sf):
     """Scores over the stretches in which orders of each priority came in each quarter: many ranges, from a table, that overlap."""
     quarter = F.concat_ws(" ", "o_orderpriority", F.year("o_orderdate").cast("string"), F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")))
     periods = table(spark, sf, "orders").groupBy(quarter.alias("period")).agg(F.to_date(F.min("o_orderdate")).alias("start_date"), F.to_date(F.max("o_orderdate")).alias("end_date"))
-    return rounded(scoring.period_summary(market.scores_of(market.signature_features(_returns(spark, sf), D), "score"), "score", periods).drop("series"), 5)
+    return rounded(scoring.period_summary(market.signature_scores(_returns(spark, sf), D, "score"), "score", periods).drop("series"), 5)
 
 
 def top_dates(spark, sf):
@@ -340,20 +340,20 @@ def weighted_features(spark, sf):
 
 
 def grid_search(spark, sf):
-    return rounded(weighted.grid_search(_windows(spark, sf), D, PERIODS).drop("series"), 5)
+    return rounded(weighted.grid_search(_returns(spark, sf), D, PERIODS).drop("series"), 5)
 
 
 def unweighted_baseline(spark, sf):
     """The weightings with alpha 0."""
-    return rounded(weighted.grid_search(_windows(spark, sf), D, PERIODS, alphas=(0.0,)).drop("series"), 5)
+    return rounded(weighted.grid_search(_returns(spark, sf), D, PERIODS, alphas=(0.0,)).drop("series"), 5)
 
 
 def comparison_correlations(spark, sf):
-    rows, returns = _windows(spark, sf), _returns(spark, sf)
+    returns = _returns(spark, sf)
     tables = [
-        weighted.score_configuration(rows, D, 0.35, "movement").withColumnRenamed("score", "weighted_trailing_score"),
-        weighted.score_configuration(rows, D, 0.0, "linear").withColumnRenamed("score", "unweighted_trailing_score"),
-        market.scores_of(market.signature_features(returns, D), "signature_trailing_score"),
+        weighted.score_configuration(returns, D, 0.35, "movement").withColumnRenamed("score", "weighted_trailing_score"),
+        weighted.score_configuration(returns, D, 0.0, "linear").withColumnRenamed("score", "unweighted_trailing_score"),
+        market.signature_scores(returns, D, "signature_trailing_score"),
     ]
     names = ["weighted_trailing_score", "unweighted_trailing_score", "signature_trailing_score"]
     return rounded(scoring.correlations(scoring.score_table(tables), names).drop("series"), 5)
