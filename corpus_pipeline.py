@@ -13,30 +13,44 @@ from braidpath.llm.common import stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, null and empty texts with them; repeated rows share a verdict."""
+    """Documents that the quality rules reject go, null and empty texts with them.
+
+    Texts are judged whole, however long; repeated rows share a verdict; a score just at the cut stays. Without labels the base
+    rules alone decide.
+    """
     return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, null and empty ones being equal, the document with the largest id stays; a null id is the smallest."""
+    """Of equal texts, null and empty ones being equal, the document with the largest id stays; a null id is the smallest.
+
+    Texts are compared whole, however long; of rows that share text and id one stays.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked fingerprints the document with the least id stays; a null id only where there is no other.
 
-    The fingerprint and the two bits are those of the contract of the operator's query; the README says what that finds.
+    The fingerprint and the two bits are those of the contract of the operator's query; the README says what that finds. Texts are
+    read whole, however long; rows are told apart by id and text, and of rows that share both one stays.
     """
     return simhash.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix visits them, sorted by training position; texts without words are never visited."""
+    """Documents as often as the mix visits them, sorted by training position; texts without words are never visited.
+
+    A document, however long, is visited whole; repeated rows are visited each; equal positions are ordered by id.
+    """
     return mixing.curriculum(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each visit, with the digests of the ids and of what they decode to; null texts have no ids."""
+    """The token ids of each visit, with the digests of the ids and of what they decode to.
+
+    Null and empty texts have no ids; texts are encoded whole, however long; repeated rows get equal ids.
+    """
     return bpe.encode_documents(docs, bpe.rank_file())
 
 
