@@ -29,6 +29,25 @@ def _gathered(before: list[np.ndarray], dx: np.ndarray, level: int, letters: int
     return c
 
 
+def _to_level_three(dx: np.ndarray, out: np.ndarray) -> None:
+    """Depth 3 from two matrix products. With h the path at the middle of each step and m what lies behind it, level 3 is
+
+    the sum over steps of h (x) dx (x) m, less that of dx (x) dx (x) dx / 12, which is symmetric and so needs each pair once.
+    """
+    n, steps, d = dx.shape
+    run = np.cumsum(dx, axis=1)
+    half = run - dx / 2
+    out[:, :d] = run[:, -1]
+    out[:, d : d + d * d] = np.matmul(half.transpose(0, 2, 1), dx).reshape(n, -1)
+    by_step, middle = (np.ascontiguousarray(x.transpose(0, 2, 1)) for x in (dx, half))
+    third = np.matmul((middle[:, :, None, :] * by_step[:, None, :, :]).reshape(n, d * d, steps), run[:, -1:] - half)
+    i, j = np.triu_indices(d)
+    place = np.zeros((d, d), int)
+    place[i, j] = place[j, i] = np.arange(len(i))
+    third -= np.matmul(by_step[:, i] * by_step[:, j], dx / 12)[:, place.reshape(-1)]
+    out[:, d + d * d :] = third.reshape(n, -1)
+
+
 def signatures(increments: np.ndarray, depth: int) -> np.ndarray:
     """From increments (paths, steps, channels) the signatures (paths, coordinates)."""
     dx = np.ascontiguousarray(increments, np.float64)
@@ -38,6 +57,9 @@ def signatures(increments: np.ndarray, depth: int) -> np.ndarray:
     out = np.zeros((n, signature_length(d, depth)))
     if not steps:
         return out
+    if depth == 3:
+        _to_level_three(dx, out)
+        return out
     out[:, :d] = dx.sum(axis=1)
     if depth == 1:
         return out
@@ -63,11 +85,12 @@ def signatures(increments: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def safe_batch(requested: int, steps: int, channels: int, depth: int, budget_bytes: int = 2**25) -> int:
+def safe_batch(requested: int, steps: int, channels: int, depth: int, budget_bytes: int | None = None) -> int:
     """Paths in a batch so that signatures and what is summed on the way stay within a budget, small enough for caches; at least one."""
     sums = signature_length(channels, depth - 2) if depth > 2 else 0
     one = 8 * (signature_length(channels, depth) + steps * (4 * sums + 2 * channels**2 + 4 * channels))
-    return max(1, min(requested, budget_bytes // one))
+    # at depth 3 one product's operands should stay in the cache
+    return max(1, min(requested, (budget_bytes or (2**23 if depth == 3 else 2**25)) // one))
 
 
 def _levels(s: np.ndarray, channels: int, depth: int) -> list[np.ndarray]:
