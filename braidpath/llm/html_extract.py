@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +37,16 @@ BREAKING = frozenset("address article aside blockquote body center dd details di
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements and roles that are no part of an article.
-OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
+OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 #: Parts of class names and ids that say the same.
 OUTSIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar masthead footer header "
+    "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar masthead footer "
     "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments disqus reply replies respond widget toolbar pagination pager copyright disclaimer".split()
 )
+#: What heads a page, but inside an article has its title.
+HEADER = frozenset(("header",))
 #: A name part before which the next ones describe the page and not the element.
 DESCRIBING = frozenset("has with no without is hide show js".split())
 #: Frequent function words of English, German, French and Spanish.
@@ -82,34 +82,38 @@ class Block:
         self.chars, self.label = len(text), None
 
 
-def _named_outside(value: str) -> bool:
-    """Whether a class or id says that the element is no part of the article."""
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether a class or id says that the element is one of ``names``."""
     for name in value.split():
         describing = False
         for part in map(str.lower, _NAME_PART.findall(name)):
-            if part in OUTSIDE_NAMES and not describing:
+            if part in names and not describing:
                 return True
             describing = part in DESCRIBING or describing
     return False
 
 
+def _by_element(name: str) -> str:
+    return "in" if name in ("main", "article") else name if name in ("form", "header") else "out" if name in OUTSIDE else ""
+
+
 def _place(name: str, attributes: str) -> str:
-    """'in' for an element that marks the article, 'out' for one that is no part of it, 'form' for forms, else ''."""
+    """'in' for an element that marks the article, 'out' for one that is no part of it, 'form' and 'header' for these, else ''."""
     if not attributes:
-        return "in" if name in ("main", "article") else "form" if name == "form" else "out" if name in OUTSIDE else ""
+        return _by_element(name)
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    role = given.get("role", "").lower()
+    role, named = given.get("role", "").lower(), f"{given.get('class', '')} {given.get('id', '')}"
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
         return "out"
     if name in ("html", "body"):
         return ""
     if name == "main" or role == "main":
         return "in"
-    if role in OUTSIDE_ROLES or _named_outside(f"{given.get('class', '')} {given.get('id', '')}"):
+    if role in OUTSIDE_ROLES or _named(named, OUTSIDE_NAMES):
         return "out"
-    if name == "article" or role == "article" or given.get("itemprop", "") == "articleBody":
+    if role == "article" or given.get("itemprop", "") == "articleBody":
         return "in"
-    return "form" if name == "form" else "out" if name in OUTSIDE else ""
+    return _by_element(name) or ("header" if _named(named, HEADER) else "")
 
 
 class _Reader:
@@ -166,7 +170,7 @@ class _Reader:
             if not region:
                 self.regions += 1
                 region = self.regions
-        elif place and not (name == "header" and place == "out" and region):  # an article's own header has its title
+        elif place and not (place == "header" and region):
             outside = True
         self.stack.append((name, outside, region, heading or name in HEADINGS, False))
 

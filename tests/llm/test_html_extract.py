@@ -30,6 +30,7 @@ CASES = {
     "hidden": (f"<article><p hidden>{MORE}</p><p style='display: none'>{MORE}</p><p>{PROSE}</p></article>", PROSE),
     "roles": (f"<div role=banner>{MORE}</div><div role=main><p>{PROSE}</p></div><div role='contentinfo'>{MORE}</div>", PROSE),
     "own header": (f"<header><p>{MORE}</p></header><article><header><h1>Title</h1></header><p>{PROSE}</p></article>", f"Title\n\n{PROSE}"),
+    "own header by name": (f"<div class='site-header'>{MORE}</div><article><div id='postHeader'><h1>Title</h1></div><p>{PROSE}</p></article>", f"Title\n\n{PROSE}"),
     "links in the article": (f"<article><p>{PROSE}</p><p>{MORE}</p><h2>See also</h2>{LINKS}</article>", f"{PROSE}\n\n{MORE}"),
     "a link in prose": (f"<article><p>{PROSE} <a href=x>here</a></p></article>", f"{PROSE} here"),
     "unmarked": (f"<body><div>Home</div>{LINKS}<div><h2>Of the sea</h2><p>{PROSE}</p><p>So.</p><p>{MORE}</p></div>{LINKS}<div>2020</div>", f"Of the sea\n\n{PROSE}\n\nSo.\n\n{MORE}"),
