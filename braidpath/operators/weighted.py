@@ -150,7 +150,7 @@ def grid_search(returns: DataFrame, channels: int, periods: Sequence[tuple[str,
     ratios = F.filter(F.array(*[F.try_divide(n, "global_median_score") for n in means]), lambda r: r.isNotNull())
     tops = tops.withColumn("mean_stress_ratio", F.try_divide(F.aggregate(ratios, F.lit(0.0), lambda s, r: s + r), F.size(ratios)))
     focus_ratio = F.try_divide(f"__m{[p for p, _, _ in periods].index(focus)}", "global_median_score")
-    part = F.regexp_extract("series", r"^(.*)\|([^|]*)\|([^|]*)$", 1), F.regexp_extract("series", r"^(.*)\|([^|]*)\|([^|]*)$", 2), F.regexp_extract("series", r"^(.*)\|([^|]*)\|([^|]*)$", 3)
+    part = [F.regexp_extract("series", r"^(.*)\|([^|]*)\|([^|]*)$", k) for k in (1, 2, 3)]
     return tops.select(
         part[0].alias("series"), part[1].cast("double").alias("alpha"), part[2].alias("clock_type"), F.lit(feature_count(channels)).alias("feature_dim"), "global_median_score",
         "mean_stress_ratio", focus_ratio.alias("focus_ratio"), F.col("mean_stress_ratio").alias("objective_score"), F.col("peak.d").alias("top_episode_peak_date"), F.col("peak.s").alias("top_episode_peak_score"),
