@@ -21,7 +21,8 @@ def numbered(rows: DataFrame) -> DataFrame:
     """``rows`` with idx, the 0-based place of a row in its series by date; rows that have one keep it."""
     if "idx" in rows.columns:
         return rows
-    chunked = rows.withColumn("__chunk", F.floor(F.unix_date("date") / CHUNK_DAYS))
+    # said here, as the join would only say it for one side, and both sides should share what is below
+    chunked = rows.withColumn("__chunk", F.floor(F.unix_date("date") / CHUNK_DAYS)).filter("series is not null and __chunk is not null")
     before = Window.partitionBy("series").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = chunked.groupBy("series", "__chunk").agg(F.count("*").alias("__n"))
     offsets = counts.select("series", "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
