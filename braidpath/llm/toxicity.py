@@ -203,6 +203,23 @@ def evidence(texts: Sparse, spread: Sparse, toxic: np.ndarray) -> np.ndarray:
     return np.sign(z) * np.maximum(np.abs(z) - SHRINK, 0) / 5
 
 
+def without_evidence(sizes: np.ndarray, words_of: np.ndarray, counts: np.ndarray, n_features: np.ndarray, places: np.ndarray, scale: np.ndarray) -> tuple[Sparse, Sparse, np.ndarray]:
+    """The matrices of texts by words and words by features without the features of scale 0, and which features are left.
+
+    Those features, most of all, never get a weight, so the fit is the same, and shorter.
+    """
+    used = np.flatnonzero(scale)
+    number = np.full(len(scale), -1)
+    number[used] = np.arange(len(used))
+    kept = number[places] >= 0
+    per_word = np.bincount(np.repeat(np.arange(len(n_features)), n_features)[kept], minlength=len(n_features))
+    word_number = np.cumsum(per_word > 0) - 1
+    held = per_word[words_of] > 0
+    per_text = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[held], minlength=len(sizes))
+    spread = Sparse(per_word[per_word > 0], number[places[kept]].astype(np.int32), None, len(used))
+    return Sparse(per_text, word_number[words_of[held]].astype(np.int32), np.log1p(counts[held].astype(np.float32)), int((per_word > 0).sum())), spread, used
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = SAMPLE_ROWS, n_grades: int = GRADES) -> OrdinalModel:
     """Learn from a 0/1 label. The driver gets the word counts of the sample, no texts."""
     sample = labelled_sample(docs, labels, label, max_rows)
@@ -222,10 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         places.extend(own)
     spread = Sparse(np.frombuffer(n_features, np.int32), np.frombuffer(places, np.int32), None, 1 << FEATURE_BITS)
     texts = Sparse(sizes, coded.indices.to_numpy(), np.log1p(counts.astype(np.float32)), len(n_features))
-    del coded, counts
     grades, scale = derived_grades(texts, toxic, n_grades), evidence(texts, spread, toxic)
-    weights, theta = fit_ordinal(texts, spread, scale, grades, int(grades.max()) + 1)
-    return OrdinalModel(weights * scale, tuple(map(float, theta)))
+    small_texts, small_spread, used = without_evidence(sizes, coded.indices.to_numpy(), counts, np.frombuffer(n_features, np.int32), np.frombuffer(places, np.int32), scale)
+    del coded, counts, texts, spread
+    own, theta = fit_ordinal(small_texts, small_spread, scale[used], grades, int(grades.max()) + 1)
+    weights = np.zeros(len(scale))
+    weights[used] = own * scale[used]
+    return OrdinalModel(weights, tuple(map(float, theta)))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

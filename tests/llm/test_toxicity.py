@@ -165,3 +165,22 @@ def test_evidence_equals_brute_force():
         a, b = (sum(f in features[w] for own, t in zip(words, toxic) if t == kind for w in own) for kind in (True, False))
         z = (np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         assert np.isclose(got[f], np.sign(z) * max(abs(z) - toxicity.SHRINK, 0) / 5)
+
+
+def test_features_without_evidence_change_nothing():
+    rng = np.random.default_rng(14)
+    sizes, n_words, n_features = rng.integers(0, 6, 80), 25, 40
+    words_of = rng.integers(0, n_words, sizes.sum()).astype(np.int32)
+    counts = rng.integers(1, 4, sizes.sum())
+    per_word = rng.integers(1, 5, n_words)
+    places = rng.integers(0, n_features, per_word.sum()).astype(np.int32)
+    scale = np.where(rng.random(n_features) < 0.3, rng.normal(size=n_features), 0.0)
+    grades = rng.integers(0, 3, 80)
+    texts = toxicity.Sparse(sizes, words_of, np.log1p(counts.astype(np.float32)), n_words)
+    spread = toxicity.Sparse(per_word, places, None, n_features)
+    whole, theta = toxicity.fit_ordinal(texts, spread, scale, grades, 3, steps=60)
+    small_texts, small_spread, used = toxicity.without_evidence(sizes, words_of, counts, per_word, places, scale)
+    own, own_theta = toxicity.fit_ordinal(small_texts, small_spread, scale[used], grades, 3, steps=60)
+    np.testing.assert_allclose(own * scale[used], (whole * scale)[used], rtol=1e-6, atol=1e-9)
+    np.testing.assert_allclose(own_theta, theta, rtol=1e-6)
+    assert not (whole * scale)[scale == 0].any() and small_spread.n_cols == len(used) == (scale != 0).sum()
