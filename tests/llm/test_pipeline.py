@@ -49,7 +49,7 @@ def test_stages_keep_the_columns(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     want, got = con.sql(SQL[name]), QUERIES[name](spark, DATA)
     assert sorted(want.columns) == sorted(got.columns)
@@ -57,4 +57,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_there_is_one_query_an_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
