@@ -115,3 +115,60 @@ def test_stream_by_event_time(spark, tmp_path, reorder):
         x = np.array([r[3:] for r in rows if r[0] == s])
         assert got[s]["n_points"] == 24
         np.testing.assert_allclose(got[s]["signature"], chen.signatures(np.diff(x, axis=0)[None], 3)[0], atol=1e-9)
+
+
+def test_series_of_a_group_share_its_calls_to_the_state():
+    """Paths of many lengths in one group, over several triggers: right answers for those that have points, few calls and rows of state."""
+    rng, handle = np.random.default_rng(6), Held()
+    own = event_time.OrderedSignatures("series", ["a", "b"], 3, packed=100)
+    own.init(handle)
+    calls = []
+    for name in ("settled", "open"):
+        state = handle.states[name]
+        for method in ("get", "put", "update"):
+            setattr(state, method, lambda *v, do=getattr(state, method): (calls.append(1), do(*v))[1])
+    seen = []
+    for trigger in range(4):
+        # a series has 0 to 39 points in a trigger, some of one time, some series none before the last
+        part = [(s, 1_000_000 * (10 * trigger + int(rng.integers(0, 12))), f"{rng.integers(10**9):020d}", rng.normal(size=2).tolist()) for s in [f"s{k}" for k in range(40)] + [None] for _ in range(int((s or "s7")[1:]) * (trigger == 3 or s != "s39"))]
+        part = [part[k] for k in rng.permutation(len(part))]
+        seen += part
+        rows = pd.DataFrame([(s, None, a, t, *x) for s, a, t, x in part])
+        watermark = max(0, 10_000 * trigger - 1)
+        calls.clear()
+        (out,) = own.handleInputRows((0,), iter([rows[:300], rows[300:]]), Clock(watermark))
+        assert len(calls) <= 4
+        assert len(handle.states["open"].value) == -(-sum(a > watermark * 1_000 for _, a, _, _ in seen) // 100)
+        assert len(out) == len({s for s, *_ in part}) == len(set(out["series"]))
+        for s, n, found in out.itertuples(index=False):
+            path = np.array([x for name, _, _, x in sorted((p for p in seen if p[0] == s), key=lambda p: p[1:3])])
+            assert n == len(path)
+            np.testing.assert_allclose(found, chen.signatures(np.diff(path, axis=0)[None], 3)[0] if len(path) > 1 else 0, atol=1e-9)
+    list(own.handleExpiredTimer((0,), Clock(10**9), None))
+    assert handle.states["open"].value is None and handle.states["settled"].value[0] == len(seen)
+
+
+def test_groups_of_a_stream_are_bounded(spark, tmp_path):
+    """Two triggers over many series in three buckets; keys keep their type, null and large ones too."""
+    rng = np.random.default_rng(7)
+    keys = [None, -1, 2**60 + 1, *range(200)]
+    start = dt.datetime(2024, 1, 1)
+    rows = [(s, start + dt.timedelta(hours=h), h, *map(float, rng.normal(size=2))) for s in keys for h in (1, 0, 9, 5, 6)]
+    for part in (0, 1):
+        spark.createDataFrame([r for r in rows if (r[2] > 4) == part], "series bigint, ts timestamp, id int, x double, y double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set(*event_time.STORE)
+    try:
+        stream = spark.readStream.schema("series bigint, ts timestamp, id int, x double, y double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        found = event_time.ordered_signatures(stream, ["x", "y"], 3, "4 hours", tie="id", buckets=3)
+        assert dict(found.dtypes)["series"] == "bigint"
+        query = found.writeStream.format("memory").queryName("bounded").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+        query.awaitTermination()
+        timers = [int(op["customMetrics"]["numRegisteredTimers"]) for p in query.recentProgress for op in p["stateOperators"]]
+    finally:
+        spark.conf.unset(event_time.STORE[0])
+    assert 0 < max(timers) <= 3
+    got = {r["series"]: r for r in spark.table("bounded").collect() if r["n_points"] == 5}
+    assert got.keys() == set(keys)
+    for s in keys:
+        path = np.array([r[3:] for r in sorted((r for r in rows if r[0] == s), key=lambda r: r[1])])
+        np.testing.assert_allclose(got[s]["signature"], chen.signatures(np.diff(path, axis=0)[None], 3)[0], atol=1e-9)
